@@ -29,28 +29,57 @@ from . import textops as T
 from .runtime import table
 
 #: Distinct space-separated strings whose ids a worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 500_000
+#: New strings encoded as one text.
+RUN = 2_000
+#: Fixed value: the splitting pattern of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BETWEEN = re.compile(r"\s \s")
 _TOKENIZERS: dict[str, Encoder] = {}
 
 
+def byte_ranks(tokenizer) -> dict[bytes, int]:
+    """Byte strings of a byte-level vocabulary; ids grow in merge order, so they are the ranks that a rank coder merges by."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {bytes(map(chars.__getitem__, t)): i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in chars for c in t) and not t.startswith("<|")}
+
+
 class Encoder:
     """Byte-level BPE ids of whole texts, remembering the ids of each space-separated string.
 
     The vocabulary's splitting pattern never joins a character with what stands before a single space, so a text is encoded
-    string by string, each but the first with its space. A text where a space has white space on both sides, or that starts
+    string by string, each but the first with its space. New strings are encoded together from the same vocabulary as ranks,
+    which gives the same ids faster. A text where a space has white space on both sides, or that starts
     or ends with a space, is encoded in one go.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ranks = byte_ranks(self.tokenizer)
+        self.ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(1 + max(ranks.values()), bool)
+        self.spaced[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of strings that follow a space: many are encoded as one text, whose ids part where a token starts with a space."""
+        plain = [p for p in new if not p[0].isspace()]
+        for i in range(0, len(plain), RUN):
+            run = plain[i : i + RUN]
+            ids = np.array(self.ranks.encode_ordinary(" " + " ".join(run)), "<u4")
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            b, at = ids.tobytes(), (4 * at).tolist()
+            self.known.update((p, b[s:e]) for p, s, e in zip(run, at[:-1], at[1:], strict=True))
+        rest = [p for p in new if p[0].isspace()]
+        self.known.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -58,8 +87,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        new = list({p for parts in split if parts for p in parts[1:]}.difference(known))
-        known.update(zip(new, self._encode([" " + p for p in new]), strict=True))
+        self._learn(list({p for parts in split if parts for p in parts[1:]}.difference(known)))
         whole = self._encode([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
         return [first if parts is None else first + b"".join(map(known.__getitem__, parts[1:])) for first, parts in zip(whole, split, strict=True)]
 
