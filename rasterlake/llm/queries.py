@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlake import attach
 
-from . import chat, fertility, gam, mixing, packing, urls
+from . import chat, fertility, gam, jaccard, mixing, packing, urls
 
 
 def tokenizer(name: str) -> str:
@@ -34,6 +34,10 @@ def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -52,7 +56,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op5_additive_quality, op7_shortest_pack_first, op9_path_templates, op10_temperature_mix)
+    f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op5_additive_quality, op6_token_groups, op7_shortest_pack_first, op9_path_templates, op10_temperature_mix)
 }
 
 ORACLE: dict[str, str] = {}

@@ -62,3 +62,19 @@ def in_bitmap(bitmap_broadcast, positions: np.ndarray) -> np.ndarray:
 
 def bitmap_position(column: str, bits: int = BITMAP_BITS):
     return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def sum_arrays(parts: DataFrame, dtype: str, salts: int = 32) -> dict[int, np.ndarray]:
+    """Element-wise sums of binary arrays by key, in two levels: by (key, salt), then by key. For a fixed number of keys."""
+    import pyarrow as pa
+
+    def add(t: pa.Table) -> pa.Table:
+        total = None
+        for b in t.column("vec"):
+            x = np.frombuffer(b.as_buffer(), dtype)
+            total = x.copy() if total is None else total + x
+        return pa.table({"key": t.column("key")[:1], "salt": pa.array([0], pa.int32()), "vec": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "key int, salt int, vec binary"
+    one = parts.select("key", F.expr(f"salt % {salts}").cast("int").alias("salt"), "vec").groupBy("key", "salt").applyInArrow(add, schema)
+    return {r["key"]: np.frombuffer(r["vec"], dtype) for r in one.groupBy("key").applyInArrow(add, schema).select("key", "vec").collect()}
