@@ -1,7 +1,7 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Every document is the set of its distinct k-word shingles. Similar documents are partitioned into groups by the least hash of
-their set. The matrix of tokens against groups holds, for each token, the groups whose token union it is in; a query document
+Every document is the set of its distinct k-word shingles. Similar documents are partitioned into groups by the most
+frequent of the four least hashes of their set. The matrix of tokens against groups holds, for each token, the groups whose token union it is in; a query document
 opens only the groups that the bound on its overlap with their union, and their sizes, allow, and is compared exactly there.
 
 Steps, each exact, so that no link is lost:
@@ -9,9 +9,11 @@ Steps, each exact, so that no link is lost:
 1.  Documents with equal sets are one class, compared once.
 2.  A token bound against the union of the whole corpus: a document that shares fewer than the threshold's share of its
     tokens with any other has no partner. Tokens travel as 32 bits, which can only raise the bound.
+    That count also bounds every pair: the overlap of two documents is at most the lesser of their counts.
 3.  The rarest ``n - ceil(threshold * n) + 1`` tokens of a partner must meet the query's own: the matrix holds these of each
     member, so a group without one of them bounds the overlap below the threshold. Rarity comes from bucket counts over all
-    remaining documents, a table of fixed size.
+    remaining documents, a table of fixed size. Of two groups that meet at a token, the one with more members there is opened
+    by the members of the other.
 4.  Inside an opened group members that link with the group's hub need no comparison with each other. All others are compared
     through the group's postings. Large groups are split into blocks of members and of queries. Each block returns a spanning
     forest of its links, not all pairs.
@@ -110,7 +112,7 @@ def shared_counts(docs: DataFrame, k: int, parts: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
-    """doc_id, grp (least token), n, tokens (sorted 64-bit values) of the wanted documents."""
+    """doc_id, n, tokens (sorted 64-bit values) and s of the wanted documents."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap(wanted, "doc_id", bits))
 
@@ -126,11 +128,11 @@ def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFra
                 some = np.flatnonzero(np.diff(bounds))
                 arr = [h[bounds[i] : bounds[i + 1]] for i in some]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(np.array([a[0] for a in arr], np.uint64).view(np.int64)), pa.array(np.array([len(a) for a in arr], np.int64)), pa.array([a.tobytes() for a in arr], pa.binary())],
-                    ["doc_id", "grp", "n", "tokens"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(np.array([len(a) for a in arr], np.int64)), pa.array([a.tobytes() for a in arr], pa.binary())],
+                    ["doc_id", "n", "tokens"],
                 )
 
-    found = docs.filter("doc_id is not null").select("doc_id", "t", bitmap_position("doc_id", bits).alias("p")).mapInArrow(run, "doc_id long, grp long, n long, tokens binary")
+    found = docs.filter("doc_id is not null").select("doc_id", "t", bitmap_position("doc_id", bits).alias("p")).mapInArrow(run, "doc_id long, n long, tokens binary")
     return found.join(wanted.select("doc_id", "s"), "doc_id")
 
 
@@ -149,17 +151,28 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     return np.concatenate([got.get(i, np.zeros(BLOCK, np.int64)) for i in range(BUCKETS // BLOCK)])
 
 
-def openings(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+def grouped(sets: DataFrame, level) -> DataFrame:
+    """Adds grp, the most frequent (by level) of the four least tokens: edited copies of one text mostly agree on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty(len(batch), np.uint64)
+            for i, b in enumerate(batch.column(2)):
+                h = np.frombuffer(b.as_buffer(), np.uint64)[:4]
+                out[i] = h[np.argmax(level.value[h >> np.uint64(44)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], ["doc_id", "n", "tokens", "s", "grp"])
+
+    return sets.select("doc_id", "n", "tokens", "s").mapInArrow(run, "doc_id long, n long, tokens binary, s long, grp long")
+
+
+def openings(sets: DataFrame, shared, percent: int, parts: int) -> DataFrame:
     """doc_id, grp of the other groups that each document has to open, by the token-group matrix."""
-    spark = sets.sparkSession
-    level = np.minimum(255, np.ceil(4 * np.log2(1 + bucket_counts(sets)))).astype(np.uint8)
-    shared = spark.sparkContext.broadcast(level)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, grp, n = (np.asarray(batch.column(i)) for i in range(3))
+            ids, grp, n, s = (np.asarray(batch.column(i)) for i in range(4))
             tokens, rows = [], []
-            for i, b in enumerate(batch.column(3)):
+            for i, b in enumerate(batch.column(4)):
                 h = np.frombuffer(b.as_buffer(), np.uint64)
                 order = np.lexsort((h, shared.value[h >> np.uint64(44)]))
                 h = h[order[: int(n[i] - need(n[i], percent) + 1)]]
@@ -173,26 +186,28 @@ def openings(sets: DataFrame, percent: int, parts: int) -> DataFrame:
             h, of, part = h[order], of[order], part[order]
             at = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(at))
-            cols = [[np.ascontiguousarray(x[at[p] : at[p + 1]]).tobytes() for p in some] for x in (h, ids[of], grp[of], n[of])]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "h", "ids", "grp", "n"])
+            cols = [[np.ascontiguousarray(x[at[p] : at[p + 1]]).tobytes() for p in some] for x in (h, ids[of], grp[of], n[of], s[of])]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "h", "ids", "grp", "n", "s"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for p, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for p, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 held.setdefault(p, []).append(row)
         for rows in held.values():
-            h, ids, grp, n = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+            h, ids, grp, n, s = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64)))
             order = np.lexsort((n, grp, h))
-            h, ids, grp, n = h[order], ids[order], grp[order], n[order]
+            h, ids, grp, n, s = h[order], ids[order], grp[order], n[order], s[order]
             # the matrix: runs of (token, group), with the sizes of the members that hold the token
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (grp[1:] != grp[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(h)) - 1
+            held_by, most = last - first + 1, np.maximum.reduceat(s, first)
+            own = np.cumsum(new) - 1  # the run of each row
             token_of = np.cumsum(np.append(True, h[first][1:] != h[first][:-1])) - 1
             lo, hi = np.searchsorted(token_of, np.arange(token_of[-1] + 1)), np.searchsorted(token_of, np.arange(token_of[-1] + 1), "right")
-            t = token_of[np.cumsum(new) - 1]  # of each row
+            t = token_of[own]
             rows_at = np.flatnonzero(hi[t] - lo[t] > 1)
             out = np.zeros((0, 2), np.int64)
             size = (hi - lo)[t[rows_at]]
@@ -201,11 +216,13 @@ def openings(sets: DataFrame, percent: int, parts: int) -> DataFrame:
                 r, c = rows_at[a:b], size[a:b]
                 q = np.repeat(r, c)
                 g = np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[t[r]], c)
-                fits = (grp[first[g]] != grp[q]) & (100 * n[last[g]] >= percent * n[q]) & (percent * n[first[g]] <= 100 * n[q])
+                larger = (held_by[g] > held_by[own[q]]) | ((held_by[g] == held_by[own[q]]) & (grp[first[g]] > grp[q]))
+                over = np.minimum(s[q], most[g])
+                fits = larger & (100 * over >= percent * (n[q] + n[first[g]] - over)) & (100 * n[last[g]] >= percent * n[q]) & (percent * n[first[g]] <= 100 * n[q])
                 out = np.unique(np.concatenate([out, np.stack([ids[q[fits]], grp[first[g[fits]]]], 1)]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["doc_id", "grp"])
 
-    sent = sets.select("doc_id", "grp", "n", "tokens").mapInArrow(send, "part int, h binary, ids binary, grp binary, n binary")
+    sent = sets.select("doc_id", "grp", "n", "s", "tokens").mapInArrow(send, "part int, h binary, ids binary, grp binary, n binary, s binary")
     return sent.repartition(parts, "part").mapInArrow(match, "doc_id long, grp long").distinct()
 
 
@@ -339,7 +356,9 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id",
     if left:
         bits = 1 << min(27, max(20, (16 * left).bit_length()))
         sets = table(token_sets(d, alive, k, bits).dropDuplicates(["doc_id"]), "jaccard-sets")
-        opened = table(openings(sets, percent, max(least, -(-tokens // TOKENS_PER_TASK))), "jaccard-opened")
+        level = spark.sparkContext.broadcast(np.minimum(255, np.ceil(4 * np.log2(1 + bucket_counts(sets)))).astype(np.uint8))
+        sets = table(grouped(sets, level), "jaccard-groups")
+        opened = table(openings(sets, level, percent, max(least, -(-tokens // TOKENS_PER_TASK))), "jaccard-opened")
         found = connected_components(verify(sets, opened, percent))
     else:
         found = spark.createDataFrame([], "node long, component long")
