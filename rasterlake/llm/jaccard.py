@@ -38,6 +38,8 @@ from .runtime import bitmap, bitmap_position, in_bitmap, sum_arrays, table
 
 #: Tokens that one task sorts at once.
 TOKENS_PER_TASK = 4_000_000
+#: Documents whose counts one task adds.
+DOCS_PER_TASK = 500_000
 #: Tokens of the members and of the queries of one block of a group.
 MEMBER_TOKENS, QUERY_TOKENS = 2_000_000, 1_000_000
 #: Pairs of (query, group) that one step of the matrix forms in memory.
@@ -67,10 +69,11 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def shared_counts(docs: DataFrame, k: int, parts: int) -> DataFrame:
+def shared_counts(docs: DataFrame, k: int, parts: int, buckets: int) -> DataFrame:
     """doc_id and the number of its tokens that another row holds too (rows with none are left out).
 
-    Each token goes to one of ``parts`` tasks by its upper 32 bits and is counted there by its lower 32 bits.
+    Each token goes to one of ``parts`` tasks by its upper 32 bits and is counted there by its lower 32 bits; counts
+    go packed to ``buckets`` tasks by document, to be added.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +108,27 @@ def shared_counts(docs: DataFrame, k: int, parts: int) -> DataFrame:
             shared = np.empty(len(s), np.int64)
             shared[order] = twice
             n = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], ["doc_id", "s"])
+            ids, n = ids[n > 0], n[n > 0]
+            of = (T.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            at = np.searchsorted(of[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(at))
+            cols = [[x[order[at[b] : at[b + 1]]].tobytes() for b in some] for x in (ids, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "ids", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault(b, []).append(row)
+        for rows in held.values():
+            ids, n = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in range(2))
+            one, of = np.unique(ids, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.bincount(of, n).astype(np.int64))], ["doc_id", "s"])
 
     sent = docs.filter("doc_id is not null").mapInArrow(send, "part int, ids binary, counts binary, tokens binary")
-    return sent.repartition(parts, "part").mapInArrow(count, "doc_id long, s long").groupBy("doc_id").agg(F.sum("s").alias("s"))
+    counted = sent.repartition(parts, "part").mapInArrow(count, "bucket int, ids binary, n binary")
+    return counted.repartition(buckets, "bucket").mapInArrow(add, "doc_id long, s long")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
@@ -346,9 +366,9 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id",
     spark = docs.sparkSession
     d = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t")
     base = table(digests(d, k), "jaccard-base")
-    total = base.agg(F.sum("n")).first()[0] or 0
+    n_rows, total = base.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = shared_counts(d, k, max(least, -(-total // TOKENS_PER_TASK)))
+    shared = shared_counts(d, k, max(least, -(-total // TOKENS_PER_TASK)), max(12, n_rows // DOCS_PER_TASK))
     classes = base.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     alive = classes.select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").filter(f"100 * s >= {percent} * n")
     alive = table(alive.groupBy("doc_id").agg(F.max("n").alias("n"), F.max(F.least("s", "n")).alias("s")), "jaccard-alive")
