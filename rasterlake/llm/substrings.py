@@ -6,7 +6,8 @@ match them:
 
 1.  Every window has one leading anchor, its least hashed ``gram``-word shingle. Equal windows have equal anchors, so an anchor
     seen in one document only rules its windows out. Anchors travel packed, to be counted by hash range.
-2.  The words around each remaining anchor (all windows that it leads) go to the shard of that anchor. A shard streams its
+2.  The words around each remaining anchor (all windows that it leads) go to the shard of that anchor. Words that no other
+    document has there are trimmed. A shard streams its
     contexts in order of document id: the suffix automaton of all earlier documents' contexts yields matching statistics, and a
     match of ``span`` words or more marks the windows that it covers; then the context extends the automaton.
 3.  Marked windows become maximal spans, joined back to the texts that have any.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .runtime import bitmap, bitmap_position, in_bitmap, table
 
-ANCHORS_PER_TASK, CONTEXTS_PER_TASK = 2_000_000, 40_000
+ANCHORS_PER_TASK, CONTEXTS_PER_TASK = 2_000_000, 20_000
 META = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("first", "<i4"), ("size", "<i4")])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -211,6 +212,38 @@ class Automaton:
         return out
 
 
+def trim(meta: np.ndarray, codes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows all of whose shingles another document has under the same anchor: context, first word, last start.
+
+    meta: contexts, ordered by anchor; codes: their words in that order. Other windows cannot match, so they are not put into
+    an automaton.
+    """
+    size = meta["size"] // 4
+    ctx = np.repeat(np.arange(len(meta)), size)
+    if len(codes) < span:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    h = np.zeros(len(codes) - gram + 1, np.uint64)
+    for i in range(gram):
+        h = h * np.uint64(0x9FB21C651E98DF25) + codes[i : len(codes) - gram + 1 + i].astype(np.uint64)
+    at = np.flatnonzero(ctx[: len(h)] == ctx[gram - 1 :])
+    key = T.mix(h[at] ^ T.mix(meta["anchor"])[ctx[at]])
+    _, doc = np.unique(meta[["doc", "text"]], return_inverse=True)
+    doc = doc[ctx[at]]
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+    several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    flag = np.zeros(len(codes), np.int8)
+    flag[at[order]] = several[run]
+    ok = np.flatnonzero(_sliding(flag[: len(codes) - gram + 1], span - gram + 1, np.minimum))
+    if not len(ok):
+        return ok, ok, ok
+    cut = np.flatnonzero(np.append(True, (np.diff(ok) > 1) | (ctx[ok[1:]] != ctx[ok[:-1]])))
+    return ctx[ok[cut]], ok[cut], ok[np.append(cut[1:], len(ok)) - 1]
+
+
 def shard(meta: np.ndarray, codes: list[bytes], span: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc, text, first, last) runs of marked windows of one anchor's contexts, which are ordered by doc."""
     auto, known, waiting = Automaton(), set(), []
@@ -291,15 +324,21 @@ def marked(docs: DataFrame, span: int = 50, gram: int = 8, hot: int = 50_000) ->
         for rows in held.values():
             meta = np.concatenate([r[0] for r in rows])
             whole = b"".join(r[1] for r in rows)
-            ends = np.cumsum(meta["size"].astype(np.int64))
+            size = meta["size"] // 4
+            start = np.cumsum(size) - size
             order = np.lexsort((meta["first"], meta["text"], meta["doc"], meta["anchor"]))
-            anchor = meta["anchor"][order]
-            cut = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(order)]
+            meta, size, start = meta[order], size[order], start[order]
+            offset = np.cumsum(size) - size
+            codes = np.frombuffer(whole, "<u4")[np.arange(size.sum()) + np.repeat(start - offset, size)]
+            of, lo, hi = trim(meta, codes, span, gram)
+            meta = meta[of]
+            meta["first"] += lo - offset[of]
+            anchor = meta["anchor"]
+            cut = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(of)]
             out = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                x = order[a:b]
-                if meta["doc"][x[0]] != meta["doc"][x[-1]]:
-                    out += shard(meta[x], [whole[e - n : e] for e, n in zip(ends[x].tolist(), meta["size"][x].tolist(), strict=True)], span)
+                if a < b and meta["doc"][a] != meta["doc"][b - 1]:
+                    out += shard(meta[a:b], [codes[i : j + span].tobytes() for i, j in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)], span)
             if out:
                 e = np.array(out, np.int64)
                 e = e[np.lexsort((e[:, 2], e[:, 1], e[:, 0]))]
