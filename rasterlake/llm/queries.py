@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlake import attach
 
-from . import chat, fertility, gam, jaccard, mixing, packing, substrings, urls
+from . import chat, fertility, gam, jaccard, mixing, packing, substrings, urls, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,10 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(read(spark, sf_dir, "documents"), fertility.Rules(tokenizer("piece_bpe_32k.model")))
 
 
+def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedupe(read(spark, sf_dir, "documents"), digest=True)
 
@@ -60,7 +64,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op4_suffix_automata, op5_additive_quality, op6_token_groups, op7_shortest_pack_first, op9_path_templates, op10_temperature_mix)
+    f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op3_product_quantisation, op4_suffix_automata, op5_additive_quality, op6_token_groups, op7_shortest_pack_first, op9_path_templates, op10_temperature_mix)
 }
 
 ORACLE: dict[str, str] = {}
