@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlake import attach
 
-from . import chat, fertility, gam, jaccard, mixing, packing, substrings, urls, vectors
+from . import chat, fertility, gam, jaccard, lm, mixing, packing, substrings, urls, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -50,6 +50,10 @@ def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
 
 
@@ -64,7 +68,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op3_product_quantisation, op4_suffix_automata, op5_additive_quality, op6_token_groups, op7_shortest_pack_first, op9_path_templates, op10_temperature_mix)
+    f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op3_product_quantisation, op4_suffix_automata, op5_additive_quality, op6_token_groups, op7_shortest_pack_first, op8_context_mixing, op9_path_templates, op10_temperature_mix)
 }
 
 ORACLE: dict[str, str] = {}
