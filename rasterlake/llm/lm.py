@@ -35,7 +35,7 @@ DEPTHS, TRUST = 8, 4  # gate: place of the bit in its byte, and how often the fo
 STEPS = 33  # entries of the adaptive probability map for each preceding byte
 BLOCK = 1 << 14
 #: Rows of the broadcast table of frequent words.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 DISCOUNT = 0.7
 WORDS_AT_ONCE = 1 << 13  # bytes of words that one step predicts
 _LOW = np.arange(256, dtype=np.uint8)
@@ -270,7 +270,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
         if room < 0:
             break
         least = k
-    frequent = values.filter(F.col("c") >= (1 << least)).toPandas().drop_duplicates("h")
+    frequent = values.filter(F.col("c") >= (1 << least)).toArrow()
     back = DISCOUNT * v / max(n, 1) if n else 1.0
 
     def logs(c: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,12 +278,12 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
         p = np.maximum(c - DISCOUNT, 0) / max(n, 1) + back * np.exp2(np.maximum(lp, -1000.0))
         return np.log10((c + 1) / (n + v + 1)), np.where(lp < -900, np.where(c > 0, np.log10(np.maximum(p, 1e-300)), lp * np.log10(2) + np.log10(back)), np.log10(np.maximum(p, 1e-300)))
 
-    h = frequent["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    c = frequent["c"].to_numpy()[order]
-    fb, fm = logs(c, frequent["lp"].to_numpy()[order])
+    h, order = np.unique(frequent["h"].to_numpy().view(np.uint64), return_index=True)
+    c, lp = (frequent[x].to_numpy()[order] for x in ("c", "lp"))
+    fb, fm = logs(c, lp)
+    del frequent, order, lp
     end = tuple(float(x[0]) for x in (np.log10(np.array([(n_docs + 1) / (n + v + 1)])), np.log10(np.array([max(n_docs - DISCOUNT, 0) / max(n, 1) or 1.0 / (n + v + 1)]))))
-    shared = spark.sparkContext.broadcast((h[order], c > 0, fb, fm))
+    shared = spark.sparkContext.broadcast((h, c > 0, fb, fm))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fh, known, base, model = shared.value
