@@ -60,7 +60,7 @@ def in_bitmap(bitmap_broadcast, positions: np.ndarray) -> np.ndarray:
     return (b[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1 == 1
 
 
-def bitmap_position(column: str, bits: int = BITMAP_BITS):
+def bitmap_position(column, bits: int = BITMAP_BITS):
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
@@ -78,3 +78,19 @@ def sum_arrays(parts: DataFrame, dtype: str, salts: int = 32) -> dict[int, np.nd
     schema = "key int, salt int, vec binary"
     one = parts.select("key", F.expr(f"salt % {salts}").cast("int").alias("salt"), "vec").groupBy("key", "salt").applyInArrow(add, schema)
     return {r["key"]: np.frombuffer(r["vec"], dtype) for r in one.groupBy("key").applyInArrow(add, schema).select("key", "vec").collect()}
+
+
+def hits(rows: DataFrame, wanted: DataFrame, key: list[str], n: int, keep: bool) -> DataFrame:
+    """Rows whose key may be (keep) or certainly is not among the n wanted keys, by a bitmap of at most 16 MB; no shuffle."""
+    import pyarrow as pa
+
+    bits = 1 << min(27, max(20, (16 * n).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(*key).alias("key")), "key", bits))
+
+    def run(batches):
+        for batch in batches:
+            hit = in_bitmap(shared, np.asarray(batch.column("bitmap_pos"))) == keep
+            if hit.any():
+                yield batch.filter(pa.array(hit)).drop_columns(["bitmap_pos"])
+
+    return rows.withColumn("bitmap_pos", bitmap_position(F.xxhash64(*key), bits)).mapInArrow(run, rows.schema)

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .runtime import bitmap, bitmap_position, in_bitmap, table
+from .runtime import hits, table
 
-ANCHORS_PER_TASK, CONTEXTS_PER_TASK = 2_000_000, 20_000
+ANCHORS_PER_TASK, CONTEXTS_PER_TASK = 2_000_000, 5_000
 META = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("first", "<i4"), ("size", "<i4")])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -133,24 +133,6 @@ def shared_anchors(docs: DataFrame, span: int, gram: int, parts: int) -> DataFra
     return found.groupBy("doc_id", "th").agg(F.collect_list("anchors").alias("anchors"))
 
 
-def _hits(docs: DataFrame, wanted: DataFrame, bits: int, keep: bool) -> DataFrame:
-    """Rows of docs whose key is (keep) or is not in the bitmap of wanted keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("key")), "key", bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = in_bitmap(shared, np.asarray(batch.column("pos"))) == keep
-            if hit.any():
-                yield batch.filter(pa.array(hit)).drop_columns(["pos"])
-
-    d = docs.withColumn("key", F.xxhash64("doc_id", "th")).withColumn("pos", bitmap_position("key", bits)).drop("key")
-    return d.mapInArrow(run, docs.schema)
-
-
-def _bits(n: int) -> int:
-    return 1 << min(27, max(20, (16 * n).bit_length()))
-
-
 class Automaton:
     """Suffix automaton of several strings of integers."""
 
@@ -218,32 +200,46 @@ def trim(meta: np.ndarray, codes: np.ndarray, span: int, gram: int) -> tuple[np.
     meta: contexts, ordered by anchor; codes: their words in that order. Other windows cannot match, so they are not put into
     an automaton.
     """
-    size = meta["size"] // 4
-    ctx = np.repeat(np.arange(len(meta)), size)
+    n = len(codes) - gram + 1
     if len(codes) < span:
         z = np.zeros(0, np.int64)
         return z, z, z
-    h = np.zeros(len(codes) - gram + 1, np.uint64)
+    ctx = np.repeat(np.arange(len(meta), dtype=np.int32), meta["size"] // 4)
+    h = np.zeros(n, np.uint64)
     for i in range(gram):
-        h = h * np.uint64(0x9FB21C651E98DF25) + codes[i : len(codes) - gram + 1 + i].astype(np.uint64)
-    at = np.flatnonzero(ctx[: len(h)] == ctx[gram - 1 :])
-    key = T.mix(h[at] ^ T.mix(meta["anchor"])[ctx[at]])
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h += codes[i : n + i]
+    h ^= T.mix(meta["anchor"])[ctx[:n]]
+    whole = ctx[:n] == ctx[gram - 1 :]
+    order = np.argsort(h, kind="stable")
+    order = order[whole[order]]
+    new = np.append(True, np.diff(h[order]) != 0)
+    del h, whole
     _, doc = np.unique(meta[["doc", "text"]], return_inverse=True)
-    doc = doc[ctx[at]]
-    order = np.argsort(key, kind="stable")
-    k, d = key[order], doc[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
-    several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    flag = np.zeros(len(codes), np.int8)
-    flag[at[order]] = several[run]
-    ok = np.flatnonzero(_sliding(flag[: len(codes) - gram + 1], span - gram + 1, np.minimum))
+    d = doc.astype(np.int32)[ctx[order]]
+    first = np.flatnonzero(new)
+    several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(first) else np.zeros(0, bool)
+    flag = np.zeros(n, np.int8)
+    flag[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+    del order, d, new
+    ok = np.flatnonzero(_sliding(flag, span - gram + 1, np.minimum))
     if not len(ok):
         return ok, ok, ok
     cut = np.flatnonzero(np.append(True, (np.diff(ok) > 1) | (ctx[ok[1:]] != ctx[ok[:-1]])))
     return ctx[ok[cut]], ok[cut], ok[np.append(cut[1:], len(ok)) - 1]
 
 
+def slices(anchor: np.ndarray, size: np.ndarray, limit: int = 300_000) -> Iterator[tuple[int, int]]:
+    """Runs of whole anchors of about limit words each."""
+    ends = np.flatnonzero(np.append(anchor[1:] != anchor[:-1], True)) + 1
+    total = np.cumsum(size)
+    x = 0
+    for y in ends.tolist():
+        if y == len(anchor) or total[y - 1] - (total[x - 1] if x else 0) >= limit:
+            yield x, y
+            x = y
+
+
 def shard(meta: np.ndarray, codes: list[bytes], span: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc, text, first, last) runs of marked windows of one anchor's contexts, which are ordered by doc."""
     auto, known, waiting = Automaton(), set(), []
@@ -278,7 +274,7 @@ def marked(docs: DataFrame, span: int = 50, gram: int = 8, hot: int = 50_000) ->
     lists = table(shared_anchors(docs, span, gram, max(least, n_words // (100 * ANCHORS_PER_TASK))), "substring-anchors")
     n, total = lists.agg(F.count("*"), F.sum(F.aggregate("anchors", F.lit(0), lambda a, b: a + F.length(b)) / 16)).first()
     parts = max(least, int(total or 0) // CONTEXTS_PER_TASK)
-    found = _hits(docs.filter("doc_id is not null").select("doc_id", "t", "th"), lists, _bits(n), True).dropDuplicates(["doc_id", "th"]).join(lists, ["doc_id", "th"])
+    found = hits(docs.filter("doc_id is not null").select("doc_id", "t", "th"), lists, ["doc_id", "th"], n, True).dropDuplicates(["doc_id", "th"]).join(lists, ["doc_id", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,24 +317,26 @@ def marked(docs: DataFrame, span: int = 50, gram: int = 8, hot: int = 50_000) ->
         for batch in batches:
             for p, meta, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 held.setdefault(p, []).append((np.frombuffer(meta, META), codes))
-        for rows in held.values():
+        while held:
+            rows = held.popitem()[1]
             meta = np.concatenate([r[0] for r in rows])
-            whole = b"".join(r[1] for r in rows)
-            size = meta["size"] // 4
+            words = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
+            del rows
+            size = (meta["size"] // 4).astype(np.int64)
             start = np.cumsum(size) - size
             order = np.lexsort((meta["first"], meta["text"], meta["doc"], meta["anchor"]))
             meta, size, start = meta[order], size[order], start[order]
-            offset = np.cumsum(size) - size
-            codes = np.frombuffer(whole, "<u4")[np.arange(size.sum()) + np.repeat(start - offset, size)]
-            of, lo, hi = trim(meta, codes, span, gram)
-            meta = meta[of]
-            meta["first"] += lo - offset[of]
-            anchor = meta["anchor"]
-            cut = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(of)]
             out = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a < b and meta["doc"][a] != meta["doc"][b - 1]:
-                    out += shard(meta[a:b], [codes[i : j + span].tobytes() for i, j in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)], span)
+            for x, y in slices(meta["anchor"], size):
+                codes = np.concatenate([words[i : i + n] for i, n in zip(start[x:y].tolist(), size[x:y].tolist(), strict=True)])
+                offset = np.cumsum(size[x:y]) - size[x:y]
+                of, lo, hi = trim(meta[x:y], codes, span, gram)
+                some = meta[x:y][of]
+                some["first"] += (lo - offset[of]).astype(np.int32)
+                cut = [0, *(np.flatnonzero(some["anchor"][1:] != some["anchor"][:-1]) + 1).tolist(), len(of)]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    if a < b and some["doc"][a] != some["doc"][b - 1]:
+                        out += shard(some[a:b], [codes[i : j + span].tobytes() for i, j in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)], span)
             if out:
                 e = np.array(out, np.int64)
                 e = e[np.lexsort((e[:, 2], e[:, 1], e[:, 0]))]
@@ -366,7 +364,7 @@ def dedupe(docs: DataFrame, span: int = 50, gram: int = 8, id_col: str = "doc_id
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), *(F.col(c).alias(f"c_{c}") for c in carry))
     runs = table(marked(d.select("doc_id", "t", "th"), span, gram, hot), "substring-runs")
-    bits = _bits(runs.count())
+    n, key = runs.count(), ["doc_id", "th"]
     extra = [f"c_{c}" for c in carry]
     kinds = dict(d.dtypes)
     schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept_sha256 string" if digest else "kept_text string", *(f"`{c}` {kinds[c]}" for c in extra)])
@@ -396,6 +394,6 @@ def dedupe(docs: DataFrame, span: int = 50, gram: int = 8, id_col: str = "doc_id
                     out.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else raw.decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string()), *(batch.column(c) for c in extra)], ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text", *extra])
 
-    clean = _hits(d, runs, bits, False).mapInArrow(finish, schema)
-    touched = _hits(d, runs, bits, True).join(runs, ["doc_id", "th"], "left").select("doc_id", "t", "runs", *extra).mapInArrow(finish, schema)
+    clean = hits(d, runs, key, n, False).mapInArrow(finish, schema)
+    touched = hits(d, runs, key, n, True).join(runs, ["doc_id", "th"], "left").select("doc_id", "t", "runs", *extra).mapInArrow(finish, schema)
     return clean.unionAll(touched)
