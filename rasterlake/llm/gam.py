@@ -227,3 +227,23 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     feats = table(featurise(docs), "gam-features")
     out = score(feats, fit(feats, labels, folds, held, sample), threshold)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, sample: int = 30_000) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that score at least the threshold, with all their columns. No shuffle of texts."""
+    spark = docs.sparkSession
+    known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) quality").filter("quality in (0, 1) and doc_id is not null")
+    known = known.filter(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = table(docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "gam-sample")
+    model = fit(featurise(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known, folds, held, sample)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = T.text_column(batch.column(at))
+            for lo, hi in T.slices(texts):
+                good = shared.value.score(features(texts.slice(lo, hi - lo))) >= threshold
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import connected_components
-from .runtime import bitmap, bitmap_position, in_bitmap, sum_arrays, table
+from .runtime import bitmap, bitmap_position, hits, in_bitmap, sum_arrays, table
 
 #: Tokens that one task sorts at once.
 TOKENS_PER_TASK = 4_000_000
@@ -385,3 +385,10 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id",
     copies = classes.filter("copies > 1").select("n", "d1", "d2", "rep")
     out = base.join(copies, ["n", "d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) whose id is the least of their component, with all their columns."""
+    gone = table(join(docs, percent, k).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
+    n = gone.count()
+    return hits(docs, gone, ["doc_id"], n, False).unionAll(hits(docs, gone, ["doc_id"], n, True).join(gone, "doc_id", "left_anti").select(*docs.columns))
