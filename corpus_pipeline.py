@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake import attach
-from rasterlake.llm import gam, mixing, packing
+from rasterlake.llm import gam, jaccard, mixing, packing, substrings
 from rasterlake.llm.queries import read, tokenizer
 from rasterlake.llm.runtime import table
 
@@ -14,33 +14,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the additive quality classifier does not reject."""
-    scored = gam.classify(docs, read(spark, sf_dir, "labels"), keep=COLUMNS)
-    return scored.filter("predicted = 1").select(*COLUMNS)
+    """Documents that the additive quality classifier does not reject."""
+    return gam.reject(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near copies."""
+    attach(spark)
+    return jaccard.representatives(docs.select(*COLUMNS))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words or more that a document with a smaller id holds too."""
+    attach(spark)
+    cut = substrings.dedupe(docs, carry=("lang", "source"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), F.col("c_lang").alias("lang"), F.col("c_source").alias("source"), F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; documents of small sources repeat up to twice."""
+    attach(spark)
     out = mixing.mix(docs, mixing.Target(max_repeat=2.0), carry=COLUMNS)
     return out.select(*(F.col(f"c_{c}").alias(c) for c in COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
+    attach(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("quality", quality), ("mix", mix), ("pack", pack)]
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("substring dedup", passages), ("mixing sources", mix), ("packing", pack)]
 
-#: The stages use trained models and tokenisers, which SQL cannot express.
+#: The stages use trained models, automata and tokenisers, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again, over documents."""
-    docs = read(attach(spark), sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = table(docs, f"stage-{name}")
+            docs = table(docs, f"stage{i}")
     return docs
