@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textops as T
+from .runtime import tidy
 
 
 @dataclass(frozen=True)
@@ -126,4 +127,4 @@ def judge(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str =
                 got = measure(texts.slice(lo, hi - lo), langs[lo:hi], rules)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in got.values())], ["doc_id", *got])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t", f"cast(`{lang_col}` as string) l").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t", f"cast(`{lang_col}` as string) l").mapInArrow(tidy(run), SCHEMA)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .runtime import table
+from .runtime import table, tidy
 
 FEATURES = (
     "log_words", "word_length", "long_words", "short_words", "symbols", "bars", "exclamations", "uppercase", "upper_words",
@@ -190,7 +190,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 arr = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), arr], ["doc_id", "x"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t").mapInArrow(tidy(run), "doc_id long, x array<float>")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -219,7 +219,7 @@ def score(feats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return feats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
+    return feats.select("doc_id", "x").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, sample: int = 30_000) -> DataFrame:
@@ -246,4 +246,4 @@ def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, th
                 good = shared.value.score(features(texts.slice(lo, hi - lo))) >= threshold
                 yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

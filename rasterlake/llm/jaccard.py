@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import connected_components
-from .runtime import bitmap, bitmap_position, hits, in_bitmap, sum_arrays, table
+from .runtime import bitmap, bitmap_position, hits, in_bitmap, sum_arrays, table, tidy
 
 #: Tokens that one task sorts at once.
 TOKENS_PER_TASK = 4_000_000
@@ -66,7 +66,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), *map(pa.array, sums)], ["doc_id", "n", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long")
 
 
 def shared_counts(docs: DataFrame, k: int, parts: int, buckets: int) -> DataFrame:
@@ -98,8 +98,10 @@ def shared_counts(docs: DataFrame, k: int, parts: int, buckets: int) -> DataFram
         for batch in batches:
             for p, ids, counts, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 held.setdefault(p, []).append((ids, counts, tokens))
-        for rows in held.values():
+        while held:
+            rows = held.popitem()[1]
             ids, counts, tokens = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.int64, np.uint32, np.uint32)))
+            del rows
             order = np.argsort(tokens, kind="stable")
             s = tokens[order]
             twice = np.zeros(len(s), bool)
@@ -126,9 +128,9 @@ def shared_counts(docs: DataFrame, k: int, parts: int, buckets: int) -> DataFram
             one, of = np.unique(ids, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.bincount(of, n).astype(np.int64))], ["doc_id", "s"])
 
-    sent = docs.filter("doc_id is not null").mapInArrow(send, "part int, ids binary, counts binary, tokens binary")
-    counted = sent.repartition(parts, "part").mapInArrow(count, "bucket int, ids binary, n binary")
-    return counted.repartition(buckets, "bucket").mapInArrow(add, "doc_id long, s long")
+    sent = docs.filter("doc_id is not null").mapInArrow(tidy(send), "part int, ids binary, counts binary, tokens binary")
+    counted = sent.repartition(parts, "part").mapInArrow(tidy(count), "bucket int, ids binary, n binary")
+    return counted.repartition(buckets, "bucket").mapInArrow(tidy(add), "doc_id long, s long")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
@@ -152,7 +154,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFra
                     ["doc_id", "n", "tokens"],
                 )
 
-    found = docs.filter("doc_id is not null").select("doc_id", "t", bitmap_position("doc_id", bits).alias("p")).mapInArrow(run, "doc_id long, n long, tokens binary")
+    found = docs.filter("doc_id is not null").select("doc_id", "t", bitmap_position("doc_id", bits).alias("p")).mapInArrow(tidy(run), "doc_id long, n long, tokens binary")
     return found.join(wanted.select("doc_id", "s"), "doc_id")
 
 
@@ -167,7 +169,7 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
         keys = range(BUCKETS // BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(keys), pa.int32()), pa.array([total[i * BLOCK : (i + 1) * BLOCK].astype(np.int64).tobytes() for i in keys], pa.binary())], ["key", "salt", "vec"])
 
-    got = sum_arrays(sets.select("tokens").mapInArrow(run, "key int, salt int, vec binary"), "int64")
+    got = sum_arrays(sets.select("tokens").mapInArrow(tidy(run), "key int, salt int, vec binary"), "int64")
     return np.concatenate([got.get(i, np.zeros(BLOCK, np.int64)) for i in range(BUCKETS // BLOCK)])
 
 
@@ -182,7 +184,7 @@ def grouped(sets: DataFrame, level) -> DataFrame:
                 out[i] = h[np.argmax(level.value[h >> np.uint64(44)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], ["doc_id", "n", "tokens", "s", "grp"])
 
-    return sets.select("doc_id", "n", "tokens", "s").mapInArrow(run, "doc_id long, n long, tokens binary, s long, grp long")
+    return sets.select("doc_id", "n", "tokens", "s").mapInArrow(tidy(run), "doc_id long, n long, tokens binary, s long, grp long")
 
 
 def openings(sets: DataFrame, shared, percent: int, parts: int) -> DataFrame:
@@ -242,8 +244,8 @@ def openings(sets: DataFrame, shared, percent: int, parts: int) -> DataFrame:
                 out = np.unique(np.concatenate([out, np.stack([ids[q[fits]], grp[first[g[fits]]]], 1)]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["doc_id", "grp"])
 
-    sent = sets.select("doc_id", "grp", "n", "s", "tokens").mapInArrow(send, "part int, h binary, ids binary, grp binary, n binary, s binary")
-    return sent.repartition(parts, "part").mapInArrow(match, "doc_id long, grp long").distinct()
+    sent = sets.select("doc_id", "grp", "n", "s", "tokens").mapInArrow(tidy(send), "part int, h binary, ids binary, grp binary, n binary, s binary")
+    return sent.repartition(parts, "part").mapInArrow(tidy(match), "doc_id long, grp long").distinct()
 
 
 class Forest:
@@ -358,7 +360,7 @@ def verify(sets: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
                 held.append(batch.slice(a, b - a))
         yield from done()
 
-    return rows.repartition("grp", "mi", "qi").sortWithinPartitions("grp", "mi", "qi").mapInArrow(run, "a long, b long")
+    return rows.repartition("grp", "mi", "qi").sortWithinPartitions("grp", "mi", "qi").mapInArrow(tidy(run), "a long, b long")
 
 
 def join(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

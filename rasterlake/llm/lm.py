@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .runtime import sum_arrays, table
+from .runtime import sum_arrays, table, tidy
 
 #: Slots (as a power of two) of each context's table: one, two, three and four bytes, and one byte with its place in the word.
 SLOTS = (16, 18, 18, 18, 18)
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 word = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([word, pa.array(h.view(np.int64)), pa.array(c)], ["word", "h", "c"])
 
-    return docs.select("t", "held").mapInArrow(run, "word binary, h long, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
+    return docs.select("t", "held").mapInArrow(tidy(run), "word binary, h long, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -136,7 +136,7 @@ def bit_counts(words: DataFrame) -> list[np.ndarray]:
                     base += 2 << s
         yield from _blocks(out)
 
-    vec = _joined(sum_arrays(words.filter("c > 0").select("word").mapInArrow(run, "key int, salt int, vec binary"), "float32"), total)
+    vec = _joined(sum_arrays(words.filter("c > 0").select("word").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float32"), total)
     out, base = [], 0
     for s in SLOTS:
         out.append(vec[base : base + (2 << s)].reshape(-1, 2).astype(np.float32))
@@ -234,7 +234,7 @@ def train(words: DataFrame, rate: float = 0.5) -> Mixer:
         if n:
             yield from _blocks(np.concatenate([[n], n * m.weights.ravel(), (m.refine - shared.value.refine).ravel()]))
 
-    got = _joined(sum_arrays(words.filter("c > 0").select("word").mapInArrow(run, "key int, salt int, vec binary"), "float64"), 1 + start.weights.size + cells)
+    got = _joined(sum_arrays(words.filter("c > 0").select("word").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float64"), 1 + start.weights.size + cells)
     if got[0]:
         start = Mixer(start.counts, got[1 : 1 + start.weights.size].reshape(shape) / got[0], start.refine + got[1 + start.weights.size :].reshape(-1, 2))
     return start
@@ -250,7 +250,7 @@ def spelled(words: DataFrame, mixer: Mixer) -> DataFrame:
             lp = [shared.value.log2(some) for (some,) in runs(w)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.concatenate(lp) if lp else np.zeros(0))], ["h", "c", "lp"])
 
-    return words.select("word", "h", "c").mapInArrow(run, "h long, c long, lp double")
+    return words.select("word", "h", "c").mapInArrow(tidy(run), "h long, c long, lp double")
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +310,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([cols[0].take(at), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(u[key % max(len(u), 1)].view(np.int64)), pa.array(tf), z, z, f, f, z], ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", "model", "bytes"])
 
     schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, model double, bytes long"
-    rows = table(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held", "t").mapInArrow(run, schema), "lm-rows")
+    rows = table(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held", "t").mapInArrow(tidy(run), schema), "lm-rows")
     rest = values.filter(F.col("c") < (1 << least)).groupBy("h").agg(F.max("c").alias("c"), F.max("lp").alias("lp"))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
             b, m = logs(c, lp)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(c > 0, tf, 0)), pa.array(b * tf), pa.array(m * tf)], ["rid", "n_known", "base", "model"])
 
-    priced = rows.filter("h is not null").select("rid", "h", "tf").join(rest, "h").select("rid", "tf", "c", "lp").mapInArrow(price, "rid long, n_known long, base double, model double")
+    priced = rows.filter("h is not null").select("rid", "h", "tf").join(rest, "h").select("rid", "tf", "c", "lp").mapInArrow(tidy(price), "rid long, n_known long, base double, model double")
     priced = priced.groupBy("rid").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("model").alias("m"))
     whole = rows.filter("h is null").join(priced, "rid", "left")
     model = F.col("model") + F.coalesce("m", F.lit(0.0))

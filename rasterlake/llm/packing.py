@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .runtime import table
+from .runtime import table, tidy
 
 #: Distinct space-separated strings whose ids a worker remembers before it starts afresh.
 CACHE = 500_000
@@ -123,8 +123,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                             cols[k].append(v)
                         seen[size] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "task" else pa.int64()) for k, v in cols.items()], list(cols))
+        encode.known = {}
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t").mapInArrow(run, PIECES)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t").mapInArrow(tidy(run), PIECES)
 
 
 @dataclass(frozen=True)
@@ -208,7 +209,7 @@ def place(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
                 seq[at], off[at] = seqs[k] + rank[at] - firsts[k], offs[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:

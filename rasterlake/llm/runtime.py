@@ -64,6 +64,26 @@ def bitmap_position(column, bits: int = BITMAP_BITS):
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
+def tidy(step):
+    """A batch step that, at the end of its task, gives freed memory back: idle Python workers stay alive beside later tasks."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def sum_arrays(parts: DataFrame, dtype: str, salts: int = 32) -> dict[int, np.ndarray]:
     """Element-wise sums of binary arrays by key, in two levels: by (key, salt), then by key. For a fixed number of keys."""
     import pyarrow as pa
@@ -93,4 +113,4 @@ def hits(rows: DataFrame, wanted: DataFrame, key: list[str], n: int, keep: bool)
             if hit.any():
                 yield batch.filter(pa.array(hit)).drop_columns(["bitmap_pos"])
 
-    return rows.withColumn("bitmap_pos", bitmap_position(F.xxhash64(*key), bits)).mapInArrow(run, rows.schema)
+    return rows.withColumn("bitmap_pos", bitmap_position(F.xxhash64(*key), bits)).mapInArrow(tidy(run), rows.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .runtime import hits, table
+from .runtime import hits, table, tidy
 
 ANCHORS_PER_TASK, CONTEXTS_PER_TASK = 2_000_000, 5_000
 META = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("first", "<i4"), ("size", "<i4")])
@@ -128,8 +128,8 @@ def shared_anchors(docs: DataFrame, span: int, gram: int, parts: int) -> DataFra
             both = np.stack([h[order], df[order].astype(np.uint64)], 1)
             yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(t[cut]), pa.array([both[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["doc_id", "th", "anchors"])
 
-    sent = docs.filter("doc_id is not null").select("doc_id", "t", "th").mapInArrow(send, "part int, h binary, doc binary, th binary")
-    found = sent.repartition(parts, "part").mapInArrow(count, "doc_id long, th long, anchors binary")
+    sent = docs.filter("doc_id is not null").select("doc_id", "t", "th").mapInArrow(tidy(send), "part int, h binary, doc binary, th binary")
+    found = sent.repartition(parts, "part").mapInArrow(tidy(count), "doc_id long, th long, anchors binary")
     return found.groupBy("doc_id", "th").agg(F.collect_list("anchors").alias("anchors"))
 
 
@@ -344,8 +344,8 @@ def marked(docs: DataFrame, span: int = 50, gram: int = 8, hot: int = 50_000) ->
                 runs = e[:, 2:].astype("<i4")
                 yield pa.RecordBatch.from_arrays([pa.array(e[at, 0]), pa.array(e[at, 1]), pa.array([runs[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(e)), strict=True)], pa.binary())], ["doc_id", "th", "runs"])
 
-    sent = found.select("doc_id", "t", "th", "anchors").mapInArrow(send, "part int, meta binary, codes binary")
-    runs = sent.repartition(parts, "part").mapInArrow(match, "doc_id long, th long, runs binary")
+    sent = found.select("doc_id", "t", "th", "anchors").mapInArrow(tidy(send), "part int, meta binary, codes binary")
+    runs = sent.repartition(parts, "part").mapInArrow(tidy(match), "doc_id long, th long, runs binary")
     return runs.groupBy("doc_id", "th").agg(F.collect_list("runs").alias("runs"))
 
 
@@ -394,6 +394,6 @@ def dedupe(docs: DataFrame, span: int = 50, gram: int = 8, id_col: str = "doc_id
                     out.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else raw.decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string()), *(batch.column(c) for c in extra)], ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text", *extra])
 
-    clean = hits(d, runs, key, n, False).mapInArrow(finish, schema)
-    touched = hits(d, runs, key, n, True).join(runs, ["doc_id", "th"], "left").select("doc_id", "t", "runs", *extra).mapInArrow(finish, schema)
+    clean = hits(d, runs, key, n, False).mapInArrow(tidy(finish), schema)
+    touched = hits(d, runs, key, n, True).join(runs, ["doc_id", "th"], "left").select("doc_id", "t", "runs", *extra).mapInArrow(tidy(finish), schema)
     return clean.unionAll(touched)

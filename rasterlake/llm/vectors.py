@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .jaccard import Forest
-from .runtime import table
+from .runtime import table, tidy
 
 STORED_ROWS, QUERY_ROWS = 4096, 16384
 
@@ -102,7 +102,7 @@ def parsed(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([len(b) // 8 for b in out], pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "width", "vec"])
 
     v = vectors.selectExpr(f"cast(`{id_col}` as long) vec_id", f"cast(`{label_col}` as long) label", f"cast(`{vec_col}` as array<double>) v")
-    return v.filter("vec_id is not null and label is not null").mapInArrow(run, "vec_id long, label long, width int, vec binary")
+    return v.filter("vec_id is not null and label is not null").mapInArrow(tidy(run), "vec_id long, label long, width int, vec binary")
 
 
 def _unit(blobs) -> np.ndarray:
@@ -130,7 +130,7 @@ def links(entries: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
                     ["label", "rep", "copies", "vec", "list", "role", "codes", "error"],
                 )
 
-    rows = entries.select("label", "rep", "copies", "vec").mapInArrow(index, "label long, rep long, copies long, vec binary, list int, role int, codes binary, error double")
+    rows = entries.select("label", "rep", "copies", "vec").mapInArrow(tidy(index), "label long, rep long, copies long, vec binary, list int, role int, codes binary, error double")
     rows = table(rows, "pq-lists")
     sizes = rows.groupBy("label", "list").agg(F.ceil(F.sum(1 - F.col("role")) / STORED_ROWS).cast("int").alias("ms"), F.ceil(F.sum("role") / QUERY_ROWS).cast("int").alias("qs"))
     rows = rows.join(sizes.filter("ms > 0"), ["label", "list"])
@@ -185,7 +185,7 @@ def links(entries: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
                 held.append(batch.slice(a, b - a))
         yield from done()
 
-    return rows.repartition("label", "list", "block").sortWithinPartitions("label", "list", "block").mapInArrow(run, "rep long, n long, a long, b long")
+    return rows.repartition("label", "list", "block").sortWithinPartitions("label", "list", "block").mapInArrow(tidy(run), "rep long, n long, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_000, per_list: int = 200, max_lists: int = 1024, subspaces: int = 8, codes: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
