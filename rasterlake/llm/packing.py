@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                             cols[k].append(v)
                         seen[size] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "task" else pa.int64()) for k, v in cols.items()], list(cols))
-        encode.known = {}
+        _TOKENIZERS.clear()  # a worker outlives its task, and need not hold this beside the next one's
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) t").mapInArrow(tidy(run), PIECES)
 
