@@ -217,9 +217,9 @@ def sony_curve(spark, d):
     return spark.range(4096).select(F.col("id").alias("x")).withColumn("y", numeric.doubling_curve([1500, 2000, 2500, 3000], 4096))
 
 
-@query("SELECT event_id, round(((0.0001 * value + -0.002) * value + 0.5) * value + 1.5 + value, 6) AS y FROM events")
+@query("SELECT event_id, round(((0.0001 * value + -0.002) * value + 0.5) * value + 1.5 + value, 10) AS y FROM events")
 def poly_curve(spark, d):
-    return read(spark, d, "events").select("event_id", F.round(numeric.polynomial(F.col("value"), [1.5, 0.5, -0.002, 0.0001]), 6).alias("y"))
+    return read(spark, d, "events").select("event_id", F.round(numeric.polynomial(F.col("value"), [1.5, 0.5, -0.002, 0.0001]), 10).alias("y"))
 
 
 U = "abs(v)"
