@@ -6,6 +6,12 @@ predicts a word bit by bit (bytes, most significant bit first, then a space): se
 counts, their stretched probabilities are combined by weights that a gate selects, and an adaptive probability map refines the
 result. Weights and map are learned online, each bit being predicted from counts without its own word before it is learned.
 
+A text's probability is a Bayesian mixture over classes of training documents (their languages, where a column names them) and
+over the weights of a cache of the text's own earlier words, which refines adaptively. A class interpolates its own
+discounted word counts with the model of all classes. The mixture weighs each component by how well it predicted the text's
+earlier tokens; the class of the text that is scored is not looked at. With a cache the n-th token has the probability
+(a p + c) / (a + n), where a is the model's weight, c counts the token among the n before it; the product depends on a text's word counts alone.
+
 Word and bit counts cover all training documents. Counts of words are aggregated before any shuffle of note; every distinct
 word is scored once; per text, frequent words are looked up in a table of bounded size and the rest are joined.
 
@@ -37,6 +43,8 @@ BLOCK = 1 << 14
 #: Rows of the broadcast table of frequent words.
 FREQUENT = 1 << 19
 DISCOUNT = 0.7
+#: Classes of training documents, the last being all others; and weights of the model against a text's earlier tokens.
+CLASSES, CACHES = 5, (200.0, 3000.0)
 WORDS_AT_ONCE = 1 << 13  # bytes of words that one step predicts
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -47,23 +55,38 @@ def fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, h, c: every distinct word of docs (doc_id, t, held) with its count in those not held out."""
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the gamma function for x > 0: Stirling's series after eight steps up."""
+    x = np.asarray(x, float)
+    down = np.log(x)
+    for i in range(1, 8):
+        down = down + np.log(x + i)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - down
+
+
+def word_counts(docs: DataFrame, classes: int) -> DataFrame:
+    """word, h, c, k0, k1...: every distinct word of docs (t, held, k) with its counts, whole and by class, in those not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, held = T.text_column(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            texts, held, kind = T.text_column(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), np.asarray(batch.column(2))
             for lo, hi in T.slices(texts, 2 * T.CHUNK_BYTES):
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
-                h, at, inv = np.unique(w.ids, return_index=True, return_inverse=True)
-                c = np.bincount(inv, ~held[lo:hi][w.doc], len(h)).astype(np.int64)
+                h, first, inv = np.unique(w.ids, return_index=True, return_inverse=True)
+                c = np.bincount(inv * classes + kind[lo:hi][w.doc], ~held[lo:hi][w.doc], len(h) * classes).astype(np.int64).reshape(-1, classes)
+                word_at, of = np.nonzero(c)
+                none = np.flatnonzero(c.sum(1) == 0)
+                word_at, of = np.concatenate([word_at, none]), np.concatenate([of, np.zeros(len(none), np.int64)])
+                c, h, at = c[word_at, of], h[word_at], first[word_at]
                 size = (w.ends - w.starts)[at]
                 off = np.concatenate([[0], np.cumsum(size)])
                 data = _LOW[w.buf][np.arange(off[-1]) - np.repeat(off[:-1] - w.starts[at], size)]
                 word = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([word, pa.array(h.view(np.int64)), pa.array(c)], ["word", "h", "c"])
+                yield pa.RecordBatch.from_arrays([word, pa.array(h.view(np.int64)), pa.array(c), pa.array(of)], ["word", "h", "c", "k"])
 
-    return docs.select("t", "held").mapInArrow(tidy(run), "word binary, h long, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
+    found = docs.select("t", "held", "k").mapInArrow(tidy(run), "word binary, h long, c long, k long")
+    return found.groupBy("h", "word").agg(F.sum("c").alias("c"), *(F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"k{i}") for i in range(classes)))
 
 
 @dataclass
@@ -241,26 +264,82 @@ def train(words: DataFrame, rate: float = 0.5) -> Mixer:
 
 
 def spelled(words: DataFrame, mixer: Mixer) -> DataFrame:
-    """h, c and the spelling model's log2 probability of every distinct word."""
+    """h, c, k0, k1... and the spelling model's log2 probability of every distinct word."""
+    counts = [c for c in words.columns if c not in ("word", "h")]
     shared = words.sparkSession.sparkContext.broadcast(mixer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = batch.column(0).to_pylist()
             lp = [shared.value.log2(some) for (some,) in runs(w)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.concatenate(lp) if lp else np.zeros(0))], ["h", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(lp) if lp else np.zeros(0))], ["h", *counts, "lp"])
+
+    return words.select("word", "h", *counts).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ["h", *counts]) + ", lp double")
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What a word's probabilities need besides its own counts: tokens, distinct tokens and documents, whole and by class."""
+
+    n: int
+    v: int
+    docs: int
+    ns: tuple[int, ...]
+    vs: tuple[int, ...]
+    class_docs: tuple[int, ...]
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / (self.n + self.v + 1))
+
+    def whole(self, c: np.ndarray, lp: np.ndarray) -> np.ndarray:
+        """log10 probability over all classes, from a count and the spelling's log2 probability."""
+        back = DISCOUNT * self.v / self.n if self.n else 1.0
+        p = np.maximum(c - DISCOUNT, 0) / max(self.n, 1) + back * np.exp2(np.maximum(lp, -1000.0))
+        return np.where((lp < -900) & (c == 0), lp * np.log10(2) + np.log10(back), np.log10(np.maximum(p, 1e-300)))
+
+    def by_class(self, k: int, c: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """log10 probability in class k, from a count there and the probability over all classes."""
+        if not self.ns[k]:
+            return whole
+        own, back = np.maximum(c - DISCOUNT, 0) / self.ns[k], DISCOUNT * self.vs[k] / self.ns[k]
+        return np.where(own > 0, np.log10(own + back * 10 ** np.maximum(whole, -300.0)), np.log10(back) + whole)
+
+    def ends(self) -> np.ndarray:
+        """log10 probability of the end token by class."""
+        whole = np.log10(np.array([max(self.docs - DISCOUNT, 0) / max(self.n, 1) or 1.0 / (self.n + self.v + 1)]))
+        return np.concatenate([self.by_class(k, np.array([c]), whole) for k, c in enumerate(self.class_docs)])
+
+
+def cached(a: float, lm: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """log10 of (a p)(a p + 1)...(a p + tf - 1), for log10 probabilities lm of words that a text holds tf times."""
+    out = lm + np.log10(a)
+    more = np.flatnonzero(tf > 1)
+    ap = a * 10 ** np.maximum(lm[more], -300.0)
+    out[more] += (lgamma(ap + tf[more]) - lgamma(ap + 1)) / np.log(10)
+    return out
 
-    return words.select("word", "h", "c").mapInArrow(tidy(run), "h long, c long, lp double")
 
+def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
+    class_col: training documents with one of its most frequent values are a class, all others (null too) one more; without that
+    column there is one class.
+    """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held"))
-    words = table(word_counts(d), "lm-words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    n_docs = d.filter("not held").count()
-    n, v = n + n_docs, v + (n_docs > 0)
+    name = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held"), name.alias("name"))
+    top = [r["name"] for r in d.filter("not held and name is not null").groupBy("name").count().orderBy(F.desc("count"), "name").limit(CLASSES - 1).collect()]
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, top)), F.col("name")), F.lit(0)) if top else F.lit(0)
+    d = d.withColumn("k", kind.cast("long")).drop("name")
+    ks = [f"k{i}" for i in range(len(top) + 1)]
+    words = table(word_counts(d, len(ks)), "lm-words")
+    sums = words.agg(*(f for c in ("c", *ks) for f in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0)))).first()
+    found = {r["k"]: r["count"] for r in d.filter("not held").groupBy("k").count().collect()}
+    in_class = tuple(found.get(i, 0) for i in range(len(ks)))
+    of = (sum(in_class), *in_class)
+    ns, vs = [x + m for x, m in zip(sums[::2], of, strict=True)], [x + (m > 0) for x, m in zip(sums[1::2], of, strict=True)]
+    totals = Totals(ns[0], vs[0], of[0], tuple(ns[1:]), tuple(vs[1:]), in_class)
+    n, n_docs = totals.n, totals.docs
     values = table(spelled(words, train(words)), "lm-values")
     # the least power of two that leaves no more frequent words than the table may hold
     levels = values.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()
@@ -271,59 +350,75 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
             break
         least = k
     frequent = values.filter(F.col("c") >= (1 << least)).toArrow()
-    back = DISCOUNT * v / max(n, 1) if n else 1.0
-
-    def logs(c: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the base and of the model's probability."""
-        p = np.maximum(c - DISCOUNT, 0) / max(n, 1) + back * np.exp2(np.maximum(lp, -1000.0))
-        return np.log10((c + 1) / (n + v + 1)), np.where(lp < -900, np.where(c > 0, np.log10(np.maximum(p, 1e-300)), lp * np.log10(2) + np.log10(back)), np.log10(np.maximum(p, 1e-300)))
-
     h, order = np.unique(frequent["h"].to_numpy().view(np.uint64), return_index=True)
-    c, lp = (frequent[x].to_numpy()[order] for x in ("c", "lp"))
-    fb, fm = logs(c, lp)
-    del frequent, order, lp
-    end = tuple(float(x[0]) for x in (np.log10(np.array([(n_docs + 1) / (n + v + 1)])), np.log10(np.array([max(n_docs - DISCOUNT, 0) / max(n, 1) or 1.0 / (n + v + 1)]))))
-    shared = spark.sparkContext.broadcast((h, c > 0, fb, fm))
+    c = frequent["c"].to_numpy()[order]
+    whole = totals.whole(c, frequent["lp"].to_numpy()[order])
+    fk = np.stack([totals.by_class(i, frequent[k].to_numpy()[order], whole) for i, k in enumerate(ks)]).astype(np.float32)
+    fb = totals.base(c)
+    del frequent, order, whole
+    base_end, ends = float(totals.base(np.array(n_docs))), totals.ends()
+    shared = spark.sparkContext.broadcast((h, c > 0, fb, fk))
+    parts = [f"m{i}_{j}" for i in range(len(ks)) for j in range(len(CACHES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fh, known, base, model = shared.value
+        fh, known, base, by_class = shared.value
+        names = ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", *parts, "bytes"]
         for batch in batches:
             texts = T.text_column(batch.column(3))
             for lo, hi in T.slices(texts):
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
                 u, inv = np.unique(w.ids, return_inverse=True)
-                k = np.minimum(np.searchsorted(fh, u), max(len(fh) - 1, 0))
-                hit = fh[k] == u if len(fh) else np.zeros(len(u), bool)
-                pick = lambda x: np.where(hit, x[k] if len(x) else 0, 0)[inv]  # noqa: B023, E731
+                place = np.minimum(np.searchsorted(fh, u), max(len(fh) - 1, 0))
+                hit = fh[place] == u if len(fh) else np.zeros(len(u), bool)
                 rows = hi - lo
+                key, tf = np.unique(w.doc * len(u) + inv, return_counts=True)
+                doc, word = key // max(len(u), 1), key % max(len(u), 1)
+                mine = np.flatnonzero(hit[word])
+                at, often, of = doc[mine], tf[mine], place[word[mine]]
+                add = lambda x: np.bincount(at, x, rows)  # noqa: B023, E731
+                made = [add(known[of] * often) + int(n_docs > 0), add(base[of] * often) + base_end]
+                for i in range(len(by_class)):
+                    lm = by_class[i][of].astype(np.float64)
+                    made += [add(cached(a, lm, often)) + ends[i] + np.log10(a) for a in CACHES]
+                made[0] = made[0].astype(np.int64)
                 cols = [batch.column(i).slice(lo, rows) for i in range(3)]
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, none, none, pa.array(w.counts + 1), pa.array(w.per_doc(pick(known.astype(np.int64))) + int(n_docs > 0)), pa.array(w.per_doc(pick(base)) + end[0]), pa.array(w.per_doc(pick(model)) + end[1]), pa.array(np.diff(w.offsets))],
-                    ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", "model", "bytes"],
-                )
-                rest = np.flatnonzero(~hit[inv])
-                key = w.doc[rest] * len(u) + inv[rest]
-                key, tf = np.unique(key, return_counts=True)
-                at, m = pa.array(key // max(len(u), 1)), len(key)
+                yield pa.RecordBatch.from_arrays([*cols, none, none, pa.array(w.counts + 1), *map(pa.array, made), pa.array(np.diff(w.offsets))], names)
+                rest = np.flatnonzero(~hit[word])
+                m = len(rest)
                 z, f = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                yield pa.RecordBatch.from_arrays([cols[0].take(at), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(u[key % max(len(u), 1)].view(np.int64)), pa.array(tf), z, z, f, f, z], ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", "model", "bytes"])
+                yield pa.RecordBatch.from_arrays([cols[0].take(pa.array(doc[rest])), z, pa.nulls(m, pa.bool_()), pa.array(u[word[rest]].view(np.int64)), pa.array(tf[rest]), z, z, f, *[f] * len(parts), z], names)
 
-    schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, model double, bytes long"
+    schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in parts) + ", bytes long"
     rows = table(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held", "t").mapInArrow(tidy(run), schema), "lm-rows")
-    rest = values.filter(F.col("c") < (1 << least)).groupBy("h").agg(F.max("c").alias("c"), F.max("lp").alias("lp"))
+    rest = values.filter(F.col("c") < (1 << least)).groupBy("h").agg(*(F.max(x).alias(x) for x in ("c", *ks, "lp")))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tf, c, lp = (np.asarray(batch.column(i)) for i in (1, 2, 3))
-            b, m = logs(c, lp)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(c > 0, tf, 0)), pa.array(b * tf), pa.array(m * tf)], ["rid", "n_known", "base", "model"])
-
-    priced = rows.filter("h is not null").select("rid", "h", "tf").join(rest, "h").select("rid", "tf", "c", "lp").mapInArrow(tidy(price), "rid long, n_known long, base double, model double")
-    priced = priced.groupBy("rid").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("model").alias("m"))
-    whole = rows.filter("h is null").join(priced, "rid", "left")
-    model = F.col("model") + F.coalesce("m", F.lit(0.0))
-    return whole.select(
-        "doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), model.alias("score"), (-model * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+            tf, c, lp, *counts = (np.asarray(x) for x in batch.columns[1:])
+            whole = totals.whole(c, lp)
+            made = [np.where(c > 0, tf, 0), totals.base(c) * tf]
+            for i, x in enumerate(counts):
+                lm = totals.by_class(i, x, whole)
+                made += [cached(a, lm, tf) for a in CACHES]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made)], ["rid", "n_known", "base", *parts])
+
+    priced = rows.filter("h is not null").select("rid", "h", "tf").join(rest, "h").select("rid", "tf", "c", "lp", *ks)
+    priced = priced.mapInArrow(tidy(price), "rid long, n_known long, base double, " + ", ".join(f"{x} double" for x in parts))
+    priced = priced.groupBy("rid").agg(*(F.sum(x).alias(f"r_{x}") for x in ("n_known", "base", *parts)))
+    got = rows.filter("h is null").join(priced, "rid", "left")
+    whole = {x: F.col(x) + F.coalesce(f"r_{x}", F.lit(0)) for x in ("n_known", "base", *parts)}
+    # a cache divides the n-th token's probability by its weight + n
+    spent = []
+    for a in CACHES:
+        y = F.col("n_tokens") + a
+        spent.append((F.lit(float(lgamma(a))) - ((y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y))) / float(np.log(10)))
+    share = [float(np.log10((m + 1) / (n_docs + len(ks)) / len(CACHES))) for m in in_class]
+    each = F.array(*(whole[f"m{i}_{j}"] + share[i] + spent[j] for i in range(len(ks)) for j in range(len(CACHES))))
+    out = got.select("doc_id", "held", "n_tokens", "bytes", whole["n_known"].alias("n_known"), whole["base"].alias("base"), each.alias("each"))
+    top_one = F.array_max("each")
+    model = top_one + F.log10(F.aggregate("each", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - top_one)))
+    return out.select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), model.alias("score"), (-model * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -218,6 +218,29 @@ def test_scores(docs, empty, texts):
     assert not lm.score(empty).count()
 
 
+def test_cache_is_the_product_of_its_steps():
+    text, p = [0, 1, 0, 2, 0, 1], np.array([0.02, 1e-7, 0.4])
+    for a in lm.CACHES:
+        steps = sum(np.log10((a * p[w] + text[:i].count(w)) / (a + i)) for i, w in enumerate(text))
+        spent = (lm.lgamma(a) - lm.lgamma(a + len(text))) / np.log(10)
+        assert lm.cached(a, np.log10(p), np.bincount(text)).sum() + spent == pytest.approx(steps, rel=1e-9)
+
+
+def test_class_probabilities_sum_to_one():
+    c, k = np.array([5, 2, 1, 0]), np.array([[5, 0, 1, 0], [0, 2, 0, 0]])
+    totals = lm.Totals(8, 3, 0, (6, 2), (2, 1), (0, 0))
+    whole = totals.whole(c, np.log2(np.array([0.1, 0.2, 0.3, 0.4])))  # a spelling model of four words only
+    assert (10**whole).sum() == pytest.approx(1)
+    for i in range(2):
+        assert (10 ** totals.by_class(i, k[i], whole)).sum() == pytest.approx(1)
+
+
+def test_scores_without_classes(docs, texts):
+    alone = {r["doc_id"]: r for r in lm.score(docs.drop("lang")).collect()}
+    known = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    assert all(alone[i]["base_score"] == pytest.approx(known[i]["base_score"], rel=1e-9) and alone[i]["score"] < 0 for i in range(len(texts)))
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.net/x?q"), (2, "https://b.example.net/en/5"), (3, "http://example.com/de/1#t"), (4, "x.org/fr/"), (5, None), (6, "ftp://m.q.org/fr/a/b"), (7, "http://notnet/p"), (8, "http://example.com"), (None, "http://a.net/")]
     rows += [(100 + i, f"http://h.io/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)]
