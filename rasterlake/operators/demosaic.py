@@ -82,3 +82,29 @@ def chroma(px: DataFrame) -> DataFrame:
     p = neighbours(px, {"w1": (0, -1), "e1": (0, 1)})
     between = F.when(F.col("e1").isNull(), F.col("w1")).otherwise(F.expr("(w1 + e1 + 1) div 2"))
     return p.select("r", "c", F.when(F.pmod(F.col("c"), F.lit(2)) == 1, between).otherwise(F.col("v")).cast("long").alias("v"))
+
+
+DIAGONALS = RING | {"nw2": (-2, -2), "ne2": (-2, 2), "sw2": (2, -2), "se2": (2, 2)}
+
+
+def ppg_red_blue(px: DataFrame, height: int, width: int) -> DataFrame:
+    """Red and blue of an RGGB mosaic (r, c, v) with a whole green plane g, three or more from the edge.
+
+    At green samples both come from the neighbours beside and above. At red and blue samples the other one comes from the diagonal
+    with the lesser gradient; north-west to south-east if they tie. A null sample or guide is a missing neighbour: null.
+    """
+    p = neighbours(px.select("r", "c", F.struct("v", "g").alias("v")), DIAGONALS).filter(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4))
+    v, g = (lambda n: F.col(f"{n}.v")), (lambda n: F.col(f"{n}.g"))
+
+    def between(a: str, b: str) -> Column:
+        return hue_transit(g(a), g("v"), g(b), v(a), v(b))
+
+    def gradient(a: str, b: str) -> Column:
+        return F.abs(v(a) - v(b)) + F.abs(v(a + "2") - v("v")) + F.abs(v("v") - v(b + "2")) + F.abs(g(a) - g("v")) + F.abs(g("v") - g(b))
+
+    other = F.when(gradient("ne", "sw") < gradient("nw", "se"), between("ne", "sw")).otherwise(between("nw", "se"))
+    even = F.pmod(F.col("r"), F.lit(2)) == 0
+    beside, above = between("w1", "e1"), between("n1", "s1")
+    red = F.when(is_green() & even, beside).when(is_green(), above).when(even, v("v")).otherwise(other)
+    blue = F.when(is_green() & even, above).when(is_green(), beside).when(even, other).otherwise(v("v"))
+    return p.select("r", "c", red.alias("red"), blue.alias("blue"))
