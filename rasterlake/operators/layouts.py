@@ -33,16 +33,56 @@ def quads(blocks: DataFrame) -> DataFrame:
     return blocks.select("r", "c", F.posexplode("v").alias("k", "s")).select((F.col("r") * 2 + F.expr("k div 2")).cast("long").alias("r"), (F.col("c") * 2 + F.expr("k % 2")).cast("long").alias("c"), F.col("s").alias("v"))
 
 
-def on_45_degrees(px: DataFrame, width: int, layout: bool = False) -> DataFrame:
-    """Samples of a sensor turned by 45 degrees, spread over a square whose diagonals they fill. layout: the columns run doubled."""
+def on_45_degrees(px: DataFrame, width: int, other: bool = False) -> DataFrame:
+    """Samples of a sensor turned by 45 degrees, spread over a square whose diagonals they fill. other: columns are staggered, not lines."""
     r, c = F.col("r"), F.col("c")
-    if layout:
-        new = (width - 1 - c + F.floor(r / 2), F.floor((r + 1) / 2) + c)
-    else:
-        new = (width - 1 + r - F.floor(c / 2), r + F.floor((c + 1) / 2))
+    half = lambda x: F.floor(x / 2)
+    new = (width // 2 - 1 + r - half(c), half(c + 1) + r) if other else (width - 1 - c + half(r), half(r + 1) + c)
     return px.select(new[0].cast("long").alias("r"), new[1].cast("long").alias("c"), "v")
 
 
+def upright(px: DataFrame, height: int, width: int, turned: int) -> DataFrame:
+    """The upright rectangle inside a square that is turned by 45 degrees, sampled bilinearly; turned: width of the sensor's side.
+
+    Places whose four neighbours are not all inside take the nearest sample, or 0 outside. Each target names its sources, and one
+    join on (r, c) brings them; the target grid is generated, not collected.
+    """
+    spark, root = px.sparkSession, 2**0.5
+    sides = sorted((int(turned * root), int((width - turned) * root)))
+    h, w = sides
+    at = spark.range(h * w).select(F.expr(f"id div {w}").alias("tr"), F.expr(f"id % {w}").alias("tc"))
+    dx, dy = F.col("tc") - w / 2, F.col("tr") - h / 2
+    at = at.withColumns({"x": (dx + dy) * 0.5**0.5 + width / 2, "y": (dy - dx) * 0.5**0.5 + height / 2})
+    at = at.withColumns({"x0": F.floor("x"), "y0": F.floor("y"), "sx": F.round("x").cast("long"), "sy": F.round("y").cast("long")})
+    fx, fy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    part = lambda r, c, k: F.struct(r.alias("r"), c.alias("c"), k.alias("k"))
+    x0, y0 = F.col("x0"), F.col("y0")
+    four = F.array(part(y0, x0, (1 - fx) * (1 - fy)), part(y0, x0 + 1, fx * (1 - fy)), part(y0 + 1, x0, (1 - fx) * fy), part(y0 + 1, x0 + 1, fx * fy))
+    inside = (x0 >= 0) & (y0 >= 0) & (x0 + 1 < width) & (y0 + 1 < height)
+    parts = at.select("tr", "tc", F.explode(F.when(inside, four).otherwise(F.array(part(F.col("sy"), F.col("sx"), F.lit(1.0))))).alias("p")).select("tr", "tc", "p.*")
+    got = parts.join(px, ["r", "c"], "left").groupBy("tr", "tc").agg(F.coalesce(F.sum(F.col("k") * F.col("v")), F.lit(0.0)).alias("v"))
+    return got.select(F.col("tr").alias("r"), F.col("tc").alias("c"), "v")
+
+
+def quadrants(px: DataFrame, split_row: int, split_col: int) -> DataFrame:
+    """Adds qr and qc, 1 from the splits on."""
+    return px.withColumns({"qr": (F.col("r") >= split_row).cast("int"), "qc": (F.col("c") >= split_col).cast("int")})
+
+
+def quadrant_black(px: DataFrame, black: int, by_line: DataFrame, by_column: DataFrame, split_row: int, split_col: int) -> DataFrame:
+    """Samples less the black level, plus by_line (r, qc, up) and by_column (c, qr, across), from 0 to 65535; unlisted corrections are 0."""
+    p = quadrants(px, split_row, split_col).join(by_line, ["r", "qc"], "left").join(by_column, ["c", "qr"], "left")
+    x = F.col("v") - black + F.coalesce("up", F.lit(0)) + F.coalesce("across", F.lit(0))
+    return p.select("r", "c", F.least(F.greatest(x, F.lit(0)), F.lit(65535)).cast("long").alias("v"))
+
+
+def quadrant_gain(px: DataFrame, gains: list[list[float]], split_row: int, split_col: int) -> DataFrame:
+    """Samples times the gain of their quadrant, cut to integers from 0 to 65535."""
+    qr, qc = F.col("r") >= split_row, F.col("c") >= split_col
+    gain = F.when(qr & qc, gains[1][1]).when(qr, gains[1][0]).when(qc, gains[0][1]).otherwise(gains[0][0])
+    return px.select("r", "c", F.least(F.greatest(F.floor(F.col("v") * gain), F.lit(0)), F.lit(65535)).cast("long").alias("v"))
+
+
 def byte_sums(rows: DataFrame, keys: list[str], order: str, step: int = 1) -> DataFrame:
     """Running sums modulo 256 of byte differences (v), step apart within a line."""
     from pyspark.sql import Window

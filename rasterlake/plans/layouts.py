@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterlake.operators import demosaic, layouts
+from rasterlake.operators import demosaic, grid, layouts
 
 from .queries import PX, near, px, query, read, rounded, shape
 
@@ -30,11 +30,43 @@ def quads_unpacked(spark, d):
     return layouts.quads(x).withColumn("v", F.col("v").cast("double"))
 
 
-@query(f"WITH {PX} SELECT 63 + r - c // 2 AS r, r + (c + 1) // 2 AS c, v FROM px")
+@query(f"WITH {PX} SELECT 63 - c + r // 2 AS r, (r + 1) // 2 + c AS c, v FROM px")
 def sensor_45_degrees(spark, d):
     return layouts.on_45_degrees(px(spark, d), 64)
 
 
+@query(f"WITH {PX} SELECT 31 + r - c // 2 AS r, (c + 1) // 2 + r AS c, v FROM px")
+def sensor_45_degrees_other(spark, d):
+    return layouts.on_45_degrees(px(spark, d), 64, other=True)
+
+
+_NEAR = "CASE WHEN x0 >= 0 AND y0 >= 0 AND x0 + 1 < 64 AND y0 + 1 < 64"
+
+
+@query(
+    f"WITH {PX}, sq AS (SELECT * FROM px WHERE r < 64), t AS (SELECT tr, tc, (tc - 28 + tr - 16.5) * sqrt(0.5::DOUBLE) + 32 AS x, (tr - 16.5 - (tc - 28)) * sqrt(0.5::DOUBLE) + 32 AS y FROM (SELECT CAST(a.i AS DOUBLE) AS tr, CAST(b.i AS DOUBLE) AS tc FROM range(0, 33) a(i), range(0, 56) b(i))), "
+    "k AS (SELECT *, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0, CAST(round(x) AS BIGINT) AS sx, CAST(round(y) AS BIGINT) AS sy FROM t) "
+    f"SELECT CAST(tr AS BIGINT) AS r, CAST(tc AS BIGINT) AS c, round(coalesce({_NEAR} THEN a.v * (1 - x + x0) * (1 - y + y0) + b.v * (x - x0) * (1 - y + y0) + p.v * (1 - x + x0) * (y - y0) + q.v * (x - x0) * (y - y0) ELSE o.v END, 0), 9) AS v FROM k "
+    "LEFT JOIN sq a ON a.r = y0 AND a.c = x0 LEFT JOIN sq b ON b.r = y0 AND b.c = x0 + 1 LEFT JOIN sq p ON p.r = y0 + 1 AND p.c = x0 LEFT JOIN sq q ON q.r = y0 + 1 AND q.c = x0 + 1 LEFT JOIN sq o ON o.r = sy AND o.c = sx"
+)
+def upright_45_degrees(spark, d):
+    """Of the square that the first 64 lines form."""
+    return rounded(layouts.upright(px(spark, d).filter("r < 64"), 64, 64, 24), 9, "v")
+
+
+@query(f"WITH {PX}, i AS (SELECT r, c, CAST(floor((v + 1) * 1000) AS BIGINT) AS v FROM px) SELECT r, c, least(greatest(v - 300 + CASE WHEN c >= 30 THEN r % 7 ELSE r % 5 END + CASE WHEN r >= 40 THEN c % 3 ELSE 0 END, 0), 65535) AS v FROM i")
+def quadrant_black(spark, d):
+    x = grid.integers(px(spark, d))
+    lines = x.select("r").distinct().select("r", F.explode(F.array(F.struct(F.lit(0).alias("qc"), (F.col("r") % 5).alias("up")), F.struct(F.lit(1).alias("qc"), (F.col("r") % 7).alias("up")))).alias("s")).select("r", "s.*")
+    columns = spark.range(64).select(F.col("id").alias("c"), F.lit(1).alias("qr"), (F.col("id") % 3).alias("across"))
+    return layouts.quadrant_black(x, 300, lines, columns, 40, 30)
+
+
+@query(f"WITH {PX}, i AS (SELECT r, c, CAST(floor((v + 1) * 1000) AS BIGINT) AS v FROM px) SELECT r, c, CAST(floor(v * CASE WHEN r >= 40 AND c >= 30 THEN 1.25::DOUBLE WHEN r >= 40 THEN 0.75::DOUBLE WHEN c >= 30 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) AS BIGINT) AS v FROM i")
+def quadrant_gain(spark, d):
+    return layouts.quadrant_gain(grid.integers(px(spark, d)), [[1.0, 1.5], [0.75, 1.25]], 40, 30)
+
+
 @query(f"WITH {PX}, b AS (SELECT r, c, CAST(floor((v + 1) * 100) AS BIGINT) AS v FROM px) SELECT r, c, CAST(sum(v) OVER (PARTITION BY r, c % 2 ORDER BY c) % 256 AS BIGINT) AS v FROM b")
 def byte_sums(spark, d):
     return layouts.byte_sums(px(spark, d).withColumn("v", F.floor((F.col("v") + 1) * 100).cast("long")), ["r"], "c", 2)
@@ -42,9 +74,7 @@ def byte_sums(spark, d):
 
 @query(f"WITH {PX}, {near('px', 'nw=-1:-1 ne=-1:1 sw=1:-1 se=1:1')}, m AS (SELECT *, (nw + ne + sw + se) / 4 AS m FROM nb WHERE nw + ne + sw + se IS NOT NULL) SELECT r, c, round((m * 4 - CASE greatest(abs(nw - m), abs(ne - m), abs(sw - m), abs(se - m)) WHEN abs(nw - m) THEN nw WHEN abs(ne - m) THEN ne WHEN abs(sw - m) THEN sw ELSE se END) / 3, 9) AS v FROM m")
 def outlier_dropped(spark, d):
-    from rasterlake.operators.grid import neighbours
-
-    p = neighbours(px(spark, d), {"nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)})
+    p = grid.neighbours(px(spark, d), {"nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)})
     return p.select("r", "c", F.round(layouts.without_outlier(*(F.col(n) for n in ("nw", "ne", "sw", "se"))), 9).alias("v")).filter("v is not null")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlake.functions import colour
-from rasterlake.operators import grid, levels, lookup, lossless
+from rasterlake.operators import grid, layouts, levels, lookup, lossless
 from rasterlake.plans import develop
 from rasterlake.streaming import ingest
 
@@ -56,3 +56,10 @@ def test_ingest(spark, tmp_path):
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {r["path"].rpartition("/")[2]: r["store_original"] for r in spark.read.parquet(str(tmp_path / "out")).select("path", F.col("store_original")).collect()}
     assert got == {"a.CR2": False, "b.txt": True}
+
+
+def test_taken_at(spark):
+    rows = [("2024:02:29 12:00:00", 2, "+05:00"), ("2024:02:29 12:00:00", None, "-01:30"), ("2024:02:29 12:00:00", None, None), ("29.2.2024", 1, None), (None, None, "")]
+    df = spark.createDataFrame(rows, "t string, h int, o string")
+    got = [r["s"] for r in df.select(F.date_format(layouts.taken_at(df.t, df.h, df.o), "HH:mm").alias("s")).collect()]
+    assert got == ["10:00", "13:30", "12:00", None, None]
