@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlake import attach
 
-from . import chat, fertility, gam, jaccard, lm, mixing, packing, substrings, urls, vectors
+from . import chat, fertility, gam, jaccard, lm, mixing, oracles, packing, substrings, urls, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -71,4 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_snapshots, op2_tokeniser_fertility, op3_product_quantisation, op4_suffix_automata, op5_additive_quality, op6_token_groups, op7_shortest_pack_first, op8_context_mixing, op9_path_templates, op10_temperature_mix)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_chat_snapshots": oracles.CHAT,
+    "op3_product_quantisation": oracles.VECTORS,
+    "op4_suffix_automata": oracles.SUBSTRINGS,
+    "op6_token_groups": oracles.JACCARD,
+    "op9_path_templates": oracles.templates(RULES),
+    "op10_temperature_mix": oracles.MIXING,
+}
