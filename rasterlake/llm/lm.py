@@ -44,7 +44,8 @@ BLOCK = 1 << 14
 FREQUENT = 1 << 19
 DISCOUNT = 0.7
 #: Classes of training documents, the last being all others; and weights of the model against a text's earlier tokens.
-CLASSES, CACHES = 5, (200.0, 3000.0)
+#: The weights were chosen on an inner fold of training documents (fold 3), without looking at held-out ones.
+CLASSES, CACHES = 5, (100.0, 5000.0)
 WORDS_AT_ONCE = 1 << 13  # bytes of words that one step predicts
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
