@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import bits
 from rasterlake.sinks import images
-from rasterlake.sources import containers
+from rasterlake.sources import containers, segments
 
 from .queries import ORACLE, QUERIES, read
 
@@ -82,3 +82,62 @@ def file_kinds(spark, d) -> DataFrame:
 
 QUERIES["file_kinds"] = file_kinds
 ORACLE["file_kinds"] = "SELECT 'tiff' AS kind, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL"
+
+
+def _padded(x: np.ndarray, width: int) -> np.ndarray:
+    """The image's samples in lines of another width, after their number."""
+    flat = np.concatenate([[x.size], x.ravel()])
+    return np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)
+
+
+def _unpadded(x: np.ndarray) -> np.ndarray:
+    return x.ravel()[1 : 1 + x.flat[0]]
+
+
+_both("tiff_lzw", lambda x: images.tiff(x, rows=5, lzw=True), containers.tiff_image)
+for _order in ("lsb", "msb"):
+    _both(f"controlled_{_order}", lambda x, o=_order: segments.pack_controlled(_padded(x, 10), o, 170), lambda b, o=_order: _unpadded(segments.unpack_controlled(b, o, 10, len(b) // 16)))
+_both("two_fields", lambda x: bytes([len(_padded(x, 10))]) + segments.pack_fields(_padded(x, 10)), lambda b: _unpadded(segments.unpack_fields(b[1:], 10, b[0])))
+
+_EXTRA = ((271, 2, " Maker "), (272, 2, "One"), (274, 3, [6]), (306, 2, "2024:02:29 12:00:00"), (33434, 5, [1, 250]), (33437, 5, [28, 10]), (34855, 3, [400]), (37386, 5, [50, 0]), (42036, 2, "50mm"))
+
+
+def _jpeg(x: np.ndarray) -> bytes:
+    exif = segments.segment(0xFFE1, segments.EXIF + images.tiff(x[:1], extra=_EXTRA))
+    return b"\xff\xd8" + segments.segment(0xFFE0, b"JFIF\0") + exif + segments.segment(0xFFE1, segments.XMP + b"<x/>") + segments.segment(0xFFDB, bytes(x.size)) + b"\xff\xd9"
+
+
+def jpeg_segments(spark, d) -> DataFrame:
+    """Segments of a file for each line of the grid."""
+    found = segments.jpeg_rows(written(spark, d, _jpeg))
+    return found.filter("holds is null").groupBy("place", "name").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+QUERIES["jpeg_segments"] = jpeg_segments
+ORACLE["jpeg_segments"] = "WITH e AS (SELECT count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) AS s FROM embeddings WHERE embedding IS NOT NULL) SELECT CAST(k AS INTEGER) AS place, name, n, CASE k WHEN 1 THEN n * 5 WHEN 4 THEN s ELSE 0 END AS bytes FROM e, (VALUES (0, 'start'), (1, 'app0'), (4, 'other'), (5, 'end')) t(k, name)"
+
+
+def exif_records(spark, d) -> DataFrame:
+    """Records of the files that JPEG segments hold."""
+
+    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "content": [segments.exif_of(c) for c in batch["content"]]})
+
+    held = written(spark, d, _jpeg).mapInPandas(inner, "path string, content binary")
+    got = segments.exif_records(containers.tiff_tags(held))
+    return got.select(F.col("path").cast("long").alias("vec_id"), "make", "model", "modify_date", "lens_model", "artist", "orientation", "exposure_time", "f_number", "iso", "focal_length", "flash")
+
+
+QUERIES["exif_records"] = exif_records
+ORACLE["exif_records"] = "SELECT vec_id, 'Maker' AS make, 'One' AS model, '2024:02:29 12:00:00' AS modify_date, '50mm' AS lens_model, CAST(NULL AS VARCHAR) AS artist, 6.0::DOUBLE AS orientation, 0.004::DOUBLE AS exposure_time, 2.8::DOUBLE AS f_number, 400.0::DOUBLE AS iso, CAST(NULL AS DOUBLE) AS focal_length, CAST(NULL AS DOUBLE) AS flash FROM embeddings WHERE embedding IS NOT NULL"
+
+
+def ciff_entries(spark, d) -> DataFrame:
+    """Entries of a file for each line of the grid: a text, a value in the record, and a heap with the samples."""
+    made = written(spark, d, lambda x: segments.ciff([(0x0805, b"a text"), (0x5029, bytes(8)), (0x300A, [(0x2005, x.astype("<u2").tobytes())])]))
+    return segments.ciff_rows(made).groupBy("heap", "tag", "type").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+QUERIES["ciff_entries"] = ciff_entries
+ORACLE["ciff_entries"] = "WITH e AS (SELECT count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) * 2 AS s FROM embeddings WHERE embedding IS NOT NULL) SELECT heap, CAST(tag AS INTEGER) AS tag, CAST(tag & 14336 AS INTEGER) AS type, n, n * k + m * s AS bytes FROM e, (VALUES ('', 2053, 6, 0), ('', 4137, 8, 0), ('', 12298, 16, 1), ('/12298', 8197, 0, 1)) t(heap, tag, k, m)"

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 
 from rasterlake.functions import bits
+from rasterlake.functions import lzw as codec
 
 BLOCK = 1 << 16
 
@@ -19,8 +20,11 @@ def pnm(samples: np.ndarray, top: int = 65535) -> bytes:
     return f"P{5 if n == 1 else 6} {w} {h} {top}\n".encode() + samples.astype(">u2" if top > 255 else "u1").tobytes()
 
 
-def tiff(samples: np.ndarray, tile: int = 0, lossless: bool = False, rows: int = 256) -> bytes:
-    """A little-endian TIFF of 16-bit integers or 32-bit floats: strips of so many rows, or square tiles whose edges repeat."""
+def tiff(samples: np.ndarray, tile: int = 0, lossless: bool = False, rows: int = 256, lzw: bool = False, extra: tuple = ()) -> bytes:
+    """A little-endian TIFF of 16-bit integers or 32-bit floats: strips of so many rows, or square tiles whose edges repeat.
+
+    extra: further entries (tag, type, values): type 2 is text, 3 and 4 are whole numbers, 5 is a flat list of rationals.
+    """
     h, w, n = samples.shape
     real = samples.dtype.kind == "f"
     if tile:
@@ -28,17 +32,17 @@ def tiff(samples: np.ndarray, tile: int = 0, lossless: bool = False, rows: int =
         parts = [padded[r : r + tile, c : c + tile] for r in range(0, h, tile) for c in range(0, w, tile)]
     else:
         parts = [samples[r : r + rows] for r in range(0, h, rows)]
-    data = [bits.ljpeg_encode(p, 16) if lossless else zlib.compress(p.astype("<f4").tobytes()) if real else p.astype("<u2").tobytes() for p in parts]
+    data = [bits.ljpeg_encode(p, 16) if lossless else zlib.compress(p.astype("<f4").tobytes()) if real else codec.encode(p.astype("<u2").tobytes()) if lzw else p.astype("<u2").tobytes() for p in parts]
     places = 8 + np.cumsum([0, *map(len, data)])
     shape = [(322, 4, [tile]), (323, 4, [tile]), (324, 4, places[:-1]), (325, 4, [len(x) for x in data])] if tile else [(273, 4, places[:-1]), (278, 4, [rows]), (279, 4, [len(x) for x in data])]
-    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32 if real else 16] * n), (259, 3, [7 if lossless else 8 if real else 1]), (262, 3, [2 if n == 3 else 1]), (277, 3, [n]), (339, 3, [3 if real else 1] * n), *shape]
+    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32 if real else 16] * n), (259, 3, [7 if lossless else 8 if real else 5 if lzw else 1]), (262, 3, [2 if n == 3 else 1]), (277, 3, [n]), (339, 3, [3 if real else 1] * n), *shape, *extra]
     body = b"".join(data)
     body += bytes(len(body) % 2)
     start = 8 + len(body)
     head, more, after = struct.pack("<H", len(entries)), b"", start + 2 + 12 * len(entries) + 4
     for tag, kind, values in sorted(entries, key=lambda x: x[0]):
-        raw = struct.pack("<" + {3: "H", 4: "I"}[kind] * len(values), *map(int, values))
-        head += struct.pack("<HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", after + len(more)))
+        raw = values.encode("latin-1") + b"\0" if kind == 2 else struct.pack("<" + {3: "H", 4: "I", 5: "I"}[kind] * len(values), *map(int, values))
+        head += struct.pack("<HHI", tag, kind, len(raw) // {2: 1, 3: 2, 4: 4, 5: 8}[kind]) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", after + len(more)))
         more += raw if len(raw) > 4 else b""
     return struct.pack("<2sHI", b"II", 42, start) + body + head + bytes(4) + more
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.functions import bits
+from rasterlake.functions import bits, lzw
 
 #: Kind, place and leading bytes (hex); the first that fits names the kind.
 MAGIC = (
@@ -84,7 +84,7 @@ def tiff_tags(files: DataFrame) -> DataFrame:
 
 
 def tiff_image(content: bytes, directory: str = "0") -> np.ndarray:
-    """height x width x channels of a directory: strips or tiles, uncompressed, lossless JPEG (7) or deflate (8)."""
+    """height x width x channels of a directory: strips or tiles, uncompressed, LZW (5), lossless JPEG (7) or deflate (8)."""
     found = {t[1]: t for t in tags(content) if t[0] == directory}
     one = lambda tag, other: int(found[tag][4][0]) if tag in found else other
     w, h, n, depth, how, real = one(256, 0), one(257, 0), one(277, 1), one(258, 1), one(259, 1), one(339, 1) == 3
@@ -102,8 +102,8 @@ def tiff_image(content: bytes, directory: str = "0") -> np.ndarray:
             block = bits.ljpeg_decode(part).reshape(rows, bw, n)
         elif how == 8 and one(317, 1) == 3:
             block = bits.inflate_floats(part, bw, rows, n, depth)
-        elif how in (1, 8):
-            part = zlib.decompress(part) if how == 8 else part
+        elif how in (1, 5, 8):
+            part = zlib.decompress(part) if how == 8 else lzw.decode(part) if how == 5 else part
             block = bits.floats(part, depth, little) if real else np.frombuffer(part, ("<" if little else ">") + f"u{depth // 8}") if depth in (8, 16, 32) else bits.unpack(part, depth, "msb", bw * n, rows, -(-bw * n * depth // 8))
             block = block.reshape(rows, bw, n)
         else:
