@@ -82,3 +82,25 @@ def in_rects(px: DataFrame, rects: list[tuple[int, int, int, int]]) -> DataFrame
 
 def line_window(*keys: str):
     return Window.partitionBy(*keys)
+
+
+def nearest(px: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
+    """A smaller image whose samples are those under the centres of its pixels.
+
+    A source sample is under one centre at most, so that each knows its own place: no join, no shuffle.
+    """
+
+    def place(c: str, size: int, to: int) -> tuple[Column, Column]:
+        t = F.ceil((F.col(c) * to * 2 - size) / (2 * size)).cast("long")
+        return t, (F.floor((t * 2 + 1) * size / (2 * to)) == F.col(c)) & (t >= 0) & (t < to)
+
+    if to_height > height or to_width > width:
+        raise ValueError("the image would grow")
+    (r, r_hit), (c, c_hit) = place("r", height, to_height), place("c", width, to_width)
+    return px.filter(r_hit & c_hit).select(r.alias("r"), c.alias("c"), "v")
+
+
+def fitted(height: int, width: int, box_height: int, box_width: int) -> tuple[int, int]:
+    """Height and width within a box, in proportion, each at least 1; a smaller image stays."""
+    scale = min(1.0, box_height / height, box_width / width)
+    return max(1, round(height * scale)), max(1, round(width * scale))

@@ -66,3 +66,41 @@ def free_names(wanted: DataFrame, stem: str, order: str) -> DataFrame:
     """Suffix _k for repeated names, in order."""
     k = F.row_number().over(Window.partitionBy(stem).orderBy(order)) - 1
     return wanted.withColumn("output", F.when(k == 0, F.col(stem)).otherwise(F.concat_ws("_", F.col(stem), k.cast("string"))))
+
+
+def unique_in_range(facts: DataFrame, dim: DataFrame, fact_id: str, group: str, at: str, low: str, high: str, value: str, least: tuple[str, str] | None = None) -> DataFrame:
+    """fact_id, value of the only reference row of the fact's group whose range holds ``at``; null if none or several do.
+
+    least: (fact column, reference column) that the fact must reach. A null in the fact is a wildcard, a null bound is open. The
+    join is an equi-join on the group, whose ranges are tested within it; counts are combined before the shuffle.
+    """
+    d = dim.select(F.col(group).alias("d_group"), F.col(low).alias("d_low"), F.col(high).alias("d_high"), F.col(value).alias("d_value"), *([F.col(least[1]).alias("d_least")] if least else []))
+    fits = F.col(at).isNull() | (F.coalesce(F.col(at) >= F.col("d_low"), F.lit(True)) & F.coalesce(F.col(at) <= F.col("d_high"), F.lit(True)))
+    if least:
+        fits = fits & F.coalesce(F.col(least[0]) >= F.col("d_least"), F.lit(True))
+    found = facts.join(d, (F.col(group) == F.col("d_group")) & fits, "left").groupBy(fact_id).agg(F.count("d_value").alias("n"), F.min("d_value").alias("v"))
+    return found.select(fact_id, F.when(F.col("n") == 1, F.col("v")).alias(value))
+
+
+def retried(facts: DataFrame, dim: DataFrame, key: str, patched: Column, value: str) -> DataFrame:
+    """The value of the key, else that of the patched key; dim has one row a key."""
+    a = dim.select(F.col(key).alias("k1"), F.col(value).alias("v1"))
+    b = dim.select(F.col(key).alias("k2"), F.col(value).alias("v2"))
+    f = facts.withColumn("patched", patched)
+    f = f.join(a, F.col(key) == F.col("k1"), "left").join(b, F.col("v1").isNull() & (F.col("patched") == F.col("k2")), "left")
+    return f.withColumn(value, F.coalesce("v1", "v2")).drop("k1", "k2", "v1", "v2", "patched")
+
+
+#: File extensions of raw images.
+EXTENSIONS = ("ARI", "ARW", "CR2", "CR3", "CRM", "CRW", "DCR", "DCS", "DNG", "ERF", "IIQ", "KDC", "MEF", "MOS", "MRW", "NEF", "NRW", "ORF", "ORI", "PEF", "RAF", "RAW", "RW2", "RWL", "SRW", "3FR", "FFF", "X3F", "QTK")
+
+
+def supported(path: Column) -> Column:
+    """Whether the last extension of a path is one of raw images, in any case; false for null and for none."""
+    return F.coalesce(F.upper(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*EXTENSIONS), F.lit(False))
+
+
+def frames(files: DataFrame, stem: str, count: str) -> DataFrame:
+    """One row per frame (from 0), with its output's name: the stem alone, or with four digits if there are several frames."""
+    f = files.filter(F.col(count) > 0).withColumn("frame", F.explode(F.sequence(F.lit(0), (F.col(count) - 1).cast("int"))))
+    return f.withColumn("output", F.when(F.col(count) == 1, F.col(stem)).otherwise(F.format_string("%s_%04d", F.col(stem), F.col("frame"))))

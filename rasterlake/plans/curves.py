@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterlake.operators import curves, grid, sensor
+from rasterlake.operators import curves, grid, lookup, sensor
 
-from .queries import IX, ix, near, px, query, read, rounded
+from .queries import IX, PX, ix, near, px, query, read, rounded
 
 GRID = f"WITH RECURSIVE {IX}"
 KNOTS = "k AS (SELECT i, 60000 * i * i // 256 AS y FROM range(0, 17) t(i))"
@@ -253,3 +253,42 @@ def level_priority(spark, d):
     masked = grid.crop(ix(spark, d), 0, 0, 8, 1 << 40).groupBy(grid.phase().alias("k")).agg(F.round(F.avg("v")).cast("long").alias("masked"))
     known = spark.createDataFrame([(0, 10, 20), (1, None, 21), (2, None, None)], "k int, camera int, file int")
     return spark.range(5).select(F.col("id").cast("int").alias("k")).join(masked, "k", "left").join(known, "k", "left").select("k", sensor.pick_level(F.col("camera"), F.col("file"), F.col("masked")).cast("long").alias("level"))
+
+
+@query(
+    "WITH d AS (SELECT p_partkey, p_brand, p_size AS low, p_size + 3 AS high FROM part WHERE p_partkey % 40 = 0), f AS (SELECT l_orderkey * 8 + l_linenumber AS id, p_brand, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS q FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = l_partkey) "
+    "SELECT id, CASE WHEN count(d.p_partkey) = 1 THEN min(d.p_partkey) END AS p_partkey FROM f LEFT JOIN d ON d.p_brand = f.p_brand AND (q IS NULL OR q BETWEEN low AND high) GROUP BY id"
+)
+def unique_range_lookup(spark, d):
+    part = read(spark, d, "part")
+    dim = part.filter("p_partkey % 40 = 0").select("p_partkey", "p_brand", F.col("p_size").alias("low"), (F.col("p_size") + 3).alias("high"))
+    line = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
+    f = line.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    f = f.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "p_brand", F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("q"))
+    return lookup.unique_in_range(f, dim, "id", "p_brand", "q", "low", "high", "p_partkey")
+
+
+@query("SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS c_name FROM (SELECT o_orderkey, o_custkey * 2 AS k FROM orders) LEFT JOIN customer a ON a.c_custkey = k LEFT JOIN customer b ON b.c_custkey = k // 2 AND a.c_name IS NULL")
+def lookup_retried(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("c_custkey"))
+    c = read(spark, d, "customer").select("c_custkey", "c_name")
+    return lookup.retried(o, c, "c_custkey", F.expr("c_custkey div 2"), "c_name").select("o_orderkey", "c_name")
+
+
+@query("WITH p AS (SELECT o_orderkey, 'a.b/x.' || ['dng', 'Cr3', 'txt', 'NEF', 'dng/y', ''][o_orderkey % 6 + 1] AS path FROM orders) SELECT o_orderkey, coalesce(regexp_matches(path, '(?i)\\.(dng|cr3|nef)$'), false) AS ok FROM p")
+def supported_files(spark, d):
+    names = F.array(*map(F.lit, ("dng", "Cr3", "txt", "NEF", "dng/y", "")))
+    o = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("a.b/x."), F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("path"))
+    return o.select("o_orderkey", lookup.supported(F.col("path")).alias("ok"))
+
+
+@query("SELECT o_orderkey, CAST(f AS INTEGER) AS frame, CASE WHEN n = 1 THEN stem ELSE printf('%s_%04d', stem, f) END AS output FROM (SELECT o_orderkey, 'IMG' || o_orderkey AS stem, o_custkey % 4 AS n FROM orders), range(0, 4) t(f) WHERE f < n")
+def frame_names(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("IMG"), F.col("o_orderkey")).alias("stem"), (F.col("o_custkey") % 4).alias("n"))
+    return lookup.frames(o, "stem", "n").select("o_orderkey", "frame", "output")
+
+
+@query(f"WITH {PX}, e AS (SELECT max(r) + 1 AS h FROM px), t AS (SELECT i AS r, j AS c, (2 * i + 1) * h // 126 AS sr, (2 * j + 1) * 64 // 46 AS sc FROM e, range(0, 63) a(i), range(0, 23) b(j)) SELECT t.r, t.c, v FROM t JOIN px ON px.r = sr AND px.c = sc")
+def nearest_preview(spark, d):
+    p = px(spark, d)
+    return grid.nearest(p, p.agg(F.max("r")).first()[0] + 1, 64, 63, 23)

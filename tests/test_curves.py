@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import curves, sensor
+from rasterlake.operators import curves, grid, lookup, sensor
 
 
 @pytest.mark.parametrize("seed", [0, 1, 65536, curves.MODULUS, 2 * curves.MODULUS, (1 << 32) - 1, *random.Random(1).sample(range(1 << 32), 6)])
@@ -50,3 +50,18 @@ def test_cut(spark):
 def test_byte_ranges(spark):
     parts = spark.createDataFrame([(1, 0, 8, 4), (1, 1, 12, 4), (2, 0, 8, 4), (2, 1, 13, 1)], "f long, i long, at long, n long")
     assert sorted(map(tuple, sensor.byte_ranges(parts, "f", "i", "at", "n").collect())) == [(1, 8, 8), (2, 8, 4), (2, 13, 1)]
+
+
+def test_nearest(spark):
+    px = spark.createDataFrame([(r, c, 100 * r + c) for r in range(11) for c in range(7)], "r long, c long, v long")
+    for th, tw in ((11, 7), (4, 3), (1, 1), (10, 2)):
+        got = {(r["r"], r["c"]): r["v"] for r in grid.nearest(px, 11, 7, th, tw).collect()}
+        assert got == {(i, j): 100 * ((2 * i + 1) * 11 // (2 * th)) + (2 * j + 1) * 7 // (2 * tw) for i in range(th) for j in range(tw)}
+    assert grid.fitted(3000, 4000, 768, 1024) == (768, 1024) and grid.fitted(5, 4, 768, 1024) == (5, 4)
+
+
+def test_unique_in_range(spark):
+    dim = spark.createDataFrame([("m", 10, 20, 2.0, "a"), ("m", 15, None, 4.0, "b"), ("k", 1, 9, None, "c")], "g string, low int, high int, f double, name string")
+    facts = spark.createDataFrame([(1, "m", 12, 2.8), (2, "m", 18, 5.0), (3, "m", 18, 3.0), (4, "k", None, None), (5, "x", 5, 1.0), (6, None, 5, 1.0)], "id int, g string, at int, stop double")
+    got = {r["id"]: r["name"] for r in lookup.unique_in_range(facts, dim, "id", "g", "at", "low", "high", "name", ("stop", "f")).collect()}
+    assert got == {1: "a", 2: None, 3: "a", 4: "c", 5: None, 6: None}
