@@ -6,11 +6,15 @@ predicts a word bit by bit (bytes, most significant bit first, then a space): se
 counts, their stretched probabilities are combined by weights that a gate selects, and an adaptive probability map refines the
 result. Weights and map are learned online, each bit being predicted from counts without its own word before it is learned.
 
-A text's probability is a Bayesian mixture over classes of training documents (their languages, where a column names them) and
+The same kind of mixer also runs over the token stream of every text, in order: the contexts are the bytes before and the words
+before, across word boundaries, and its tables, weights and map are learned from all tokens of all training documents. A text's
+probability is half that mixer's, half that of the words' model, which follows.
+
+The words' model is a Bayesian mixture over classes of training documents (their languages, where a column names them) and
 over the weights of a cache of the text's own earlier words, which refines adaptively. A class interpolates its own
 discounted word counts with the model of all classes. The mixture weighs each component by how well it predicted the text's
 earlier tokens; the class of the text that is scored is not looked at. With a cache the n-th token has the probability
-(a p + c) / (a + n), where a is the model's weight, c counts the token among the n before it; the product depends on a text's word counts alone.
+(a p + c) / (a + n), where a is the model's weight, c counts the token among the n before it; its product depends on a text's word counts alone.
 
 Word and bit counts cover all training documents. Counts of words are aggregated before any shuffle of note; every distinct
 word is scored once; per text, frequent words are looked up in a table of bounded size and the rest are joined.
@@ -278,6 +282,182 @@ def spelled(words: DataFrame, mixer: Mixer) -> DataFrame:
     return words.select("word", "h", *counts).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ["h", *counts]) + ", lp double")
 
 
+#: The mixer over whole texts. Its contexts: bytes before, and the word so far with so many words before it, across word boundaries.
+ORDERS, WORDS_BACK = (1, 2, 3, 4, 6), (0, 1, 2)
+STREAM_BITS = 19  # slots (as a power of two) of each context's table
+COUNT_AT_ONCE, STREAM_AT_ONCE = 1 << 16, 1 << 13  # bytes
+_TRUSTED = (3, 6)  # contexts whose counts select the gate: four bytes, and a word with the word before it
+_NODE = np.ones((256, 8), np.int64)
+for _i in range(1, 8):
+    _NODE[:, _i] = _NODE[:, _i - 1] * 2 + (np.arange(256) >> (8 - _i) & 1)
+_NODE = (T.mix(_NODE.astype(np.uint64)) >> np.uint64(64 - STREAM_BITS)).astype(np.int64)  # of each byte's bits, hashed
+_BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.int64)
+
+
+@dataclass
+class Stream:
+    """The tokens of a run of texts as bytes: each word and a space, then the end token, a newline."""
+
+    b: np.ndarray
+    doc: np.ndarray  # text of each byte
+    ctx: list[np.ndarray]  # for each context, a hash per byte of what precedes it in its text
+
+    def parts(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For a run of bytes: the bytes, their bits and, for each context, the bits' slots (bytes x 8)."""
+        for lo in range(0, len(self.b), size):
+            b = self.b[lo : lo + size]
+            node = _NODE[b]
+            yield slice(lo, lo + size), _BIT[b].ravel(), [((h[lo : lo + size] >> np.uint64(64 - STREAM_BITS)).astype(np.int64)[:, None] ^ node).ravel() for h in self.ctx]
+
+
+def stream(texts: pa.LargeStringArray) -> Stream:
+    w = T.words(texts, lower=True)
+    rows, doc = len(texts), w.doc
+    size = w.ends - w.starts + 1
+    first = np.cumsum(size) - size
+    off = np.arange(size.sum()) - np.repeat(first, size)
+    at = first + doc  # each text before has one end token
+    b = np.full(len(off) + rows, 10, np.uint8)
+    last = off == np.repeat(size, size) - 1
+    b[off + np.repeat(at, size)] = np.where(last, 32, _LOW[np.append(w.buf, np.uint8(0))[np.where(last, 0, off + np.repeat(w.starts, size))]])
+    of_doc = np.bincount(doc, size, rows).astype(np.int64) + 1
+    begin = np.cumsum(of_doc) - of_doc
+    of = np.repeat(np.arange(rows), of_doc)
+    begins = begin[of]
+    starts = np.sort(np.concatenate([at, begin + of_doc - 1]))
+    token = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(b))))
+    power, inverse = T._powers(len(b) + 1)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T._TABLE[b] * power[: len(b)], dtype=np.uint64)])
+    here = np.arange(len(b))
+    froms = [np.maximum(here - k, begins) for k in ORDERS] + [np.maximum(starts[np.maximum(token - k, 0)], begins) for k in WORDS_BACK]
+    return Stream(b, of, [T.mix((prefix[:-1] - prefix[f]) * inverse[f] + ((here - f) * 16 + j).astype(np.uint64)) for j, f in enumerate(froms)])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Stream]:
+    for batch in batches:
+        texts = T.text_column(batch.column(0))
+        for lo, hi in T.slices(texts):
+            yield stream(texts.slice(lo, hi - lo))
+
+
+def stream_counts(docs: DataFrame) -> np.ndarray:
+    """contexts x slots x 2 counts of zeros and ones over every token of every text of docs (t)."""
+    shape = (len(ORDERS) + len(WORDS_BACK), 2 << STREAM_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(shape, np.float32)
+        for x in _texts(batches):
+            for _, bit, slots in x.parts(COUNT_AT_ONCE):
+                for j, slot in enumerate(slots):
+                    out[j] += np.bincount(2 * slot + bit, minlength=shape[1])
+        if out.any():
+            yield from _blocks(out.ravel())
+
+    vec = _joined(sum_arrays(docs.select("t").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float32"), shape[0] * shape[1])
+    return vec.astype(np.float32).reshape(shape[0], -1, 2)
+
+
+@dataclass
+class StreamMixer:
+    """As Mixer, over whole texts: the gate is the bit's place in its byte and how often two of the contexts were seen."""
+
+    counts: np.ndarray
+    weights: np.ndarray
+    refine: np.ndarray
+
+    @classmethod
+    def start(cls, counts: np.ndarray) -> StreamMixer:
+        w = np.full((DEPTHS * TRUST * TRUST, len(counts) + 1), 0.2)
+        w[:, -1] = 0
+        return cls(counts, w, np.ones((256 * STEPS, 2)) * 0.02 + _map_prior())
+
+    @cached_property
+    def stretched(self) -> np.ndarray:
+        return np.log((self.counts[:, :, 1] + np.float32(0.1)) / (self.counts[:, :, 0] + np.float32(0.1)))
+
+    @cached_property
+    def seen(self) -> list[np.ndarray]:
+        return [np.searchsorted(LEVELS, self.counts[j].sum(1)) for j in _TRUSTED]
+
+    def inputs(self, bit: np.ndarray, slots: list[np.ndarray], own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions (inputs x bits) and gate of every bit; own: each bit is in the counts, and is left out."""
+        s = np.ones((len(slots) + 1, len(bit)), np.float32)
+        gate = np.tile(np.arange(8), len(bit) // 8)
+        one = bit.astype(np.float32)
+        for j, slot in enumerate(slots):
+            if own:
+                n = self.counts[j].view(np.uint64).ravel().take(slot).view(np.float32).reshape(-1, 2)
+                n0, n1 = np.maximum(n[:, 0] + one - 1, 0), np.maximum(n[:, 1] - one, 0)
+                np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1)), out=s[j])
+                if j in _TRUSTED:
+                    gate = gate * TRUST + np.searchsorted(LEVELS, n0 + n1)
+            else:
+                self.stretched[j].take(slot, out=s[j], mode="clip")
+                if j in _TRUSTED:
+                    gate = gate * TRUST + self.seen[_TRUSTED.index(j)].take(slot)
+        return s, gate
+
+    @staticmethod
+    def mixed(s: np.ndarray, w: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(gate), np.float32)
+        for x, column in zip(s, w.T.astype(np.float32), strict=True):
+            z += x * column.take(gate)
+        return np.clip(z, -12, 12)
+
+    def refined(self, z: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        entry = np.repeat(before.astype(np.int64), 8) * STEPS + np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+        share = self.refine[:, 1] / self.refine.sum(1)
+        return np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * share[entry], 1e-6, 1 - 1e-6), entry
+
+    def learn(self, x: Stream, rate: float) -> None:
+        before = _before(x)
+        for at, bit, slots in x.parts(STREAM_AT_ONCE):
+            s, gate = self.inputs(bit, slots, True)
+            z = self.mixed(s, self.weights, gate)
+            err = bit - 1 / (1 + np.exp(-z))
+            n = np.maximum(np.bincount(gate, minlength=len(self.weights)), 1)
+            for j, of in enumerate(s):
+                self.weights[:, j] += rate * np.bincount(gate, err * of, len(self.weights)) / n / 8
+            _, entry = self.refined(z, before[at])
+            self.refine += np.bincount(2 * entry + bit, minlength=self.refine.size).reshape(-1, 2)
+
+    def log10(self, x: Stream, rows: int) -> np.ndarray:
+        """log10 probability of each text's tokens in their order."""
+        before, out = _before(x), np.zeros(rows)
+        for at, bit, slots in x.parts(STREAM_AT_ONCE):
+            s, gate = self.inputs(bit, slots, False)
+            p, _ = self.refined(self.mixed(s, self.weights, gate), before[at])
+            out += np.bincount(x.doc[at], np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1), rows)
+        return out
+
+
+def _before(x: Stream) -> np.ndarray:
+    """The byte before each; a newline at a text's start, the end token of the one before."""
+    return np.concatenate([np.array([10], np.uint8), x.b[:-1]])
+
+
+def train_stream(docs: DataFrame, rate: float = 0.5) -> StreamMixer:
+    """Each task mixes its training texts online from the same start; weights are averaged by bytes, map counts are summed."""
+    start = StreamMixer.start(stream_counts(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(start)
+    shape, cells = start.weights.shape, start.refine.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = StreamMixer(shared.value.counts, shared.value.weights.copy(), shared.value.refine.copy())
+        n = 0
+        for x in _texts(batches):
+            m.learn(x, rate)
+            n += len(x.b)
+        if n:
+            yield from _blocks(np.concatenate([[n], n * m.weights.ravel(), (m.refine - shared.value.refine).ravel()]))
+
+    got = _joined(sum_arrays(docs.select("t").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float64"), 1 + start.weights.size + cells)
+    shared.unpersist()
+    if got[0]:
+        start = StreamMixer(start.counts, got[1 : 1 + start.weights.size].reshape(shape) / got[0], start.refine + got[1 + start.weights.size :].reshape(-1, 2))
+    return start
+
+
 @dataclass(frozen=True)
 class Totals:
     """What a word's probabilities need besides its own counts: tokens, distinct tokens and documents, whole and by class."""
@@ -341,6 +521,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
     ns, vs = [x + m for x, m in zip(sums[::2], of, strict=True)], [x + (m > 0) for x, m in zip(sums[1::2], of, strict=True)]
     totals = Totals(ns[0], vs[0], of[0], tuple(ns[1:]), tuple(vs[1:]), in_class)
     n, n_docs = totals.n, totals.docs
+    whole_texts = spark.sparkContext.broadcast(train_stream(d.filter("not held")))
     values = table(spelled(words, train(words)), "lm-values")
     # the least power of two that leaves no more frequent words than the table may hold
     levels = values.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()
@@ -363,10 +544,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fh, known, base, by_class = shared.value
-        names = ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", *parts, "bytes"]
+        names = ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", *parts, "bytes", "flow"]
         for batch in batches:
             texts = T.text_column(batch.column(3))
             for lo, hi in T.slices(texts):
+                flow = whole_texts.value.log10(stream(texts.slice(lo, hi - lo)), hi - lo)
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
                 u, inv = np.unique(w.ids, return_inverse=True)
                 place = np.minimum(np.searchsorted(fh, u), max(len(fh) - 1, 0))
@@ -384,13 +566,13 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
                 made[0] = made[0].astype(np.int64)
                 cols = [batch.column(i).slice(lo, rows) for i in range(3)]
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*cols, none, none, pa.array(w.counts + 1), *map(pa.array, made), pa.array(np.diff(w.offsets))], names)
+                yield pa.RecordBatch.from_arrays([*cols, none, none, pa.array(w.counts + 1), *map(pa.array, made), pa.array(np.diff(w.offsets)), pa.array(flow)], names)
                 rest = np.flatnonzero(~hit[word])
                 m = len(rest)
                 z, f = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                yield pa.RecordBatch.from_arrays([cols[0].take(pa.array(doc[rest])), z, pa.nulls(m, pa.bool_()), pa.array(u[word[rest]].view(np.int64)), pa.array(tf[rest]), z, z, f, *[f] * len(parts), z], names)
+                yield pa.RecordBatch.from_arrays([cols[0].take(pa.array(doc[rest])), z, pa.nulls(m, pa.bool_()), pa.array(u[word[rest]].view(np.int64)), pa.array(tf[rest]), z, z, f, *[f] * len(parts), z, f], names)
 
-    schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in parts) + ", bytes long"
+    schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in parts) + ", bytes long, flow double"
     rows = table(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held", "t").mapInArrow(tidy(run), schema), "lm-rows")
     rest = values.filter(F.col("c") < (1 << least)).groupBy("h").agg(*(F.max(x).alias(x) for x in ("c", *ks, "lp")))
 
@@ -416,9 +598,12 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
         spent.append((F.lit(float(lgamma(a))) - ((y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y))) / float(np.log(10)))
     share = [float(np.log10((m + 1) / (n_docs + len(ks)) / len(CACHES))) for m in in_class]
     each = F.array(*(whole[f"m{i}_{j}"] + share[i] + spent[j] for i in range(len(ks)) for j in range(len(CACHES))))
-    out = got.select("doc_id", "held", "n_tokens", "bytes", whole["n_known"].alias("n_known"), whole["base"].alias("base"), each.alias("each"))
+    out = got.select("doc_id", "held", "n_tokens", "bytes", "flow", whole["n_known"].alias("n_known"), whole["base"].alias("base"), each.alias("each"))
     top_one = F.array_max("each")
-    model = top_one + F.log10(F.aggregate("each", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - top_one)))
+    by_words = top_one + F.log10(F.aggregate("each", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - top_one)))
+    # the words' model and the mixer over the whole text, half of the prior each
+    better = F.greatest(by_words, F.col("flow"))
+    model = better + F.log10(F.pow(F.lit(10.0), by_words - better) + F.pow(F.lit(10.0), F.col("flow") - better)) - float(np.log10(2))
     return out.select(
         "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), model.alias("score"), (-model * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),

@@ -241,6 +241,33 @@ def test_scores_without_classes(docs, texts):
     assert all(alone[i]["base_score"] == pytest.approx(known[i]["base_score"], rel=1e-9) and alone[i]["score"] < 0 for i in range(len(texts)))
 
 
+def test_scores_read_texts_in_order(spark):
+    """Word counts alone would give a text and its words in reverse the same score."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[(i + k) % 40] for k in range(30))) for i in range(200)]
+    rows += [(1000 + i, " ".join(reversed(t.split()))) for i, t in rows]
+    rows = [(i, t) for i, t in rows if i < 1000 or zlib.crc32(str(i).encode()) % 7 == 2]
+    got = {r["doc_id"]: r["score"] for r in lm.score(attach(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    back = [i for i in got if i >= 1000]
+    assert back and all(got[i - 1000] > got[i] + 5 for i in back)
+
+
+def test_stream_counts_every_token(spark, docs, texts):
+    """The mixer's tables against a plain loop over the bytes of all texts."""
+    want = Counter()
+    for t in texts:
+        b = "".join(w + " " for w in WORD.findall((t or "").translate(LOWER))).encode() + b"\n"
+        for i in range(len(b)):
+            want[b[max(i - 3, 0) : i], b[i]] += 1
+    import pyarrow as pa
+
+    x = lm.stream(pa.array([t or "" for t in texts], pa.large_string()))
+    got = Counter(zip(x.ctx[2].tolist(), x.b.tolist(), strict=True))
+    assert len(x.b) == sum(want.values()) and sorted(got.values()) == sorted(want.values())
+    counts = lm.stream_counts(docs.selectExpr("text as t"))
+    assert (counts.sum((1, 2)) == 8 * len(x.b)).all()
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.net/x?q"), (2, "https://b.example.net/en/5"), (3, "http://example.com/de/1#t"), (4, "x.org/fr/"), (5, None), (6, "ftp://m.q.org/fr/a/b"), (7, "http://notnet/p"), (8, "http://example.com"), (None, "http://a.net/")]
     rows += [(100 + i, f"http://h.io/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)]
