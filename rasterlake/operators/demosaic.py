@@ -108,3 +108,15 @@ def ppg_red_blue(px: DataFrame, height: int, width: int) -> DataFrame:
     red = F.when(is_green() & even, beside).when(is_green(), above).when(even, v("v")).otherwise(other)
     blue = F.when(is_green() & even, above).when(is_green(), beside).when(even, other).otherwise(v("v"))
     return p.select("r", "c", red.alias("red"), blue.alias("blue"))
+
+
+def ppg(px: DataFrame, height: int, width: int) -> DataFrame:
+    """Red, green and blue of every sample of an RGGB mosaic by gradients; means within three samples of the edge.
+
+    The guide of red and blue is the whole green plane, that of the edge included.
+    """
+    border = border_means(px, height, width)
+    green = ppg_green(px, height, width).unionByName(border.select("r", "c", "green"))
+    guided = px.select("r", "c", "v").join(green.withColumnRenamed("green", "g"), ["r", "c"])
+    inside = ppg_red_blue(guided, height, width).join(green, ["r", "c"])
+    return inside.select("r", "c", "red", "green", "blue").unionByName(border)

@@ -17,7 +17,7 @@ def develop(px: DataFrame, white: float, height: int, width: int, camera: np.nda
     if "rescale" in steps:
         px = levels.rescale(px, levels.black_levels(px), white)
     if "demosaic" in steps:
-        rgb = demosaic.bilinear(px)
+        rgb = demosaic.ppg(px, height, width)
     else:
         rgb = px.select("r", "c", *(F.col("v").alias(n) for n in ("red", "green", "blue")))
     if "calibrate" in steps:

@@ -378,6 +378,6 @@ def orientation_flips(spark, d):
 
 @query()
 def develop_srgb(spark, d):
-    """The whole pipeline on the grid; tests check the number of its rows only, its steps have queries of their own."""
+    """The whole pipeline on the grid; its values have no SQL: tests hold the reconstruction against loops, and its steps have queries of their own."""
     h, w = shape(spark, d)
     return develop.develop(grid.integers(px(spark, d)).withColumn("v", F.col("v").cast("double")), 2000.0, h, w, CAMERA, crop=(8, 8, 48, max(h - 16, 0)))

@@ -40,6 +40,53 @@ def test_levels_and_colour(spark):
     assert develop.develop(px, 1.0, 8, 10, np.eye(3), crop=(2, 2, 4, 4)).count() == 16
 
 
+def by_gradients(v):
+    """Red, green and blue of an RGGB mosaic, by loops over samples."""
+    h, w = v.shape
+    kind = lambda y, x: 1 if (y + x) % 2 else 0 if y % 2 == 0 else 2
+    out = np.zeros((h, w, 3))
+    inner = [(y, x) for y in range(3, h - 3) for x in range(3, w - 3)]
+    for y, x in np.ndindex(h, w):
+        near = [(b, a) for b in range(max(y - 1, 0), min(y + 2, h)) for a in range(max(x - 1, 0), min(x + 2, w))]
+        for k in range(3):
+            out[y, x, k] = v[y, x] if k == kind(y, x) else np.mean([v[p] for p in near if kind(*p) == k])
+    g = out[:, :, 1]
+    for y, x in inner:
+        if kind(y, x) != 1:
+            tries = []
+            for dy, dx in ((-1, 0), (0, 1), (0, -1), (1, 0)):
+                near, back, far = v[y + dy, x + dx], v[y - dy, x - dx], v[y + 2 * dy, x + 2 * dx]
+                tries.append((2 * abs(v[y, x] - far) + abs(near - back), (3 * near + back + v[y, x] - far) / 4))
+            g[y, x] = min(tries, key=lambda t: t[0])[1]
+
+    def transit(a, m, b):
+        l1, l2, l3 = g[a], g[m], g[b]
+        return v[a] + (v[b] - v[a]) * (l2 - l1) / (l3 - l1) if l1 < l2 < l3 or l1 > l2 > l3 else (v[a] + v[b]) / 2 + (2 * l2 - l1 - l3) / 4
+
+    for y, x in inner:
+        k = kind(y, x)
+        if k == 1:
+            out[y, x, kind(y, x + 1)] = transit((y, x - 1), (y, x), (y, x + 1))
+            out[y, x, kind(y + 1, x)] = transit((y - 1, x), (y, x), (y + 1, x))
+        else:
+            slope = []
+            for dx in (1, -1):
+                a, b = (y - 1, x + dx), (y + 1, x - dx)
+                slope.append((abs(v[a] - v[b]) + abs(v[y - 2, x + 2 * dx] - v[y, x]) + abs(v[y, x] - v[y + 2, x - 2 * dx]) + abs(g[a] - g[y, x]) + abs(g[y, x] - g[b]), a, b))
+            _, a, b = slope[0] if slope[0][0] < slope[1][0] else slope[1]
+            out[y, x, 2 - k] = transit(a, (y, x), b)
+    return out
+
+
+def test_develop_reconstructs_by_gradients(spark):
+    a = np.random.default_rng(1).random((13, 12))
+    a[5:9, 4:8] = np.add.outer(np.arange(4), np.arange(4)) / 8
+    got, want = develop.develop(plane(spark, a), 1.0, 13, 12, np.eye(3), steps={"demosaic"}), by_gradients(a)
+    assert got.count() == a.size
+    for k, name in enumerate(("red", "green", "blue")):
+        assert np.allclose(dense(got, name, a.shape), want[:, :, k], rtol=0, atol=1e-12)
+
+
 def test_overlay_and_names(spark):
     base = spark.createDataFrame([("m", 1, 2)], "make string, a int, b int")
     modes = spark.createDataFrame([("m", "raw", None, 5)], "make string, mode string, a int, b int")
