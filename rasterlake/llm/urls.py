@@ -3,11 +3,12 @@
 Rules come first: a rule fits its host and all subdomains if the path starts with the rule's path, and the longest rule wins.
 For other URLs each host has a tree of path segments. Segments that are numbers, hashes, dates or otherwise variable (a node
 with more than ``max_values`` distinct ones) become typed wildcards. Sibling branches whose continuations and labels do not
-differ statistically are merged into one wildcard branch. A template is rejected if its smoothed share of good labels is
-below a limit and it has enough labels.
+differ statistically are merged into one wildcard branch. A template with labels is rejected if its smoothed share of good ones
+is below a limit.
 
-Trees are built level by level from counts: rows are aggregated by (host, path shape) before any step, so a host with a third
-of all URLs is as many rows as it has shapes.
+Trees are built level by level from counts, as deep as the paths go: rows are aggregated by (host, path shape) before any step, so
+a host with a third of all URLs is as many rows as it has shapes. A shape that is the only one below its node is finished at once,
+as no further segment of it has siblings.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, which are a host of their own; a null page id is
 returned as it is; repeated rows are repeated rows of the result and each counts; labels other than 0 and 1 are left out.
@@ -16,6 +17,7 @@ returned as it is; repeated rows are repeated rows of the result and each counts
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +41,10 @@ class Rule:
 
 @dataclass(frozen=True)
 class Tree:
-    depth: int = 4  # segments with a level of their own; the rest of a path is one more segment
+    depth: int = 4  # of the SQL alone, which agrees with the operator where no path is deeper
     max_values: int = 20  # distinct literal segments under a node, above which they are variable
     prior: float = 5.0  # pseudo-labels at the overall share of good labels
-    min_labels: int = 20
+    min_labels: int = 20  # of the SQL alone, which agrees where no template with fewer labels is below the limit
     min_purity: float = 0.5
     spread: float = 3.0  # standard deviations within which siblings count as similar
 
@@ -77,20 +79,19 @@ def kind(segment: Column) -> Column:
     return F.concat(named, tail)
 
 
-def segments(path: Column, depth: int) -> Column:
-    """depth + 1 typed segments; missing ones are empty, and the last holds the number of further segments."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    rest = F.size(parts) - depth
-    head = [F.coalesce(kind(F.try_element_at(parts, F.lit(i))), F.lit("<end>")) for i in range(1, depth + 1)]
-    return F.array(*head, F.when(rest > 0, F.concat(F.lit("<rest "), rest.cast("string"), F.lit(">"))).otherwise("<end>"))
+def segments(path: Column) -> Column:
+    """All typed segments."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), kind)
 
 
 def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
     """host, shape, template of each path shape. shapes: host, shape (array), n, labelled, good."""
     rows = shapes.select("host", "shape", "n", "labelled", "good", F.array().cast("array<string>").alias("node"))
-    for level in range(tree.depth):
-        here = rows.withColumn("seg", F.col("shape")[level]).withColumn("next", F.col("shape")[level + 1])
-        by_next = here.groupBy("host", "node", "seg", "next").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+    done, level = [], 0
+    at = lambda i: F.coalesce(F.get("shape", F.lit(i)), F.lit("<end>"))
+    while level == 0 or not rows.isEmpty():
+        here = rows.withColumn("seg", at(level)).withColumn("next", at(level + 1))
+        by_next = here.groupBy("host", "node", "seg", "next").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         node, sibs = Window.partitionBy("host", "node"), Window.partitionBy("host", "node", "next")
         seg = Window.partitionBy("host", "node", "seg")
         e = by_next.withColumns({
@@ -99,7 +100,7 @@ def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
         })
         expected = F.col("seg_n") * F.col("next_n") / F.col("all_n")
         by_seg = e.withColumn("x", F.pow(F.col("n") - expected, 2) / expected).withColumn("e", expected).groupBy("host", "node", "seg").agg(
-            F.sum("x").alias("x"), F.sum("e").alias("e"), F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.max("all_l").alias("all_l"), F.max("all_g").alias("all_g")
+            F.sum("x").alias("x"), F.sum("e").alias("e"), F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum("shapes").alias("shapes"), F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.max("all_l").alias("all_l"), F.max("all_g").alias("all_g")
         )
         # cells that a branch lacks add their expected counts
         chi = F.col("x") + F.col("n") - F.col("e")
@@ -111,25 +112,28 @@ def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
         by_seg = by_seg.withColumn("alike", alike & literal)
         by_seg = by_seg.withColumn("n_alike", F.sum(F.col("alike").cast("int")).over(node)).withColumn("values", F.sum(literal.cast("int")).over(node))
         name = F.when(literal & (F.col("values") > tree.max_values), "<*>").when(F.col("alike") & (F.col("n_alike") > 1), "<=>").otherwise(F.col("seg"))
-        by_seg = by_seg.select("host", "node", "seg", name.alias("name"))
+        by_seg = by_seg.withColumn("name", name).withColumn("shapes", F.sum("shapes").over(Window.partitionBy("host", "node", "name"))).select("host", "node", "seg", "name", "shapes")
         rows = here.join(by_seg, ["host", "node", "seg"]).withColumn("node", F.concat("node", F.array("name"))).drop("seg", "next", "name")
-        if level + 1 < tree.depth:
-            rows = table(rows, f"url-level{level}")
-    return rows.withColumn("template", F.concat(F.lit("/"), F.array_join(F.filter(F.concat("node", F.array(F.col("shape")[tree.depth])), lambda s: s != "<end>"), "/")))
+        rows = table(rows, f"url-level{level}")
+        over = (F.col("shapes") == 1) | (F.size("shape") <= level)
+        whole = F.filter(F.concat("node", F.slice("shape", level + 2, F.size("shape"))), lambda s: s != "<end>")
+        done.append(rows.filter(over).withColumn("template", F.concat(F.lit("/"), F.array_join(whole, "/"))).drop("node", "shapes"))
+        rows, level = rows.filter(~over).drop("shapes"), level + 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], tree: Tree = Tree(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every URL. labels: page_id, good (0 or 1)."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     p = p.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    p = p.withColumn("shape", segments(F.col("path"), tree.depth))
+    p = p.withColumn("shape", segments(F.col("path")))
     good = labels.selectExpr("cast(page_id as long) page_id", "cast(good as int) good").filter("good in (0, 1)").groupBy("page_id").agg(F.min("good").alias("good"))
     counted = p.select("page_id", "host", "shape").join(good, "page_id", "left").groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     named = table(templates(table(counted, "url-shapes"), tree), "url-templates")
     total = named.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("overall"))
     by = named.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g")).join(F.broadcast(total))  # one row
     purity = (F.col("g") + tree.prior * F.col("overall")) / (F.col("l") + tree.prior)
-    by = by.select("host", "template", purity.alias("purity"), ((F.col("l") >= tree.min_labels) & (purity < tree.min_purity)).alias("rejected"))
+    by = by.select("host", "template", purity.alias("purity"), ((F.col("l") > 0) & (purity < tree.min_purity)).alias("rejected"))
     found = table(named.select("host", "shape", "template").join(by, ["host", "template"]), "url-verdicts")
     pattern, verdict = rule(rules, F.col("host"), F.col("path"))
     out = p.join(small(found, 100_000), ["host", "shape"], "left")

@@ -284,6 +284,19 @@ def test_urls(spark):
     assert {got[100 + i]["verdict"] for i in range(1, 200, 2)} == {"block"} and {got[100 + i]["verdict"] for i in range(0, 200, 2)} == {"allow"}
 
 
+def test_urls_judges_deep_and_rarely_labelled_branches(spark):
+    deep = [(i, f"http://h.io/a/b/c/d/{'bad' if i % 2 else 'good'}/x/{i}") for i in range(60)]
+    rare = [(1000 + i, f"http://k.io/p{i // 15}/{i}") for i in range(30)]
+    good = [(2000 + i, f"http://l.io/fine/{i}") for i in range(300)]
+    alone = [(3000, "http://m.io/" + "/".join("abcdefgh")), (3001, "http://n.io/")]
+    labels = [(i, int(i % 2 == 0)) for i, _ in deep] + [(i, int(i >= 1015)) for i, _ in rare] + [(i, 1) for i, _ in good]
+    pages = spark.createDataFrame(deep + rare + good + alone, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages, attach(spark).createDataFrame(labels, "page_id long, good int"), []).collect()}
+    assert {i for i, r in got.items() if r["verdict"] == "block"} == {i for i, _ in deep if i % 2} | {1000 + i for i in range(15)}
+    assert got[1]["template"] == "/a/b/c/d/bad/x/<num>" and got[3000]["template"] == "/a/b/c/d/e/f/g/h" and got[3001]["template"] == "/"
+    assert sorted(got) == sorted(i for i, _ in deep + rare + good + alone)
+
+
 def test_mixing(docs, empty, texts):
     got = mixing.mix(docs, mixing.Target(max_repeat=3.0)).toPandas()
     tokens = got[got["pass"] == 0].groupby("src").n_tokens.sum()
