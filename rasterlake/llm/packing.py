@@ -51,7 +51,8 @@ class Encoder:
     The vocabulary's splitting pattern never joins a character with what stands before a single space, so a text is encoded
     string by string, each but the first with its space. New strings are encoded together from the same vocabulary as ranks,
     which gives the same ids faster. A text where a space has white space on both sides, or that starts
-    or ends with a space, is encoded in one go.
+    or ends with a space, is encoded in one go. So is one that holds an added token (such as an end of text), by the tokenizer as
+    loaded, which gives that token's own id.
     """
 
     def __init__(self, path: str):
@@ -60,6 +61,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         ranks = byte_ranks(self.tokenizer)
         self.ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.spaced = np.zeros(1 + max(ranks.values()), bool)
@@ -83,6 +85,13 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        held = [i for i, t in enumerate(texts) if self.added.search(t)]
+        if held:
+            self.tokenizer.encode_special_tokens = False
+            as_loaded = dict(zip(held, self._encode([texts[i] for i in held]), strict=True))
+            self.tokenizer.encode_special_tokens = True
+            others = iter(self([t for i, t in enumerate(texts) if i not in as_loaded]))
+            return [as_loaded[i] if i in as_loaded else next(others) for i in range(len(texts))]
         split = [None if "  " in t or _BETWEEN.search(t) or t.startswith(" ") or t.endswith(" ") else t.split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known = {}

@@ -204,6 +204,16 @@ def test_packing(docs, empty, texts):
     assert Counter({k: sum(p.count * p.lengths.count(k) for p in packs) for k in hist}) == Counter(hist) and all(sum(p.lengths) <= 64 for p in packs)
 
 
+def test_packing_encodes_added_tokens_as_loaded():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain words here", "<|endoftext|>", "", "x<|endoftext|>y  z", " a b"]
+    assert 50256 in tk.encode(texts[0], add_special_tokens=False).ids
+    assert packing.Encoder(path)(texts) == [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_scores(docs, empty, texts):
     got = {r["doc_id"]: r for r in lm.score(docs).collect()}
     tok = [WORD.findall((t or "").translate(LOWER)) + ["\n"] for t in texts]
