@@ -150,6 +150,20 @@ def test_jaccard(docs, empty, texts):
     assert not jaccard.join(empty).count()
 
 
+def test_representatives(docs, texts):
+    """Against all pairs of shingle sets: every row but those of larger ids in a group of near copies, unchanged."""
+    sets, p = [], {i: i for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                x, y = find(i, p), find(j, p)
+                p[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["text"] for r in jaccard.representatives(docs.select("doc_id", "text")).collect()}
+    assert got == {i: t for i, t in enumerate(texts) if find(i, p) == i} and len(got) < len(texts)
+
+
 def test_compare_blocks():
     """Splitting a group into blocks of members and queries keeps every component."""
     rng = np.random.default_rng(0)
