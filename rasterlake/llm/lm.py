@@ -1,33 +1,37 @@
 """LM scoring by online logistic context mixing.
 
-A text is its lower-cased words, then one end token. A word's probability interpolates its discounted share of the training
-tokens with a spelling model, as in absolute discounting, so that unseen words share the discounted mass. The spelling model
-predicts a word bit by bit (bytes, most significant bit first, then a space): several contexts are hashed into tables of bit
-counts, their stretched probabilities are combined by weights that a gate selects, and an adaptive probability map refines the
-result. Weights and map are learned online, each bit being predicted from counts without its own word before it is learned.
+A text is its lower-cased words, then one end token, read as one stream of binary decisions. The training words of a bounded
+vocabulary, an escape and the end are the leaves of a binary tree, balanced by their counts over words in byte order, so that a
+token is its path of bits. At every node several predictors with hashed contexts give the probability of the next bit:
 
-The same kind of mixer also runs over the token stream of every text, in order: the contexts are the bytes before and the words
-before, across word boundaries, and its tables, weights and map are learned from all tokens of all training documents. A text's
-probability is half that mixer's, half that of the words' model, which follows.
+*   the corpus: how often training tokens went on with a one here;
+*   the class of the word before (256 classes), on the first nine bits;
+*   the text's own earlier tokens, at this node, and at this node after the same word (hashed tables of each text).
 
-The words' model is a Bayesian mixture over classes of training documents (their languages, where a column names them) and
-over the weights of a cache of the text's own earlier words, which refines adaptively. A class interpolates its own
-discounted word counts with the model of all classes. The mixture weighs each component by how well it predicted the text's
-earlier tokens; the class of the text that is scored is not looked at. With a cache the n-th token has the probability
-(a p + c) / (a + n), where a is the model's weight, c counts the token among the n before it; its product depends on a text's word counts alone.
+Their stretched probabilities are combined by weights that a gate selects (the bit's depth, and how often the text has been
+here), and a map refines the result. Weights, map and the text's tables are learned online: each text starts from the same
+values, and its bits are predicted, block by block, before they are learned. The corpus counts cover every token of every training text;
+a training text's own bit is left out of the class context's counts. From the tenth bit on, a token that no text
+context has met goes on by the corpus alone, which is its share of the node's tokens.
 
-Word and bit counts cover all training documents. Counts of words are aggregated before any shuffle of note; every distinct
-word is scored once; per text, frequent words are looked up in a table of bounded size and the rest are joined.
+After the escape, one adaptive bit tells whether the text has had the word before (then it is one of those). If not, the word's
+probability is its discounted share of the training tokens outside the vocabulary (a training text's own token left out); the
+discounts go to its spelling, whose bytes are mixed bit by bit from contexts of the one to four bytes before. Spelling is learned online too,
+over shards of distinct words in hash order, each from the same start, with each word left out of its own counts. The vocabulary bounds what is
+broadcast; all other words are aggregated and joined, so what is gathered grows with the corpus.
+
+All sums over the corpus are of integers, and all else depends on one text or one shard of words alone: scores are the same for
+any number of tasks or order of rows.
 
 Edge cases: a null or empty text is the end token alone; a null id is in no held-out fold; repeated rows count and are scored
-row by row; with no training document every count is 0, and the base probability of any token is 1.
+row by row; a very long text is one block sequence of its own, in memory that grows with it; with no training document every
+count is 0, and the base probability of any token is 1. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,60 +42,319 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .runtime import sum_arrays, table, tidy
 
-#: Slots (as a power of two) of each context's table: one, two, three and four bytes, and one byte with its place in the word.
-SLOTS = (16, 18, 18, 18, 18)
+#: Most words of the broadcast vocabulary.
+FREQUENT = 1 << 19
+#: Log2 of the least training count of a vocabulary word, and the discount of the counts of other words.
+LEAST, DISCOUNT = 2, 0.7
+#: Bits of a path that the class context reaches, and the number of classes, a text's start included.
+TOP, CLASSES = 9, 257
+#: Slots of each text's own tables, texts mixed side by side, bytes of text at once, first block of tokens.
+SLOTS, LANES, AT_ONCE, FIRST = 11, 512, 1 << 22, 64
+#: Weight of the corpus's probability in a context's counts: the class, the text's nodes, and those after the same word.
+PRIOR = np.array([8, 4, 0.5], np.float32)
+#: Start of the weights (corpus, class, text, text after the same word), and what a block moves them by.
+START, RATE, MOST = np.array([0, 0.5, 0.5, 0.1], np.float32), np.float32(0.02), np.float32(0.25)
+DEPTHS, TRUST, STEPS = 13, 3, 33
+#: Spelling: slots (as a power of two) of the tables of one to four bytes, and one byte with its place in the word.
+SPELL_SLOTS = (16, 18, 20, 20, 18)
 LEVELS = np.array([0.5, 4, 16], np.float32)
-DEPTHS, TRUST = 8, 4  # gate: place of the bit in its byte, and how often the four-byte context was seen
-STEPS = 33  # entries of the adaptive probability map for each preceding byte
+SHARD, WORDS_AT_ONCE = 20_000, 1 << 13  # words of a shard; bytes that one step predicts
 BLOCK = 1 << 14
-#: Rows of the broadcast table of frequent words.
-FREQUENT = 1 << 19
-DISCOUNT = 0.7
-#: Classes of training documents, the last being all others; and weights of the model against a text's earlier tokens.
-#: The weights were chosen on an inner fold of training documents (fold 3), without looking at held-out ones.
-CLASSES, CACHES = 5, (100.0, 5000.0)
-WORDS_AT_ONCE = 1 << 13  # bytes of words that one step predicts
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
-END = T.mix(np.array([0x0A], np.uint64))[0]  # id of the end token
 
 
 def fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the gamma function for x > 0: Stirling's series after eight steps up."""
-    x = np.asarray(x, float)
-    down = np.log(x)
-    for i in range(1, 8):
-        down = down + np.log(x + i)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - down
-
-
-def word_counts(docs: DataFrame, classes: int) -> DataFrame:
-    """word, h, c, k0, k1...: every distinct word of docs (t, held, k) with its counts, whole and by class, in those not held out."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, word, c: every distinct word of docs (t, held) with its count in those not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, held, kind = T.text_column(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), np.asarray(batch.column(2))
-            for lo, hi in T.slices(texts, 2 * T.CHUNK_BYTES):
+            texts, held = T.text_column(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in T.slices(texts, AT_ONCE):
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
                 h, first, inv = np.unique(w.ids, return_index=True, return_inverse=True)
-                c = np.bincount(inv * classes + kind[lo:hi][w.doc], ~held[lo:hi][w.doc], len(h) * classes).astype(np.int64).reshape(-1, classes)
-                word_at, of = np.nonzero(c)
-                none = np.flatnonzero(c.sum(1) == 0)
-                word_at, of = np.concatenate([word_at, none]), np.concatenate([of, np.zeros(len(none), np.int64)])
-                c, h, at = c[word_at, of], h[word_at], first[word_at]
-                size = (w.ends - w.starts)[at]
+                c = np.bincount(inv, ~held[lo:hi][w.doc], len(h)).astype(np.int64)
+                size = (w.ends - w.starts)[first]
                 off = np.concatenate([[0], np.cumsum(size)])
-                data = _LOW[w.buf][np.arange(off[-1]) - np.repeat(off[:-1] - w.starts[at], size)]
+                data = _LOW[w.buf][np.arange(off[-1]) - np.repeat(off[:-1] - w.starts[first], size)]
                 word = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([word, pa.array(h.view(np.int64)), pa.array(c), pa.array(of)], ["word", "h", "c", "k"])
+                yield pa.RecordBatch.from_arrays([word, pa.array(h.view(np.int64)), pa.array(c)], ["word", "h", "c"])
+
+    return docs.select("t", "held").mapInArrow(tidy(run), "word binary, h long, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
+
+
+def _blocks(vec: np.ndarray) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    n = -(-len(vec) // BLOCK)
+    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([vec[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(n)], pa.binary())], ["key", "salt", "vec"])
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    got = sum_arrays(parts, "int64")
+    return np.concatenate([got[i] for i in sorted(got)])[:size] if got else np.zeros(size, np.int64)
+
 
-    found = docs.select("t", "held", "k").mapInArrow(tidy(run), "word binary, h long, c long, k long")
-    return found.groupBy("h", "word").agg(F.sum("c").alias("c"), *(F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"k{i}") for i in range(classes)))
+def stretch(n0, n1, p, prior):
+    return np.log((n1 + prior * p) / (n0 + prior * (1 - p)))
+
+
+@dataclass
+class Tree:
+    """Paths of the leaves and what the corpus says at every inner node."""
+
+    code: np.ndarray  # by leaf: bits of its path, the first one highest
+    size: np.ndarray  # by leaf: bits
+    own: np.ndarray  # by leaf: log2 of its weight
+    child: np.ndarray  # 2 x node + bit -> node
+    one: np.ndarray  # by node: probability of a one
+    whole: np.ndarray  # by node: log2 of its weight
+
+    @classmethod
+    def build(cls, weights: np.ndarray) -> Tree:
+        """Halve intervals of leaves by weight, level by level."""
+        total = np.concatenate([[0], np.cumsum(weights)])
+        n = len(weights)
+        code, size = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        child, one, whole = [], [], []
+        lo, hi, path, depth, nodes = np.array([0]), np.array([n]), np.zeros(1, np.uint64), 0, 0
+        while len(lo):
+            inner = hi - lo > 1
+            leaf = ~inner
+            code[lo[leaf]], size[lo[leaf]] = path[leaf], depth
+            lo, hi, path = lo[inner], hi[inner], path[inner]
+            if not len(lo):
+                break
+            if depth == 64:
+                raise ValueError("a path has more than 64 bits")
+            half = (total[lo] + total[hi]) / 2
+            k = np.searchsorted(total, half)
+            k = np.clip(np.where(half - total[k - 1] < total[k] - half, k - 1, k), lo + 1, hi - 1)
+            one.append((total[hi] - total[k]) / (total[hi] - total[lo]))
+            whole.append(np.log2(total[hi] - total[lo]))
+            ends = np.stack([lo, k, k, hi], 1).reshape(-1, 2)
+            goes_on = ends[:, 1] - ends[:, 0] > 1
+            child.append(np.where(goes_on, nodes + len(lo) + np.cumsum(goes_on) - 1, 0))
+            nodes += len(lo)
+            bit = np.uint64(1 << (63 - depth))
+            path = np.stack([path, path | bit], 1).ravel()
+            lo, hi, depth = ends[:, 0], ends[:, 1], depth + 1
+        return cls(code, size, np.log2(weights).astype(np.float32), np.concatenate(child).astype(np.int32), np.concatenate(one).astype(np.float32), np.concatenate(whole).astype(np.float32))
+
+
+def byte_order(words: pa.BinaryArray) -> np.ndarray:
+    """The first eight bytes of each word as one number."""
+    _, off, data = words.buffers()
+    o = np.frombuffer(off, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    b = np.append(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.uint8(0)) if len(words) else np.zeros(1, np.uint8)
+    key = np.zeros(len(words), np.uint64)
+    for i in range(8):
+        at = o[:-1] + i
+        key = key << np.uint64(8) | np.where(at < o[1:], b[np.minimum(at, len(b) - 1)], 0).astype(np.uint64)
+    return key
+
+
+@dataclass
+class Vocabulary:
+    """Hashes (sorted), leaves and counts of the frequent words; the last two leaves are the escape and the end."""
+
+    h: np.ndarray
+    leaf: np.ndarray
+    count: np.ndarray
+    tree: Tree
+
+    def __post_init__(self):
+        """The first hash of each bucket of hashes with the same upper bits; there are several buckets a word."""
+        self.bits = len(self.h).bit_length() + 2
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.first = np.append(np.searchsorted(self.h, edges), len(self.h)).astype(np.int32)
+
+    @property
+    def escape(self) -> int:
+        return len(self.h)
+
+    def leaves(self, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf and count of each word (escape and 0 where it is not held), and whether it is held."""
+        leaf, count = np.full(len(w.ids), self.escape, np.int32), np.zeros(len(w.ids), np.int64)
+        bucket = (w.ids >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop, todo, ids = self.first.take(bucket), self.first.take(bucket + 1), np.arange(len(w.ids)), w.ids
+        while len(todo):
+            live = at < stop
+            todo, at, stop, ids = todo[live], at[live], stop[live], ids[live]
+            same = self.h.take(at) == ids
+            leaf[todo[same]], count[todo[same]] = self.leaf.take(at[same]), self.count.take(at[same])
+            todo, at, stop, ids = todo[~same], at[~same] + 1, stop[~same], ids[~same]
+        return leaf, count, leaf != self.escape
+
+
+@dataclass
+class Tokens:
+    """Leaves of a run of texts, each ending in the end token, their bounds, and the class of the token before."""
+
+    leaf: np.ndarray
+    bounds: np.ndarray
+    prev: np.ndarray  # leaf before, -1 at a text's start
+    kind: np.ndarray
+
+
+def tokens(v: Vocabulary, w: T.Words, leaf: np.ndarray) -> Tokens:
+    bounds = w.bounds + np.arange(len(w.bounds))
+    all_leaves = np.full(bounds[-1], v.escape + 1, np.int32)
+    all_leaves[np.arange(len(leaf)) + w.doc] = leaf
+    prev = np.empty(len(all_leaves) + 1, np.int32)
+    prev[1:] = all_leaves
+    prev[bounds] = -1
+    prev = prev[:-1]
+    kind = np.where(prev < 0, 256, (v.tree.code >> np.uint64(56))[prev].astype(np.int64))
+    return Tokens(all_leaves, bounds, prev, kind)
+
+
+def class_counts(docs: DataFrame, shared) -> np.ndarray:
+    """Number of zeros and ones at (class before, node of the first bits), over all tokens of docs (t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, out = shared.value, np.zeros(CLASSES << TOP, np.int64)
+        for batch in batches:
+            texts = T.text_column(batch.column(0))
+            for lo, hi in T.slices(texts, AT_ONCE):
+                w = T.words(texts.slice(lo, hi - lo), lower=True)
+                x = tokens(v, w, v.leaves(w)[0])
+                top = (v.tree.code >> np.uint64(64 - TOP)).astype(np.int64)[x.leaf]
+                out += np.bincount(x.kind << TOP | top, minlength=len(out))
+        yield from _blocks(out)
+
+    return by_node(_summed(docs.select("t").mapInArrow(tidy(run), "key int, salt int, vec binary"), CLASSES << TOP).reshape(CLASSES, -1))
+
+
+def by_node(ends: np.ndarray) -> np.ndarray:
+    """classes x ends counts to counts of zeros (real) and ones (imaginary) at the nodes above, numbered as in a heap."""
+    out = np.zeros(ends.shape, np.complex64)
+    while ends.shape[1] > 1:
+        zeros, ones = ends[:, ::2], ends[:, 1::2]
+        out[:, zeros.shape[1] : 2 * zeros.shape[1]] = zeros + 1j * ones
+        ends = zeros + ones
+    return out.ravel()
+
+
+_SEEN, _HALF = np.array([1, 1 << 32]), np.int64((1 << 32) - 1)
+_IDENTITY = (1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))).astype(np.float32)
+
+
+class Mixer:
+    """Mixes up to LANES texts side by side; no text looks at another."""
+
+    def __init__(self, v: Vocabulary, by_class: np.ndarray, lanes: int):
+        self.tree, self.by_class = v.tree, by_class
+        self.weights = [[np.full(lanes * TRUST, x, np.float32) for x in START] for _ in range(DEPTHS)]
+        self.map_ones, self.map_all = np.tile(4 * _IDENTITY, lanes), np.full(lanes * STEPS, 4, np.float32)
+        self.text, self.after = (np.zeros(lanes << SLOTS, np.int64) for _ in range(2))  # zeros, and ones in the upper half
+
+    def block(self, lane: np.ndarray, leaf: np.ndarray, prev: np.ndarray, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log2 probabilities of a block's tokens, which are then learned."""
+        tree = self.tree
+        order = np.argsort(255 - tree.size[leaf], kind="stable")  # longest paths first, so that each level is a prefix
+        leaf, lane = leaf[order], lane[order].astype(np.int32)
+        size, code = tree.size[leaf], tree.code[leaf]
+        after = (prev[order].astype(np.uint32) + np.uint32(2)) * np.uint32(0x9E3779B1)
+        kind, own = kind[order] << TOP, own[order].astype(np.float32)
+        node, at = np.zeros(len(leaf), np.int32), np.arange(len(leaf))
+        out = np.zeros(len(leaf))
+        for depth in range(int(size[0]) if len(size) else 0):
+            k = np.searchsorted(-size.astype(np.int16), -depth, "left")  # those with more bits
+            if k < len(size):
+                size, code, lane, after, own, kind, node, at, leaf = (x[:k] for x in (size, code, lane, after, own, kind, node, at, leaf))
+            if not len(size):
+                break
+            base = lane << SLOTS
+            key = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+            i_text = base + (key >> np.uint32(32 - SLOTS)).astype(np.int32)
+            i_after = base + (((key ^ after) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS)).astype(np.int32)
+            text, again = self.text.take(i_text), self.after.take(i_after)
+            if depth >= TOP:  # a token that its text has not met here goes on by the corpus alone
+                met = (text | again) > 0
+                if not met.all():
+                    new = ~met
+                    out[at[new]] += tree.own[leaf[new]] - tree.whole[node[new]]
+                    # what follows is learned too: the text has now been at this node
+                    seen = _SEEN[(code[new] >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int8)]
+                    np.add.at(self.text, i_text[new], seen)
+                    np.add.at(self.after, i_after[new], seen)
+                    size, code, lane, after, node, at, leaf, text, again, i_text, i_after = (x[met] for x in (size, code, lane, after, node, at, leaf, text, again, i_text, i_after))
+                    if not len(size):
+                        break
+            step_to = (code >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int32)
+            bit = step_to.astype(np.float32)
+            p = tree.one.take(node)
+            s = [np.log(p / (1 - p))]
+            if depth < TOP:
+                heap = (1 << depth) + (code >> np.uint64(64 - depth)).astype(np.int64) if depth else 1
+                n = self.by_class.take(kind + heap)
+                s.append(stretch(np.maximum(n.real - own * (1 - bit), 0), np.maximum(n.imag - own * bit, 0), p, PRIOR[0]))
+            s.append(stretch((text & _HALF).astype(np.float32), (text >> 32).astype(np.float32), p, PRIOR[1]))
+            n0, n1 = (again & _HALF).astype(np.float32), (again >> 32).astype(np.float32)
+            s.append(stretch(n0, n1, p, PRIOR[2]))
+            used = range(4) if depth < TOP else (0, 2, 3)
+            n = n0 + n1
+            gate = lane * TRUST + ((n > 0).view(np.int8) + (n > 2).view(np.int8))
+            weights = self.weights[min(depth, DEPTHS - 1)]
+            z = np.zeros(len(s[0]), np.float32)
+            for j, x in zip(used, s, strict=True):
+                z += x * weights[j].take(gate)
+            np.clip(z, -8, 8, out=z)
+            mixed = 1 / (1 + np.exp(-z))
+            entry = lane * STEPS + np.rint(2 * z).astype(np.int32) + STEPS // 2
+            final = np.clip((mixed + self.map_ones.take(entry) / self.map_all.take(entry)) / 2, 1e-6, 1 - 1e-6)
+            out[at] += np.log2(np.where(bit == 1, final, 1 - final))
+            error = bit - mixed
+            for j, x in zip(used, s, strict=True):
+                weights[j] += np.clip(RATE * np.bincount(gate, error * x, len(weights[j])), -MOST, MOST).astype(np.float32)
+            np.add.at(self.map_ones, entry, bit)
+            np.add.at(self.map_all, entry, np.float32(1))
+            seen = _SEEN[step_to]
+            np.add.at(self.text, i_text, seen)
+            np.add.at(self.after, i_after, seen)
+            node = tree.child.take(2 * node + step_to)
+        back = np.empty(len(out))
+        back[order] = out
+        return back
+
+
+def mixed(v: Vocabulary, by_class: np.ndarray, x: Tokens, own: np.ndarray) -> np.ndarray:
+    """log2 probability of each text's tokens. own: the text is one of the training texts."""
+    size = np.diff(x.bounds)
+    out, by_size = np.zeros(len(size)), np.argsort(size, kind="stable")
+    for g in range(0, len(size), LANES):
+        group = by_size[g : g + LANES]
+        m, at, step = Mixer(v, by_class, len(group)), 0, FIRST
+        n = size[group]
+        while at < n[-1]:
+            first = int(np.searchsorted(n, at, "right"))
+            some = np.minimum(n[first:] - at, step)
+            lane = np.repeat(np.arange(first, len(group)), some)
+            tok = np.arange(len(lane)) - np.repeat(np.cumsum(some) - some - x.bounds[group[first:]] - at, some)
+            lp = m.block(lane, x.leaf[tok], x.prev[tok], x.kind[tok], own[group[lane]])
+            out[group] += np.bincount(lane, lp, len(group))
+            at += step
+            step = max(FIRST, at // 3)
+    return out
+
+
+def again_bits(doc: np.ndarray, ids: np.ndarray, rows: int) -> np.ndarray:
+    """For escaped words in order: log2 probability, by text, of their again-bits and of the earlier words meant.
+
+    The bit's probability is that of the text's earlier again-bits; an earlier word is one of the distinct ones so far.
+    """
+    if not len(ids):
+        return np.zeros(rows)
+    _, later = T.repeats(doc, ids)
+    n = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    new = np.cumsum(~later) - ~later
+    distinct = new - new[np.searchsorted(doc, doc)]
+    p = (n - distinct + 0.4) / (n + 0.8)
+    return np.bincount(doc, np.where(later, np.log2(p) - np.log2(np.maximum(distinct, 1)), np.log2(1 - p)), rows)
 
 
 @dataclass
@@ -124,487 +387,182 @@ def spell(words: list[bytes]) -> Bits:
     four = three << np.uint64(8) | last[3]
     placed = one << np.uint64(5) | np.minimum(place, 31).astype(np.uint64)
     slots = [(one[:, None] << np.uint64(8) | node).astype(np.int64)]
-    for salt, (ctx, bits) in enumerate(zip((two, three, four, placed), SLOTS[1:], strict=True)):
+    for salt, (ctx, bits) in enumerate(zip((two, three, four, placed), SPELL_SLOTS[1:], strict=True)):
         h = (ctx * np.uint64(8) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
         x = (h[:, None] + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
         slots.append((x >> np.uint64(64 - bits)).astype(np.int64))
     return Bits(bit, slots, one.astype(np.int64), np.repeat(np.arange(len(words)), size))
 
 
-def runs(words: list[bytes], *cols: np.ndarray) -> Iterator[tuple]:
+def runs(words: list[bytes], own: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
     size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     lo = 0
     while lo < len(words):
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + WORDS_AT_ONCE, "right")))
-        yield words[lo:hi], *(c[lo:hi] for c in cols)
+        yield words[lo:hi], own[lo:hi]
         lo = hi
 
 
-def _blocks(vec: np.ndarray, base: int = 0) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId() if TaskContext.get() else 0
-    n = -(-len(vec) // BLOCK)
-    yield pa.RecordBatch.from_arrays([pa.array(range(base, base + n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([vec[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(n)], pa.binary())], ["key", "salt", "vec"])
-
-
-def _joined(got: dict[int, np.ndarray], size: int) -> np.ndarray:
-    return np.concatenate([got[i] for i in sorted(got)])[:size] if got else np.zeros(size)
-
-
-def bit_counts(words: DataFrame) -> list[np.ndarray]:
-    """For each context, slots x 2 counts of zeros and ones over the distinct training words."""
-    total = sum(2 << s for s in SLOTS)
+def spelling_counts(words: DataFrame) -> list[np.ndarray]:
+    """For each context, slots x 2 counts of zeros and ones over the distinct training words of words (word, c)."""
+    total = sum(2 << s for s in SPELL_SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(total, np.float32)
+        out = np.zeros(total, np.int64)
         for batch in batches:
-            for (some,) in runs(batch.column(0).to_pylist()):
+            w = batch.column(0).to_pylist()
+            for some, _ in runs(w, np.ones(len(w), bool)):
                 x, base = spell(some), 0
-                for s, slot in zip(SLOTS, x.slots, strict=True):
-                    out[base : base + (2 << s)] += np.bincount((2 * slot + x.bit).ravel(), minlength=2 << s)
+                for s, slot in zip(SPELL_SLOTS, x.slots, strict=True):
+                    np.add.at(out, base + (2 * slot + x.bit).ravel(), 1)
                     base += 2 << s
-        yield from _blocks(out)
+        if out.any():
+            yield from _blocks(out)
 
-    vec = _joined(sum_arrays(words.filter("c > 0").select("word").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float32"), total)
-    out, base = [], 0
-    for s in SLOTS:
-        out.append(vec[base : base + (2 << s)].reshape(-1, 2).astype(np.float32))
-        base += 2 << s
-    return out
+    vec = _summed(words.filter("c > 0").select("word").mapInArrow(tidy(run), "key int, salt int, vec binary"), total)
+    cuts = np.cumsum([2 << s for s in SPELL_SLOTS])
+    return [x.reshape(-1, 2).astype(np.float32) for x in np.split(vec, cuts[:-1])]
 
 
-@dataclass
-class Mixer:
-    counts: list[np.ndarray]
-    weights: np.ndarray  # gates x inputs
-    refine: np.ndarray  # (byte, step) x 2 counts
+class Speller:
+    """Online mixing over the bits of one shard's words."""
 
-    @classmethod
-    def start(cls, counts: list[np.ndarray]) -> Mixer:
-        w = np.full((DEPTHS * TRUST, len(SLOTS) + 1), 0.3)
-        w[:, -1] = 0
-        return cls(counts, w, np.ones((256 * STEPS, 2)) * 0.02 + _map_prior())
-
-    def inputs(self, x: Bits, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (bits x inputs) and gate of every bit; own: the words are in the counts, and are left out."""
-        s = np.ones((x.bit.size, len(SLOTS) + 1), np.float32)
-        one = x.bit.ravel()
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts = counts
+        self.weights = np.full((8 * (len(LEVELS) + 1), len(counts) + 1), 0.3)
+        self.weights[:, -1] = 0
+        p = 1 / (1 + np.exp(-np.linspace(-12, 12, STEPS)))
+        self.refine = np.tile(np.stack([1 - p, p], 1) + 0.02, (256, 1))
+
+    def log2(self, words: list[bytes], own: np.ndarray) -> np.ndarray:
+        """log2 probability of each word and the space that ends it; own: the word is in the counts, and is left out. Then learns."""
+        x = spell(words)
+        s, bit, mine = np.ones((x.bit.size, len(self.counts) + 1), np.float32), x.bit.ravel(), np.repeat(own[x.word], 8)
         for j, slot in enumerate(x.slots):
-            slot = slot.ravel()
-            if own:
-                n = self.counts[j][slot]
-                n0, n1 = np.maximum(n[:, 0] + one - 1, 0), np.maximum(n[:, 1] - one, 0)
-                s[:, j] = np.log((n1 + 0.1) / (n0 + 0.1))
-                seen = n0 + n1 if j == 3 else None
-            else:
-                s[:, j] = self.stretched[j][slot]
-                seen = self.seen[slot] if j == 3 else None
+            n = self.counts[j].view(np.uint64).ravel().take(slot.ravel()).view(np.float32).reshape(-1, 2)
+            n0, n1 = np.maximum(n[:, 0] - mine * (1 - bit), 0), np.maximum(n[:, 1] - mine * bit, 0)
+            s[:, j] = np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1)))
             if j == 3:
-                trust = np.searchsorted(LEVELS, seen) if own else seen
-        return s, np.tile(np.arange(8), len(x.bit)) * TRUST + trust
-
-    @cached_property
-    def stretched(self) -> list[np.ndarray]:
-        return [np.log((c[:, 1] + 0.1) / (c[:, 0] + 0.1)) for c in self.counts]
-
-    @cached_property
-    def seen(self) -> np.ndarray:
-        return np.searchsorted(LEVELS, self.counts[3].sum(1))
-
-    def mixed(self, s: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", s, self.weights[gate]), -12, 12)
-
-    def refined(self, z: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of a one, and the map's entry."""
-        entry = np.repeat(before, 8) * STEPS + np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+                gate = np.tile(np.arange(8), len(x.bit)) * (len(LEVELS) + 1) + np.searchsorted(LEVELS, n0 + n1)
+        z = np.clip(np.einsum("ij,ij->i", s, self.weights[gate]), -12, 12)
+        mixed = 1 / (1 + np.exp(-z))
+        entry = np.repeat(x.before, 8) * STEPS + np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
         n = self.refine[entry]
-        return np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * n[:, 1] / n.sum(1), 1e-6, 1 - 1e-6), entry
-
-    def learn(self, x: Bits, rate: float) -> None:
-        s, gate = self.inputs(x, True)
-        z = self.mixed(s, gate)
-        bit = x.bit.ravel()
-        err = bit - 1 / (1 + np.exp(-z))
-        n = np.maximum(np.bincount(gate, minlength=len(self.weights)), 1)
+        p = np.clip(0.5 * mixed + 0.5 * n[:, 1] / n.sum(1), 1e-6, 1 - 1e-6)
+        lp = np.log2(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
+        met = np.maximum(np.bincount(gate, minlength=len(self.weights)), 1)
         for j in range(s.shape[1]):
-            self.weights[:, j] += rate * np.bincount(gate, err * s[:, j], len(self.weights)) / n
-        _, entry = self.refined(z, x.before)
-        np.add.at(self.refine, (entry, bit.astype(np.int64)), 1)
-
-    def log2(self, words: list[bytes]) -> np.ndarray:
-        """log2 probability of each word and the space that ends it."""
-        x = spell(words)
-        s, gate = self.inputs(x, False)
-        p, _ = self.refined(self.mixed(s, gate), x.before)
-        lp = np.log2(np.where(x.bit.ravel() == 1, p, 1 - p)).reshape(-1, 8).sum(1)
+            self.weights[:, j] += 0.5 * np.bincount(gate, (bit - mixed) * s[:, j], len(self.weights)) / met
+        self.refine += np.bincount(2 * entry + bit, minlength=self.refine.size).reshape(-1, 2)
         return np.bincount(x.word, lp, len(words))
 
 
-def _map_prior() -> np.ndarray:
-    """The map starts as the identity."""
-    p = 1 / (1 + np.exp(-np.linspace(-12, 12, STEPS)))
-    return np.tile(np.stack([1 - p, p], 1), (256, 1))
-
-
-def train(words: DataFrame, rate: float = 0.5) -> Mixer:
-    """Each task mixes its training words online from the same start; weights are averaged by words, map counts are summed."""
-    spark = words.sparkSession
-    start = Mixer.start(bit_counts(words))
-    shared = spark.sparkContext.broadcast(start)
-    shape, cells = start.weights.shape, start.refine.size
+def spelled(words: DataFrame, n: int, every: DataFrame) -> DataFrame:
+    """h, c and log2 probability of the spelling of each of the n distinct words of words (h, word, c); every: those that train it."""
+    shared = words.sparkSession.sparkContext.broadcast(spelling_counts(every))
+    shards = 1 + n // SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer(shared.value.counts, shared.value.weights.copy(), shared.value.refine.copy())
-        n = 0
-        for batch in batches:
-            for (some,) in runs(batch.column(0).to_pylist()):
-                m.learn(spell(some), rate)
-                n += len(some)
-        if n:
-            yield from _blocks(np.concatenate([[n], n * m.weights.ravel(), (m.refine - shared.value.refine).ravel()]))
+        key, held = None, []
 
-    got = _joined(sum_arrays(words.filter("c > 0").select("word").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float64"), 1 + start.weights.size + cells)
-    if got[0]:
-        start = Mixer(start.counts, got[1 : 1 + start.weights.size].reshape(shape) / got[0], start.refine + got[1 + start.weights.size :].reshape(-1, 2))
-    return start
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                w, own, m = t.column(2).to_pylist(), t.column(3).to_numpy() > 0, Speller(shared.value)
+                lp = np.concatenate([m.log2(some, o) for some, o in runs(w, own)])
+                for b in pa.table({"h": t.column(1), "c": t.column(3), "lp": pa.array(lp)}).to_batches():
+                    yield b
 
-
-def spelled(words: DataFrame, mixer: Mixer) -> DataFrame:
-    """h, c, k0, k1... and the spelling model's log2 probability of every distinct word."""
-    counts = [c for c in words.columns if c not in ("word", "h")]
-    shared = words.sparkSession.sparkContext.broadcast(mixer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = batch.column(0).to_pylist()
-            lp = [shared.value.log2(some) for (some,) in runs(w)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(lp) if lp else np.zeros(0))], ["h", *counts, "lp"])
-
-    return words.select("word", "h", *counts).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ["h", *counts]) + ", lp double")
-
-
-#: The mixer over whole texts. Its contexts: bytes before, and the word so far with so many words before it, across word boundaries.
-ORDERS, WORDS_BACK = (1, 2, 3, 4, 6), (0, 1, 2)
-STREAM_BITS = 19  # slots (as a power of two) of each context's table
-COUNT_AT_ONCE, STREAM_AT_ONCE = 1 << 16, 1 << 13  # bytes
-_TRUSTED = (3, 6)  # contexts whose counts select the gate: four bytes, and a word with the word before it
-_NODE = np.ones((256, 8), np.int64)
-for _i in range(1, 8):
-    _NODE[:, _i] = _NODE[:, _i - 1] * 2 + (np.arange(256) >> (8 - _i) & 1)
-_NODE = (T.mix(_NODE.astype(np.uint64)) >> np.uint64(64 - STREAM_BITS)).astype(np.int64)  # of each byte's bits, hashed
-_BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.int64)
-
-
-@dataclass
-class Stream:
-    """The tokens of a run of texts as bytes: each word and a space, then the end token, a newline."""
-
-    b: np.ndarray
-    doc: np.ndarray  # text of each byte
-    ctx: list[np.ndarray]  # for each context, a hash per byte of what precedes it in its text
-
-    def parts(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For a run of bytes: the bytes, their bits and, for each context, the bits' slots (bytes x 8)."""
-        for lo in range(0, len(self.b), size):
-            b = self.b[lo : lo + size]
-            node = _NODE[b]
-            yield slice(lo, lo + size), _BIT[b].ravel(), [((h[lo : lo + size] >> np.uint64(64 - STREAM_BITS)).astype(np.int64)[:, None] ^ node).ravel() for h in self.ctx]
-
-
-def stream(texts: pa.LargeStringArray) -> Stream:
-    w = T.words(texts, lower=True)
-    rows, doc = len(texts), w.doc
-    size = w.ends - w.starts + 1
-    first = np.cumsum(size) - size
-    off = np.arange(size.sum()) - np.repeat(first, size)
-    at = first + doc  # each text before has one end token
-    b = np.full(len(off) + rows, 10, np.uint8)
-    last = off == np.repeat(size, size) - 1
-    b[off + np.repeat(at, size)] = np.where(last, 32, _LOW[np.append(w.buf, np.uint8(0))[np.where(last, 0, off + np.repeat(w.starts, size))]])
-    of_doc = np.bincount(doc, size, rows).astype(np.int64) + 1
-    begin = np.cumsum(of_doc) - of_doc
-    of = np.repeat(np.arange(rows), of_doc)
-    begins = begin[of]
-    starts = np.sort(np.concatenate([at, begin + of_doc - 1]))
-    token = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(b))))
-    power, inverse = T._powers(len(b) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T._TABLE[b] * power[: len(b)], dtype=np.uint64)])
-    here = np.arange(len(b))
-    froms = [np.maximum(here - k, begins) for k in ORDERS] + [np.maximum(starts[np.maximum(token - k, 0)], begins) for k in WORDS_BACK]
-    return Stream(b, of, [T.mix((prefix[:-1] - prefix[f]) * inverse[f] + ((here - f) * 16 + j).astype(np.uint64)) for j, f in enumerate(froms)])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Stream]:
-    for batch in batches:
-        texts = T.text_column(batch.column(0))
-        for lo, hi in T.slices(texts):
-            yield stream(texts.slice(lo, hi - lo))
-
-
-def stream_counts(docs: DataFrame) -> np.ndarray:
-    """contexts x slots x 2 counts of zeros and ones over every token of every text of docs (t)."""
-    shape = (len(ORDERS) + len(WORDS_BACK), 2 << STREAM_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(shape, np.float32)
-        for x in _texts(batches):
-            for _, bit, slots in x.parts(COUNT_AT_ONCE):
-                for j, slot in enumerate(slots):
-                    out[j] += np.bincount(2 * slot + bit, minlength=shape[1])
-        if out.any():
-            yield from _blocks(out.ravel())
-
-    vec = _joined(sum_arrays(docs.select("t").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float32"), shape[0] * shape[1])
-    return vec.astype(np.float32).reshape(shape[0], -1, 2)
-
-
-@dataclass
-class StreamMixer:
-    """As Mixer, over whole texts: the gate is the bit's place in its byte and how often two of the contexts were seen."""
-
-    counts: np.ndarray
-    weights: np.ndarray
-    refine: np.ndarray
-
-    @classmethod
-    def start(cls, counts: np.ndarray) -> StreamMixer:
-        w = np.full((DEPTHS * TRUST * TRUST, len(counts) + 1), 0.2)
-        w[:, -1] = 0
-        return cls(counts, w, np.ones((256 * STEPS, 2)) * 0.02 + _map_prior())
-
-    @cached_property
-    def stretched(self) -> np.ndarray:
-        return np.log((self.counts[:, :, 1] + np.float32(0.1)) / (self.counts[:, :, 0] + np.float32(0.1)))
-
-    @cached_property
-    def seen(self) -> list[np.ndarray]:
-        return [np.searchsorted(LEVELS, self.counts[j].sum(1)) for j in _TRUSTED]
-
-    def inputs(self, bit: np.ndarray, slots: list[np.ndarray], own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (inputs x bits) and gate of every bit; own: each bit is in the counts, and is left out."""
-        s = np.ones((len(slots) + 1, len(bit)), np.float32)
-        gate = np.tile(np.arange(8), len(bit) // 8)
-        one = bit.astype(np.float32)
-        for j, slot in enumerate(slots):
-            if own:
-                n = self.counts[j].view(np.uint64).ravel().take(slot).view(np.float32).reshape(-1, 2)
-                n0, n1 = np.maximum(n[:, 0] + one - 1, 0), np.maximum(n[:, 1] - one, 0)
-                np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1)), out=s[j])
-                if j in _TRUSTED:
-                    gate = gate * TRUST + np.searchsorted(LEVELS, n0 + n1)
-            else:
-                self.stretched[j].take(slot, out=s[j], mode="clip")
-                if j in _TRUSTED:
-                    gate = gate * TRUST + self.seen[_TRUSTED.index(j)].take(slot)
-        return s, gate
-
-    @staticmethod
-    def mixed(s: np.ndarray, w: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(gate), np.float32)
-        for x, column in zip(s, w.T.astype(np.float32), strict=True):
-            z += x * column.take(gate)
-        return np.clip(z, -12, 12)
-
-    def refined(self, z: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry = np.repeat(before.astype(np.int64), 8) * STEPS + np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
-        share = self.refine[:, 1] / self.refine.sum(1)
-        return np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * share[entry], 1e-6, 1 - 1e-6), entry
-
-    def learn(self, x: Stream, rate: float) -> None:
-        before = _before(x)
-        for at, bit, slots in x.parts(STREAM_AT_ONCE):
-            s, gate = self.inputs(bit, slots, True)
-            z = self.mixed(s, self.weights, gate)
-            err = bit - 1 / (1 + np.exp(-z))
-            n = np.maximum(np.bincount(gate, minlength=len(self.weights)), 1)
-            for j, of in enumerate(s):
-                self.weights[:, j] += rate * np.bincount(gate, err * of, len(self.weights)) / n / 8
-            _, entry = self.refined(z, before[at])
-            self.refine += np.bincount(2 * entry + bit, minlength=self.refine.size).reshape(-1, 2)
-
-    def log10(self, x: Stream, rows: int) -> np.ndarray:
-        """log10 probability of each text's tokens in their order."""
-        before, out = _before(x), np.zeros(rows)
-        for at, bit, slots in x.parts(STREAM_AT_ONCE):
-            s, gate = self.inputs(bit, slots, False)
-            p, _ = self.refined(self.mixed(s, self.weights, gate), before[at])
-            out += np.bincount(x.doc[at], np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1), rows)
-        return out
-
-
-def _before(x: Stream) -> np.ndarray:
-    """The byte before each; a newline at a text's start, the end token of the one before."""
-    return np.concatenate([np.array([10], np.uint8), x.b[:-1]])
-
-
-def train_stream(docs: DataFrame, rate: float = 0.5) -> StreamMixer:
-    """Each task mixes its training texts online from the same start; weights are averaged by bytes, map counts are summed."""
-    start = StreamMixer.start(stream_counts(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(start)
-    shape, cells = start.weights.shape, start.refine.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = StreamMixer(shared.value.counts, shared.value.weights.copy(), shared.value.refine.copy())
-        n = 0
-        for x in _texts(batches):
-            m.learn(x, rate)
-            n += len(x.b)
-        if n:
-            yield from _blocks(np.concatenate([[n], n * m.weights.ravel(), (m.refine - shared.value.refine).ravel()]))
-
-    got = _joined(sum_arrays(docs.select("t").mapInArrow(tidy(run), "key int, salt int, vec binary"), "float64"), 1 + start.weights.size + cells)
-    shared.unpersist()
-    if got[0]:
-        start = StreamMixer(start.counts, got[1 : 1 + start.weights.size].reshape(shape) / got[0], start.refine + got[1 + start.weights.size :].reshape(-1, 2))
-    return start
-
-
-@dataclass(frozen=True)
-class Totals:
-    """What a word's probabilities need besides its own counts: tokens, distinct tokens and documents, whole and by class."""
-
-    n: int
-    v: int
-    docs: int
-    ns: tuple[int, ...]
-    vs: tuple[int, ...]
-    class_docs: tuple[int, ...]
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1) / (self.n + self.v + 1))
-
-    def whole(self, c: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """log10 probability over all classes, from a count and the spelling's log2 probability."""
-        back = DISCOUNT * self.v / self.n if self.n else 1.0
-        p = np.maximum(c - DISCOUNT, 0) / max(self.n, 1) + back * np.exp2(np.maximum(lp, -1000.0))
-        return np.where((lp < -900) & (c == 0), lp * np.log10(2) + np.log10(back), np.log10(np.maximum(p, 1e-300)))
-
-    def by_class(self, k: int, c: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """log10 probability in class k, from a count there and the probability over all classes."""
-        if not self.ns[k]:
-            return whole
-        own, back = np.maximum(c - DISCOUNT, 0) / self.ns[k], DISCOUNT * self.vs[k] / self.ns[k]
-        return np.where(own > 0, np.log10(own + back * 10 ** np.maximum(whole, -300.0)), np.log10(back) + whole)
-
-    def ends(self) -> np.ndarray:
-        """log10 probability of the end token by class."""
-        whole = np.log10(np.array([max(self.docs - DISCOUNT, 0) / max(self.n, 1) or 1.0 / (self.n + self.v + 1)]))
-        return np.concatenate([self.by_class(k, np.array([c]), whole) for k, c in enumerate(self.class_docs)])
-
-
-def cached(a: float, lm: np.ndarray, tf: np.ndarray) -> np.ndarray:
-    """log10 of (a p)(a p + 1)...(a p + tf - 1), for log10 probabilities lm of words that a text holds tf times."""
-    out = lm + np.log10(a)
-    more = np.flatnonzero(tf > 1)
-    ap = a * 10 ** np.maximum(lm[more], -300.0)
-    out[more] += (lgamma(ap + tf[more]) - lgamma(ap + 1)) / np.log(10)
-    return out
-
-
-def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
-
-    class_col: training documents with one of its most frequent values are a class, all others (null too) one more; without that
-    column there is one class.
-    """
-    spark = docs.sparkSession
-    name = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held"), name.alias("name"))
-    top = [r["name"] for r in d.filter("not held and name is not null").groupBy("name").count().orderBy(F.desc("count"), "name").limit(CLASSES - 1).collect()]
-    kind = F.coalesce(F.array_position(F.array(*map(F.lit, top)), F.col("name")), F.lit(0)) if top else F.lit(0)
-    d = d.withColumn("k", kind.cast("long")).drop("name")
-    ks = [f"k{i}" for i in range(len(top) + 1)]
-    words = table(word_counts(d, len(ks)), "lm-words")
-    sums = words.agg(*(f for c in ("c", *ks) for f in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0)))).first()
-    found = {r["k"]: r["count"] for r in d.filter("not held").groupBy("k").count().collect()}
-    in_class = tuple(found.get(i, 0) for i in range(len(ks)))
-    of = (sum(in_class), *in_class)
-    ns, vs = [x + m for x, m in zip(sums[::2], of, strict=True)], [x + (m > 0) for x, m in zip(sums[1::2], of, strict=True)]
-    totals = Totals(ns[0], vs[0], of[0], tuple(ns[1:]), tuple(vs[1:]), in_class)
-    n, n_docs = totals.n, totals.docs
-    whole_texts = spark.sparkContext.broadcast(train_stream(d.filter("not held")))
-    values = table(spelled(words, train(words)), "lm-values")
-    # the least power of two that leaves no more frequent words than the table may hold
-    levels = values.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()
+            k = np.asarray(batch.column(0))
+            for a, b in zip(c := [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)], c[1:], strict=False):
+                if a == b:
+                    continue
+                if k[a] != key:
+                    yield from done()
+                    key, held = k[a], []
+                held.append(batch.slice(a, b - a))
+        yield from done()
+
+    dealt = words.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "word", "c")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "h", "word").mapInArrow(tidy(run), "h long, c long, lp double")
+
+
+def vocabulary(words: DataFrame, n_docs: int, n_words: int) -> tuple[Vocabulary, int]:
+    """The words of the most frequent sizes that the vocabulary may hold, and their least count."""
+    levels = words.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()
     least, room = 62, FREQUENT
     for k, count in sorted(((r["k"], r["count"]) for r in levels), reverse=True):
         room -= count
-        if room < 0:
+        if room < 0 or k < LEAST:
             break
         least = k
-    frequent = values.filter(F.col("c") >= (1 << least)).toArrow()
-    h, order = np.unique(frequent["h"].to_numpy().view(np.uint64), return_index=True)
-    c = frequent["c"].to_numpy()[order]
-    whole = totals.whole(c, frequent["lp"].to_numpy()[order])
-    fk = np.stack([totals.by_class(i, frequent[k].to_numpy()[order], whole) for i, k in enumerate(ks)]).astype(np.float32)
-    fb = totals.base(c)
-    del frequent, order, whole
-    base_end, ends = float(totals.base(np.array(n_docs))), totals.ends()
-    shared = spark.sparkContext.broadcast((h, c > 0, fb, fk))
-    parts = [f"m{i}_{j}" for i in range(len(ks)) for j in range(len(CACHES))]
+    found = words.filter(F.col("c") >= (1 << least)).select("word", "h", "c").toArrow().combine_chunks()
+    h, first = np.unique(found["h"].to_numpy().view(np.uint64), return_index=True)
+    words_at = found["word"].combine_chunks() if found.num_rows else pa.array([], pa.binary())
+    words_at = words_at.chunk(0) if isinstance(words_at, pa.ChunkedArray) else words_at
+    c = found["c"].to_numpy()[first]
+    order = np.lexsort((h, byte_order(words_at)[first]))
+    leaf = np.empty(len(h), np.int32)
+    leaf[order] = np.arange(len(h))
+    weights = np.concatenate([c[order], [max(1, n_words - c.sum()), max(1, n_docs)]]).astype(np.int64)
+    return Vocabulary(h, leaf, c, Tree.build(weights)), 1 << least
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
+    spark = docs.sparkSession
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held"))
+    words = table(word_counts(d), "lm-words")
+    n_words, n_known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n_docs = d.filter("not held").count()
+    n, v_size = n_words + n_docs, n_known + (n_docs > 0)
+
+    v, least = vocabulary(words, n_docs, n_words)
+    rest_words = words.filter(F.col("c") < least)
+    n_rest, v_rest, all_rest = rest_words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*")).first()
+    shared_v = spark.sparkContext.broadcast(v)
+    shared = spark.sparkContext.broadcast(class_counts(d.filter("not held"), shared_v))
+    rest = table(spelled(rest_words, all_rest, words), "lm-spelled")
+    base_of = lambda c: np.log10((c + 1) / (n + v_size + 1))
+    names = ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", "bytes", "lp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fh, known, base, by_class = shared.value
-        names = ["rid", "doc_id", "held", "h", "tf", "n_tokens", "n_known", "base", *parts, "bytes", "flow"]
+        v = shared_v.value
         for batch in batches:
-            texts = T.text_column(batch.column(3))
-            for lo, hi in T.slices(texts):
-                flow = whole_texts.value.log10(stream(texts.slice(lo, hi - lo)), hi - lo)
+            texts, held_out = T.text_column(batch.column(3)), batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi in T.slices(texts, AT_ONCE):
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
-                u, inv = np.unique(w.ids, return_inverse=True)
-                place = np.minimum(np.searchsorted(fh, u), max(len(fh) - 1, 0))
-                hit = fh[place] == u if len(fh) else np.zeros(len(u), bool)
-                rows = hi - lo
-                key, tf = np.unique(w.doc * len(u) + inv, return_counts=True)
-                doc, word = key // max(len(u), 1), key % max(len(u), 1)
-                mine = np.flatnonzero(hit[word])
-                at, often, of = doc[mine], tf[mine], place[word[mine]]
-                add = lambda x: np.bincount(at, x, rows)  # noqa: B023, E731
-                made = [add(known[of] * often) + int(n_docs > 0), add(base[of] * often) + base_end]
-                for i in range(len(by_class)):
-                    lm = by_class[i][of].astype(np.float64)
-                    made += [add(cached(a, lm, often)) + ends[i] + np.log10(a) for a in CACHES]
-                made[0] = made[0].astype(np.int64)
+                leaf, c, hit = v.leaves(w)
+                doc, rows = w.doc, hi - lo
+                lp = mixed(v, shared.value, tokens(v, w, leaf), ~held_out[lo:hi])
+                out = np.flatnonzero(~hit)
+                bits = again_bits(doc[out], w.ids[out], rows)
+                known = np.bincount(doc[hit], minlength=rows) + int(n_docs > 0)
+                base = np.bincount(doc[hit], base_of(c[hit]), rows) + base_of(n_docs)
                 cols = [batch.column(i).slice(lo, rows) for i in range(3)]
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*cols, none, none, pa.array(w.counts + 1), *map(pa.array, made), pa.array(np.diff(w.offsets)), pa.array(flow)], names)
-                rest = np.flatnonzero(~hit[word])
-                m = len(rest)
+                yield pa.RecordBatch.from_arrays([*cols, none, none, pa.array(w.counts + 1), pa.array(known), pa.array(base), pa.array(np.diff(w.offsets)), pa.array(lp + bits)], names)
+                # one row for each word of a text that the vocabulary lacks
+                key = np.lexsort((w.ids[out], doc[out]))
+                d_s, i_s = doc[out][key], w.ids[out][key]
+                cut = np.flatnonzero(np.append(True, (d_s[1:] != d_s[:-1]) | (i_s[1:] != i_s[:-1]))) if len(key) else np.zeros(0, np.int64)
+                of, ids, tf = d_s[cut], i_s[cut], np.diff(np.append(cut, len(key)))
+                m = len(of)
                 z, f = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                yield pa.RecordBatch.from_arrays([cols[0].take(pa.array(doc[rest])), z, pa.nulls(m, pa.bool_()), pa.array(u[word[rest]].view(np.int64)), pa.array(tf[rest]), z, z, f, *[f] * len(parts), z, f], names)
+                yield pa.RecordBatch.from_arrays([cols[0].take(pa.array(of)), z, cols[2].take(pa.array(of)), pa.array(ids.view(np.int64)), pa.array(tf), z, z, f, z, f], names)
 
-    schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in parts) + ", bytes long, flow double"
+    schema = "rid long, doc_id long, held boolean, h long, tf long, n_tokens long, n_known long, base double, bytes long, lp double"
     rows = table(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held", "t").mapInArrow(tidy(run), schema), "lm-rows")
-    rest = values.filter(F.col("c") < (1 << least)).groupBy("h").agg(*(F.max(x).alias(x) for x in ("c", *ks, "lp")))
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tf, c, lp, *counts = (np.asarray(x) for x in batch.columns[1:])
-            whole = totals.whole(c, lp)
-            made = [np.where(c > 0, tf, 0), totals.base(c) * tf]
-            for i, x in enumerate(counts):
-                lm = totals.by_class(i, x, whole)
-                made += [cached(a, lm, tf) for a in CACHES]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made)], ["rid", "n_known", "base", *parts])
-
-    priced = rows.filter("h is not null").select("rid", "h", "tf").join(rest, "h").select("rid", "tf", "c", "lp", *ks)
-    priced = priced.mapInArrow(tidy(price), "rid long, n_known long, base double, " + ", ".join(f"{x} double" for x in parts))
-    priced = priced.groupBy("rid").agg(*(F.sum(x).alias(f"r_{x}") for x in ("n_known", "base", *parts)))
+    by_hash = rest.groupBy("h").agg(F.max("c").alias("c"), F.max("lp").alias("lp"))
+    tf, c = F.col("tf"), F.col("c")
+    share = F.log10((c + 1) / F.lit(float(n + v_size + 1)))
+    others = F.greatest(c - F.when(F.col("held"), 0).otherwise(1) - DISCOUNT, F.lit(0.0)) / max(n_rest, 1)
+    one_word = F.log2(others + F.lit(DISCOUNT * v_rest / n_rest if n_rest else 1.0) * F.pow(F.lit(2.0), F.greatest("lp", F.lit(-900.0))))
+    priced = rows.filter("h is not null").select("rid", "h", "tf", "held").join(by_hash, "h").groupBy("rid").agg(F.sum(F.when(c > 0, tf).otherwise(0)).alias("r_known"), F.sum(share * tf).alias("r_base"), F.sum(F.round(one_word, 6).cast("decimal(20,6)")).cast("double").alias("r_lp"))
     got = rows.filter("h is null").join(priced, "rid", "left")
-    whole = {x: F.col(x) + F.coalesce(f"r_{x}", F.lit(0)) for x in ("n_known", "base", *parts)}
-    # a cache divides the n-th token's probability by its weight + n
-    spent = []
-    for a in CACHES:
-        y = F.col("n_tokens") + a
-        spent.append((F.lit(float(lgamma(a))) - ((y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y))) / float(np.log(10)))
-    share = [float(np.log10((m + 1) / (n_docs + len(ks)) / len(CACHES))) for m in in_class]
-    each = F.array(*(whole[f"m{i}_{j}"] + share[i] + spent[j] for i in range(len(ks)) for j in range(len(CACHES))))
-    out = got.select("doc_id", "held", "n_tokens", "bytes", "flow", whole["n_known"].alias("n_known"), whole["base"].alias("base"), each.alias("each"))
-    top_one = F.array_max("each")
-    by_words = top_one + F.log10(F.aggregate("each", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - top_one)))
-    # the words' model and the mixer over the whole text, half of the prior each
-    better = F.greatest(by_words, F.col("flow"))
-    model = better + F.log10(F.pow(F.lit(10.0), by_words - better) + F.pow(F.lit(10.0), F.col("flow") - better)) - float(np.log10(2))
-    return out.select(
-        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), model.alias("score"), (-model * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+    bits = F.col("lp") + F.coalesce("r_lp", F.lit(0.0))
+    return got.select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), (bits * float(np.log10(2))).alias("score"), (-bits / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -12,6 +12,7 @@ import public_tokenizers
 
 from rasterlake import attach
 from rasterlake.llm import chat, fertility, gam, jaccard, lm, mixing, packing, substrings, urls, vectors
+from rasterlake.llm import textops as T
 from rasterlake.llm.queries import RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -242,27 +243,108 @@ def test_scores(docs, empty, texts):
     assert not lm.score(empty).count()
 
 
-def test_cache_is_the_product_of_its_steps():
-    text, p = [0, 1, 0, 2, 0, 1], np.array([0.02, 1e-7, 0.4])
-    for a in lm.CACHES:
-        steps = sum(np.log10((a * p[w] + text[:i].count(w)) / (a + i)) for i, w in enumerate(text))
-        spent = (lm.lgamma(a) - lm.lgamma(a + len(text))) / np.log(10)
-        assert lm.cached(a, np.log10(p), np.bincount(text)).sum() + spent == pytest.approx(steps, rel=1e-9)
-
+def by_hand(v, by_class, leaves, own):
+    """One text's log2 probability, bit by bit."""
+    tree, text, after, out, at, step = v.tree, Counter(), Counter(), 0.0, 0, lm.FIRST
+    weights, ones, every = {}, {i: 4 * lm._IDENTITY[i] for i in range(lm.STEPS)}, {i: 4.0 for i in range(lm.STEPS)}
+    path = lambda x: [int(tree.code[x]) >> (63 - i) & 1 for i in range(int(tree.size[x]))]
+    log = lambda n0, n1, p, a: np.log((n1 + a * p) / (n0 + a * (1 - p)))
+    while at < len(leaves):
+        live = [(i, path(leaves[i]), 0) for i in range(at, min(at + step, len(leaves)))]
+        depth = 0
+        while live:
+            learned, on = [], []
+            for i, bits, node in live:
+                if depth == len(bits):
+                    continue
+                bit, prev = bits[depth], int(leaves[i - 1]) if i else -1
+                k0 = node * 0x85EBCA6B % 2**32
+                k1 = (k0 ^ (prev + 2) * 0x9E3779B1 % 2**32) * 0xC2B2AE35 % 2**32
+                k0, k1 = k0 >> (32 - lm.SLOTS), k1 >> (32 - lm.SLOTS)
+                t0, t1, a0, a1 = text[k0, 0], text[k0, 1], after[k1, 0], after[k1, 1]
+                if depth >= lm.TOP and not t0 + t1 + a0 + a1:
+                    out += tree.own[leaves[i]] - tree.whole[node]
+                    learned.append((None, None, None, None, k0, k1, bit))
+                    continue
+                p = float(tree.one[node])
+                s = {0: np.log(p / (1 - p)), 2: log(t0, t1, p, lm.PRIOR[1]), 3: log(a0, a1, p, lm.PRIOR[2])}
+                if depth < lm.TOP:
+                    kind = 256 if prev < 0 else int(tree.code[prev]) >> 56
+                    n = by_class[(kind << lm.TOP) + (1 << depth) + int("0" + "".join(map(str, bits[:depth])), 2)]
+                    s[1] = log(max(n.real - own * (bit == 0), 0), max(n.imag - own * bit, 0), p, lm.PRIOR[0])
+                gate = min(depth, lm.DEPTHS - 1), (a0 + a1 > 0) + (a0 + a1 > 2)
+                w = weights.setdefault(gate, [float(x) for x in lm.START])
+                z = min(8, max(-8, sum(w[j] * x for j, x in s.items())))
+                q, entry = 1 / (1 + np.exp(-z)), int(np.rint(2 * z)) + lm.STEPS // 2
+                final = min(1 - 1e-6, max(1e-6, (q + ones[entry] / every[entry]) / 2))
+                out += np.log2(final if bit else 1 - final)
+                learned.append((gate, s, bit - q, entry, k0, k1, bit))
+                on.append((i, bits, int(tree.child[2 * node + bit])))
+            for gate in {x[0] for x in learned} - {None}:
+                for j in range(4):
+                    weights[gate][j] += min(lm.MOST, max(-lm.MOST, lm.RATE * sum(e * s[j] for g, s, e, *_ in learned if g == gate and j in s)))
+            for _, _, _, entry, k0, k1, bit in learned:
+                if entry is not None:
+                    ones[entry], every[entry] = ones[entry] + bit, every[entry] + 1
+                text[k0, bit] += 1
+                after[k1, bit] += 1
+            live, depth = on, depth + 1
+        at += step
+        step = max(lm.FIRST, at // 3)
+    return out
 
-def test_class_probabilities_sum_to_one():
-    c, k = np.array([5, 2, 1, 0]), np.array([[5, 0, 1, 0], [0, 2, 0, 0]])
-    totals = lm.Totals(8, 3, 0, (6, 2), (2, 1), (0, 0))
-    whole = totals.whole(c, np.log2(np.array([0.1, 0.2, 0.3, 0.4])))  # a spelling model of four words only
-    assert (10**whole).sum() == pytest.approx(1)
-    for i in range(2):
-        assert (10 ** totals.by_class(i, k[i], whole)).sum() == pytest.approx(1)
 
+def test_mixer_by_hand():
+    import pyarrow as pa
 
-def test_scores_without_classes(docs, texts):
-    alone = {r["doc_id"]: r for r in lm.score(docs.drop("lang")).collect()}
-    known = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    assert all(alone[i]["base_score"] == pytest.approx(known[i]["base_score"], rel=1e-9) and alone[i]["score"] < 0 for i in range(len(texts)))
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(700)]
+    texts = [" ".join(rng.choices(vocab[:: 1 + i % 3], k=n)) for i, n in enumerate([0, 1, 7, 63, 64, 200, 400, 30])] + ["x y z " * 90]
+    w = T.words(pa.array(texts, pa.large_string()), lower=True)
+    h, c = np.unique(w.ids, return_counts=True)
+    h, c = h[c > 1], c[c > 1]
+    leaf = np.array(rng.sample(range(len(h)), len(h)), np.int32)
+    weights = np.ones(len(h) + 2, np.int64)
+    weights[leaf], weights[-2:] = c, (5, len(texts))
+    v = lm.Vocabulary(h, leaf, c, lm.Tree.build(weights))
+    leaves, count, hit = v.leaves(w)
+    known = dict(zip(h.tolist(), leaf.tolist(), strict=True))
+    assert leaves.tolist() == [known.get(x, v.escape) for x in w.ids.tolist()] and (count[hit] > 1).all() and not count[~hit].any()
+    assert sum(2.0 ** -int(x) for x in v.tree.size) == 1  # every path is a leaf
+    x = lm.tokens(v, w, leaves)
+    top = (v.tree.code >> np.uint64(64 - lm.TOP)).astype(np.int64)[x.leaf]
+    by_class = lm.by_node(np.bincount(x.kind << lm.TOP | top, minlength=lm.CLASSES << lm.TOP).reshape(lm.CLASSES, -1))
+    own = np.arange(len(texts)) % 2 == 0
+    got = lm.mixed(v, by_class, x, own)
+    for i in range(len(texts)):
+        assert got[i] == pytest.approx(by_hand(v, by_class, x.leaf[x.bounds[i] : x.bounds[i + 1]], int(own[i])), rel=1e-4)
+
+
+def test_again_bits():
+    doc, ids = np.array([0, 0, 0, 0, 2, 2]), np.array([5, 6, 5, 6, 5, 5], np.uint64)
+    first = np.log2(1 - 0.4 / 0.8) + np.log2(1 - 0.4 / 1.8) + np.log2(0.4 / 2.8) - 1 + np.log2(1.4 / 3.8) - 1
+    assert lm.again_bits(doc, ids, 3) == pytest.approx([first, 0, np.log2(1 - 0.4 / 0.8) + np.log2(0.4 / 1.8)])
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark, docs):
+    def run(n):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(n)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        return got
+
+    assert run(4) == run(13)
+
+
+def test_scores_are_probabilities_of_words(spark):
+    """Tree and spelling: the leaves' shares, and the rest's discounted shares with the spelling, sum to one at most."""
+    n = np.array([9, 4, 2, 1])
+    v = lm.Tree.build(n)
+    share = [2.0 ** (v.own[i] - v.whole[0]) for i in range(4)]
+    assert sum(share) == pytest.approx(1)
 
 
 def test_scores_read_texts_in_order(spark):
@@ -276,22 +358,6 @@ def test_scores_read_texts_in_order(spark):
     assert back and all(got[i - 1000] > got[i] + 5 for i in back)
 
 
-def test_stream_counts_every_token(spark, docs, texts):
-    """The mixer's tables against a plain loop over the bytes of all texts."""
-    want = Counter()
-    for t in texts:
-        b = "".join(w + " " for w in WORD.findall((t or "").translate(LOWER))).encode() + b"\n"
-        for i in range(len(b)):
-            want[b[max(i - 3, 0) : i], b[i]] += 1
-    import pyarrow as pa
-
-    x = lm.stream(pa.array([t or "" for t in texts], pa.large_string()))
-    got = Counter(zip(x.ctx[2].tolist(), x.b.tolist(), strict=True))
-    assert len(x.b) == sum(want.values()) and sorted(got.values()) == sorted(want.values())
-    counts = lm.stream_counts(docs.selectExpr("text as t"))
-    assert (counts.sum((1, 2)) == 8 * len(x.b)).all()
-
-
 def test_urls(spark):
     rows = [(1, "http://A.example.net/x?q"), (2, "https://b.example.net/en/5"), (3, "http://example.com/de/1#t"), (4, "x.org/fr/"), (5, None), (6, "ftp://m.q.org/fr/a/b"), (7, "http://notnet/p"), (8, "http://example.com"), (None, "http://a.net/")]
     rows += [(100 + i, f"http://h.io/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)]
