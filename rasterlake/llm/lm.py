@@ -49,14 +49,14 @@ LEAST, DISCOUNT = 2, 0.7
 #: Bits of a path that the class context reaches, and the number of classes, a text's start included.
 TOP, CLASSES = 9, 257
 #: Slots of each text's own tables, texts mixed side by side, bytes of text at once, first block of tokens.
-SLOTS, LANES, AT_ONCE, FIRST = 11, 512, 1 << 22, 64
+SLOTS, LANES, AT_ONCE, FIRST = 11, 512, 1 << 21, 64
 #: Weight of the corpus's probability in a context's counts: the class, the text's nodes, and those after the same word.
 PRIOR = np.array([8, 4, 0.5], np.float32)
 #: Start of the weights (corpus, class, text, text after the same word), and what a block moves them by.
 START, RATE, MOST = np.array([0, 0.5, 0.5, 0.1], np.float32), np.float32(0.02), np.float32(0.25)
 DEPTHS, TRUST, STEPS = 13, 3, 33
 #: Spelling: slots (as a power of two) of the tables of one to four bytes, and one byte with its place in the word.
-SPELL_SLOTS = (16, 18, 20, 20, 18)
+SPELL_SLOTS = (16, 18, 18, 18, 18)
 LEVELS = np.array([0.5, 4, 16], np.float32)
 SHARD, WORDS_AT_ONCE = 20_000, 1 << 13  # words of a shard; bytes that one step predicts
 BLOCK = 1 << 14
@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, held = T.text_column(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in T.slices(texts, AT_ONCE):
+            for lo, hi in T.slices(texts, AT_ONCE // 2):
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
                 h, first, inv = np.unique(w.ids, return_index=True, return_inverse=True)
                 c = np.bincount(inv, ~held[lo:hi][w.doc], len(h)).astype(np.int64)
@@ -408,7 +408,7 @@ def spelling_counts(words: DataFrame) -> list[np.ndarray]:
     total = sum(2 << s for s in SPELL_SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(total, np.int64)
+        out = np.zeros(total, np.int32)
         for batch in batches:
             w = batch.column(0).to_pylist()
             for some, _ in runs(w, np.ones(len(w), bool)):
@@ -417,7 +417,7 @@ def spelling_counts(words: DataFrame) -> list[np.ndarray]:
                     np.add.at(out, base + (2 * slot + x.bit).ravel(), 1)
                     base += 2 << s
         if out.any():
-            yield from _blocks(out)
+            yield from _blocks(out.astype(np.int64))
 
     vec = _summed(words.filter("c > 0").select("word").mapInArrow(tidy(run), "key int, salt int, vec binary"), total)
     cuts = np.cumsum([2 << s for s in SPELL_SLOTS])
@@ -483,6 +483,7 @@ def spelled(words: DataFrame, n: int, every: DataFrame) -> DataFrame:
                     key, held = k[a], []
                 held.append(batch.slice(a, b - a))
         yield from done()
+        held.clear()
 
     dealt = words.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "word", "c")
     return dealt.repartition("shard").sortWithinPartitions("shard", "h", "word").mapInArrow(tidy(run), "h long, c long, lp double")
