@@ -394,11 +394,11 @@ def spell(words: list[bytes]) -> Bits:
     return Bits(bit, slots, one.astype(np.int64), np.repeat(np.arange(len(words)), size))
 
 
-def runs(words: list[bytes], own: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def runs(words: list[bytes], own: np.ndarray, limit: int = WORDS_AT_ONCE) -> Iterator[tuple[list[bytes], np.ndarray]]:
     size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     lo = 0
     while lo < len(words):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + WORDS_AT_ONCE, "right")))
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right")))
         yield words[lo:hi], own[lo:hi]
         lo = hi
 
@@ -411,10 +411,10 @@ def spelling_counts(words: DataFrame) -> list[np.ndarray]:
         out = np.zeros(total, np.int32)
         for batch in batches:
             w = batch.column(0).to_pylist()
-            for some, _ in runs(w, np.ones(len(w), bool)):
+            for some, _ in runs(w, np.ones(len(w), bool), 4 * WORDS_AT_ONCE):
                 x, base = spell(some), 0
                 for s, slot in zip(SPELL_SLOTS, x.slots, strict=True):
-                    np.add.at(out, base + (2 * slot + x.bit).ravel(), 1)
+                    out[base : base + (2 << s)] += np.bincount((2 * slot + x.bit).ravel(), minlength=2 << s)
                     base += 2 << s
         if out.any():
             yield from _blocks(out.astype(np.int64))
