@@ -2,12 +2,14 @@
 
 Every document is tokenised in full and ends with one end id. Its ids are cut into pieces: whole sequences first, then one
 remainder. The histogram of piece lengths (at most ``capacity`` numbers) is packed on the driver: lengths are placed longest
-first, each into the open packing pattern that it fills most tightly, updating pattern counts. A pattern assigns, to each of
+first, each into the shortest open pack (the one with the most room), updating pattern counts; if it does not fit there it fits
+nowhere, and a new pack is opened. A pattern assigns, to each of
 its slots, a run of ranks among the pieces of one length; pieces find their sequence and offset by that run. Ranks come from
 ranks within a task plus the counts of earlier tasks, so no length, however common, is sorted in one place.
 
 Edge cases: a null or empty text is the end id alone; a null id is packed like any other; repeated rows are packed once per
-row; an empty table gives an empty result.
+row; an empty table gives an empty result; a very long text is encoded in one go and gives as many pieces as it needs; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -144,7 +146,7 @@ class Pattern:
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = 2048) -> list[Pattern]:
-    """Shortest-pack-first: place lengths longest first into the open patterns with the least room that fits."""
+    """Shortest-pack-first: place lengths longest first, each into the open pack with the most room, or else into a new one."""
     open_by_room: dict[int, list[list]] = defaultdict(list)  # room -> [[lengths, count]]
     rooms: list[int] = []
     done: list[Pattern] = []
@@ -161,23 +163,21 @@ def pack_histogram(counts: dict[int, int], capacity: int = 2048) -> list[Pattern
     for size in sorted((k for k, v in counts.items() if v > 0), reverse=True):
         left = counts[size]
         while left:
-            at = bisect_left(rooms, size)
-            if at == len(rooms):  # nothing open has room: start sequences, several to each where the length allows
+            if not rooms or rooms[-1] < size:  # not even the shortest has room: a new pack is the shortest until it is full
                 each = max(1, min(capacity // size, left))
                 n = left // each
                 keep((size,) * each, n, capacity - size * each)
                 left -= n * each
                 continue
-            room = rooms[at]
+            room = rooms[-1]
             lengths, n = open_by_room[room].pop()
             if not open_by_room[room]:
-                rooms.pop(at)
-            each = min(room // size, left)
-            used = min(n, left // each)
+                rooms.pop()
+            used = min(n, left)
             if used < n:
                 keep(lengths, n - used, room)
-            keep(lengths + (size,) * each, used, room - size * each)
-            left -= used * each
+            keep((*lengths, size), used, room - size)
+            left -= used
     done += [Pattern(lengths, n) for room in rooms for lengths, n in open_by_room[room]]
     return sorted(done, key=lambda p: (p.lengths, p.count), reverse=True)
 
