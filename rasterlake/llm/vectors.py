@@ -12,7 +12,7 @@ returns counts and a spanning forest of its links, not all pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label, link with
 nothing; so do vectors of different widths; a null id is returned with its own (null) component and is no partner; repeated
-ids link like different rows with one name.
+ids link like different rows with one name; labels of any type are compared as they are; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def fit(u: np.ndarray, lists: int, subspaces: int, codes: int, rounds: int = 8)
 
 
 def parsed(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, width and vec (doubles, as bytes) of the rows that may link."""
+    """vec_id, label (its 64-bit hash, whatever its type), width and vec (doubles, as bytes) of the rows that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +101,9 @@ def parsed(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([len(b) // 8 for b in out], pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "width", "vec"])
 
-    v = vectors.selectExpr(f"cast(`{id_col}` as long) vec_id", f"cast(`{label_col}` as long) label", f"cast(`{vec_col}` as array<double>) v")
+    kind, label = dict(vectors.dtypes)[label_col], F.col(f"`{label_col}`")
+    label = label + F.lit(0.0) if kind in ("float", "double") else label  # both zeros are one label
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(label.isNotNull(), F.xxhash64(label)).alias("label"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     return v.filter("vec_id is not null and label is not null").mapInArrow(tidy(run), "vec_id long, label long, width int, vec binary")
 
 
@@ -110,6 +112,12 @@ def _unit(blobs) -> np.ndarray:
     return x / np.abs(x).max(1)[:, None] / np.linalg.norm(x / np.abs(x).max(1)[:, None], axis=1)[:, None]
 
 
+def _scaled(blobs) -> np.ndarray:
+    """Vectors times a power of two each, which changes no digit, so that no square overflows or vanishes."""
+    x = np.stack([np.frombuffer(b, np.float64) for b in blobs])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def links(entries: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
     """rep, n (copies linked, itself excluded), a, b (a spanning forest's link) from every block of one width."""
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-7
@@ -151,13 +159,13 @@ def links(entries: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
             if not len(s) or not len(q):
                 return
             vec, codes = t.column(8).to_pylist(), t.column(6).to_pylist()
-            x = np.stack([np.frombuffer(vec[i]) for i in s])
+            x = _scaled([vec[i] for i in s])
             n_x = np.sqrt((x * x).sum(1))
             code, error = np.stack([np.frombuffer(codes[i], np.uint8) for i in s]), t.column(7).to_numpy()[s]
             forest, counts = Forest(), []
             for lo in range(0, len(q), 1024):
                 part = q[lo : lo + 1024]
-                y = np.stack([np.frombuffer(vec[i]) for i in part])
+                y = _scaled([vec[i] for i in part])
                 near = shared.value.distances(_unit([vec[i] for i in part]), int(key[1]), code) <= r + error + 1e-9
                 a, b = np.nonzero(near)
                 cos = np.einsum("ij,ij->i", y[a], x[b]) / (np.sqrt((y * y).sum(1))[a] * n_x[b])
