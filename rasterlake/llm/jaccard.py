@@ -1,8 +1,8 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Every document is the set of its distinct k-word shingles. Similar documents are partitioned into groups by the most
-frequent of the four least hashes of their set. The matrix of tokens against groups holds, for each token, the groups whose token union it is in; a query document
-opens only the groups that the bound on its overlap with their union, and their sizes, allow, and is compared exactly there.
+frequent of the four least hashes of their set. The matrix stores each group's token union, in blocks by token; a query document
+opens only the groups whose union holds enough of its tokens, and is compared exactly there.
 
 Steps, each exact, so that no link is lost:
 
@@ -10,16 +10,19 @@ Steps, each exact, so that no link is lost:
 2.  A token bound against the union of the whole corpus: a document that shares fewer than the threshold's share of its
     tokens with any other has no partner. Tokens travel as 32 bits, which can only raise the bound.
     That count also bounds every pair: the overlap of two documents is at most the lesser of their counts.
-3.  The rarest ``n - ceil(threshold * n) + 1`` tokens of a partner must meet the query's own: the matrix holds these of each
-    member, so a group without one of them bounds the overlap below the threshold. Rarity comes from bucket counts over all
-    remaining documents, a table of fixed size. Of two groups that meet at a token, the one with more members there is opened
+3.  The rarest ``n - ceil(threshold * n) + 1`` tokens of a partner must meet the query's own: these of each member index the
+    matrix, so that a query meets only groups that share one of them. Rarity comes from bucket counts over all
+    remaining documents, a table of fixed size. Of two groups that meet at a token, the one with more members there is asked
     by the members of the other.
-4.  Inside an opened group members that link with the group's hub need no comparison with each other. All others are compared
+4.  A query's overlap with the token union of each group that it meets is counted, block by block of the union, and summed. It bounds the overlap with
+    any member: the group is opened only if it reaches the threshold's share of the query's tokens.
+5.  Inside an opened group members that link with the group's hub need no comparison with each other. All others are compared
     through the group's postings. Large groups are split into blocks of members and of queries. Each block returns a spanning
     forest of its links, not all pairs.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer than k words are one
-shingle; a null id is returned with the component of its copies, or null; repeated rows are linked by their id.
+shingle; a null id is returned with the component of its copies, or null; repeated rows are linked by their id, also where their
+texts differ; a very long text is one set, in memory that grows with it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ MEMBER_TOKENS, QUERY_TOKENS = 2_000_000, 1_000_000
 #: Pairs of (query, group) that one step of the matrix forms in memory.
 PAIRS_AT_ONCE = 2_000_000
 BUCKETS, BLOCK = 1 << 20, 1 << 14
+#: Most classes of copies that are broadcast.
+LARGE = 100_000
 
 
 def need(n, percent: int):
@@ -52,6 +57,15 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
+def digest(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two sums of differently mixed tokens for each set."""
+    sums = []
+    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(h ^ np.uint64(salt)))])
+        sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return sums
+
+
 def digests(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size) and a 128-bit digest of the set, of every row."""
 
@@ -60,11 +74,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
             texts = T.text_column(batch.column(1))
             for lo, hi in T.slices(texts):
                 h, bounds = T.shingle_sets(T.words(texts.slice(lo, hi - lo), lower=True), k)
-                sums = []
-                for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(h ^ np.uint64(salt)))])
-                    sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), *map(pa.array, sums)], ["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), *map(pa.array, digest(h, bounds))], ["doc_id", "n", "d1", "d2"])
 
     return docs.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long")
 
@@ -134,7 +144,7 @@ def shared_counts(docs: DataFrame, k: int, parts: int, buckets: int) -> DataFram
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
-    """doc_id, n, tokens (sorted 64-bit values) and s of the wanted documents."""
+    """doc_id (the node of the text's class), n, tokens (sorted 64-bit values) and s of the wanted (doc_id, n, d1, d2, node, s)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap(wanted, "doc_id", bits))
 
@@ -150,12 +160,12 @@ def token_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFra
                 some = np.flatnonzero(np.diff(bounds))
                 arr = [h[bounds[i] : bounds[i + 1]] for i in some]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(np.array([len(a) for a in arr], np.int64)), pa.array([a.tobytes() for a in arr], pa.binary())],
-                    ["doc_id", "n", "tokens"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(np.array([len(a) for a in arr], np.int64)), *(pa.array(x[some]) for x in digest(h, bounds)), pa.array([a.tobytes() for a in arr], pa.binary())],
+                    ["doc_id", "n", "d1", "d2", "tokens"],
                 )
 
-    found = docs.filter("doc_id is not null").select("doc_id", "t", bitmap_position("doc_id", bits).alias("p")).mapInArrow(tidy(run), "doc_id long, n long, tokens binary")
-    return found.join(wanted.select("doc_id", "s"), "doc_id")
+    found = docs.filter("doc_id is not null").select("doc_id", "t", bitmap_position("doc_id", bits).alias("p")).mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, tokens binary")
+    return found.join(wanted, ["doc_id", "n", "d1", "d2"]).select(F.col("node").alias("doc_id"), "n", "tokens", "s")
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
@@ -248,6 +258,49 @@ def openings(sets: DataFrame, shared, percent: int, parts: int) -> DataFrame:
     return sent.repartition(parts, "part").mapInArrow(tidy(match), "doc_id long, grp long").distinct()
 
 
+def qualified(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The (doc_id, grp) of met whose group's token union holds enough of the document's tokens."""
+    asked = met.join(sets.select("doc_id", "n"), "doc_id").groupBy("grp").agg(F.sum("n").alias("q_tokens"))
+    groups = sets.groupBy("grp").agg(F.sum("n").alias("m_tokens")).join(asked, "grp")
+    groups = table(groups.select("grp", F.ceil(F.col("m_tokens") / MEMBER_TOKENS).cast("int").alias("ps"), F.ceil(F.col("q_tokens") / QUERY_TOKENS).cast("int").alias("qs")), "jaccard-unions")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens by block of the union; members to every run of queries, a query to its own."""
+        for batch in batches:
+            for grp, ps, qs, asks, doc, n, blob in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                h = np.frombuffer(blob, np.uint64)
+                part = (h >> np.uint64(20)) % np.uint64(ps)
+                to = [int(T.mix(np.array([doc]).view(np.uint64))[0] % np.uint64(qs))] if asks else range(qs)
+                rows = [(grp, p, q, asks, doc, n, x) for p in range(ps) for x in [h[part == p].tobytes()] for q in to]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "p", "q", "asks", "doc_id", "n", "tokens"])
+
+    cols = ("grp", "ps", "qs", "asks", "doc_id", "n", "tokens")
+    members = sets.join(groups, "grp").withColumn("asks", F.lit(0)).select(*cols)
+    queries = met.join(groups, "grp").join(sets.select("doc_id", "n", "tokens"), "doc_id").withColumn("asks", F.lit(1)).select(*cols)
+    dealt = members.unionAll(queries).mapInArrow(tidy(deal), "grp long, p int, q int, asks int, doc_id long, n long, tokens binary")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, union, held = None, np.zeros(0, np.uint64), []
+        for batch in batches:
+            out = []
+            for grp, p, q, asks, doc, n, blob in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (grp, p, q) != key:
+                    key, union, held = (grp, p, q), np.zeros(0, np.uint64), []
+                h = np.frombuffer(blob, np.uint64)
+                if not asks:
+                    held.append(h)
+                    continue
+                if held:  # members come first
+                    union, held = np.unique(np.concatenate(held)), []
+                at = np.minimum(np.searchsorted(union, h), max(len(union) - 1, 0))
+                out.append((doc, grp, n, int((union[at] == h).sum()) if len(union) else 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "grp", "n", "over"])
+
+    counted = dealt.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "asks").mapInArrow(tidy(count), "doc_id long, grp long, n long, over long")
+    return counted.groupBy("doc_id", "grp").agg(F.max("n").alias("n"), F.sum("over").alias("over")).filter(100 * F.col("over") >= percent * F.col("n")).select("doc_id", "grp")
+
+
 class Forest:
     """Union-find over longs that keeps the unions that joined two trees."""
 
@@ -371,22 +424,35 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id",
     n_rows, total = base.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = shared_counts(d, k, max(least, -(-total // TOKENS_PER_TASK)), max(12, n_rows // DOCS_PER_TASK))
-    classes = base.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    alive = classes.select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").filter(f"100 * s >= {percent} * n")
-    alive = table(alive.groupBy("doc_id").agg(F.max("n").alias("n"), F.max(F.least("s", "n")).alias("s")), "jaccard-alive")
+    key = ["n", "d1", "d2"]
+    classes = base.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null")
+    # an id with several texts: every class after its first gets a node of its own, and all are linked
+    several = base.filter("n > 0 and doc_id is not null").select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("m"), F.min(F.struct(*key)).alias("first")).filter("m > 1").select("doc_id", "first")
+    several = table(several, "jaccard-several")
+    own = F.expr("9223372036854775807 - (xxhash64(n, d1, d2) & 2305843009213693951)")
+    classes = classes.join(several.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("node", F.when(F.col("first").isNull() | (F.col("first") == F.struct(*key)), F.col("rep")).otherwise(own)).drop("first")
+    classes = table(classes, "jaccard-classes")
+    same_id = base.join(several, "doc_id").join(classes, key).groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"))
+    alive = table(classes.select(F.col("rep").alias("doc_id"), *key, "node").join(shared, "doc_id").filter(f"100 * s >= {percent} * n").withColumn("s", F.least("s", "n")), "jaccard-alive")
     left, tokens = alive.agg(F.count("*"), F.sum("n")).first()
     if left:
         bits = 1 << min(27, max(20, (16 * left).bit_length()))
-        sets = table(token_sets(d, alive, k, bits).dropDuplicates(["doc_id"]), "jaccard-sets")
+        sets = table(token_sets(d, alive, k, bits).dropDuplicates(["doc_id"]), "jaccard-sets")  # repeated rows
         level = spark.sparkContext.broadcast(np.minimum(255, np.ceil(4 * np.log2(1 + bucket_counts(sets)))).astype(np.uint8))
         sets = table(grouped(sets, level), "jaccard-groups")
         opened = table(openings(sets, level, percent, max(least, -(-tokens // TOKENS_PER_TASK))), "jaccard-opened")
-        found = connected_components(verify(sets, opened, percent))
+        edges = verify(sets, table(qualified(sets, opened, percent), "jaccard-qualified"), percent).unionAll(same_id)
     else:
-        found = spark.createDataFrame([], "node long, component long")
-    copies = classes.filter("copies > 1").select("n", "d1", "d2", "rep")
-    out = base.join(copies, ["n", "d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        edges = same_id
+    found = connected_components(edges)
+    named = classes.join(found, "node", "left").filter("copies > 1 or component is not null").select(*key, F.coalesce("component", "rep").alias("component_id"), "copies")
+    named = table(named, "jaccard-named")
+    # the classes with most copies, of which there can be no more than LARGE, are broadcast; no other key has many rows
+    large = F.col("copies") > n_rows // LARGE
+    part = base.filter("n > 0").join(F.broadcast(named.filter(large).drop("copies")), key, "left")
+    cols = ("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rest = part.filter("component_id is null").drop("component_id").join(named.filter(~large).drop("copies"), key, "left")
+    return base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionAll(part.filter("component_id is not null").select(*cols)).unionAll(rest.select(*cols))
 
 
 def representatives(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:

@@ -118,6 +118,16 @@ def test_vectors(spark):
     assert not vectors.near_duplicates(df.limit(0)).count()
 
 
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_vectors_extreme_norms_and_labels_as_they_are(spark, kind):
+    v = np.array([1.0, 2.0, -3.0, 0.5])
+    a, b = (1.2, 1.7) if kind == "double" else ("x", "y")
+    rows = [(1, (v * 1e200).tolist(), a, 0), (2, (v * 3e200).tolist(), a, 0), (3, (v * 1e-200).tolist(), a, 0), (4, v.tolist(), b, 0), (5, [*v.tolist(), 1.0], a, 0), (6, v.tolist(), b, 0), (6, v.tolist(), b, 0)]
+    df = attach(spark).createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}, rep long")
+    got = sorted(tuple(r) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 0, 5, True), (6, 2, 4, False), (6, 2, 4, False)]
+
+
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_substrings(docs, empty, texts, hot):
     got = {r["doc_id"]: r for r in substrings.dedupe(docs, digest=True, hot=hot).collect()}
@@ -151,6 +161,24 @@ def test_jaccard(docs, empty, texts):
     assert not jaccard.join(empty).count()
 
 
+def test_jaccard_links_all_texts_of_an_id(spark):
+    rng = random.Random(2)
+    a, b = (" ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(40)) for _ in range(2))
+    rows = [(1, a), (3, b), (5, b + " y"), (9, a + " z"), (9, b + " w"), (20, a), (20, a), (20, "one two"), (21, "one two"), (30, ""), (30, None), (31, "")]
+    got = sorted(tuple(r) for r in jaccard.join(attach(spark).createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {(i, c) for i, _, c in got} == {(i, 1) for i in (1, 3, 5, 9, 20, 21)} | {(30, 30), (31, 31)} and len(got) == len(rows)
+
+
+def test_union_bound(spark):
+    """Only groups whose union holds enough of a query's tokens are opened."""
+    s = attach(spark)
+    blob = lambda x: np.array(x, np.uint64).tobytes()
+    rows = [(1, 4, blob([1, 2, 3, 4]), 4, 7), (2, 4, blob([3, 4, 5, 6]), 4, 7), (3, 4, blob([1, 2, 5, 6]), 4, 8), (4, 4, blob([1, 2, 8, 9]), 4, 8)]
+    sets = s.createDataFrame([(a, n, bytearray(b), c, g) for a, n, b, c, g in rows], "doc_id long, n long, tokens binary, s long, grp long")
+    met = s.createDataFrame([(3, 7), (4, 7)], "doc_id long, grp long")
+    assert [tuple(r) for r in jaccard.qualified(sets, met, 75).collect()] == [(3, 7)]
+
+
 def test_representatives(docs, texts):
     """Against all pairs of shingle sets: every row but those of larger ids in a group of near copies, unchanged."""
     sets, p = [], {i: i for i in range(len(texts))}
@@ -202,7 +230,6 @@ def test_packing(docs, empty, texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     got = packing.pack(docs, path, capacity=128).toPandas()
     for i, t in enumerate(texts):
         ids, pos = tk.encode(t or "", add_special_tokens=False).ids + [1], 0
@@ -215,6 +242,17 @@ def test_packing(docs, empty, texts):
     assert got.sequence_id.nunique() == got.sequence_id.max() + 1
     assert not packing.pack(empty, path).count()
     hist = {k: 1 + k % 5 for k in range(1, 65)}
+    for seed in range(20):
+        rng = random.Random(seed)
+        some = {k: rng.randint(1, 9) for k in rng.sample(range(1, 65), 20)}
+        plain: list[int] = []
+        for size in sorted((k for k, v in some.items() for _ in range(v)), reverse=True):
+            at = min(range(len(plain)), key=plain.__getitem__, default=None)
+            if at is None or plain[at] + size > 64:
+                plain.append(0)
+                at = len(plain) - 1
+            plain[at] += size
+        assert sorted(plain) == sorted(sum(p.lengths) for p in packing.pack_histogram(some, 64) for _ in range(p.count))
     packs = packing.pack_histogram(hist, 64)
     assert Counter({k: sum(p.count * p.lengths.count(k) for p in packs) for k in hist}) == Counter(hist) and all(sum(p.lengths) <= 64 for p in packs)
 
