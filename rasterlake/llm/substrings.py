@@ -12,11 +12,14 @@ match them:
     match of ``span`` words or more marks the windows that it covers; then the context extends the automaton.
 3.  Marked windows become maximal spans, joined back to the texts that have any.
 
-Words in contexts are 32-bit hashes; two contexts only meet under the same 64-bit anchor. An anchor that more than ``hot``
-documents hold sends its windows one by one, dealt out by window, so that no shard grows with a passage's popularity.
+Equal texts are merged first: the one with the least id stands for them, and of the others every word that a window covers goes.
+Words in contexts are 32-bit hashes; two contexts only meet under the same 64-bit anchor. A shard's automaton is built and read
+where its documents meet: all of them would have to be broadcast to compare a corpus with itself, which has no bound.
 
 Edge cases: a null text has no words; a document shorter than the span loses nothing; windows repeated inside one document do
-not count; rows with a null id lose nothing and are no reference; repeated rows (same id and text) are one document.
+not count; rows with a null id lose nothing and are no reference; repeated rows (same id and text) are one document, and
+different texts of one id are no reference for each other; a very long text is split into words in one go; other columns than
+those carried are not read.
 """
 
 from __future__ import annotations
@@ -86,7 +89,7 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, span: int, gram: int, parts: int) -> DataFrame:
-    """doc_id, th and packed (anchor, number of documents) of the anchors that two documents or more hold."""
+    """doc_id, th and packed anchors that two documents or more hold."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,15 +121,14 @@ def shared_anchors(docs: DataFrame, span: int, gram: int, parts: int) -> DataFra
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(h)) - 1
             hits = np.flatnonzero((doc[first] != doc[last])[run])
-            df = (last - first + 1)[run]
             order = hits[np.lexsort((th[hits], doc[hits]))]
             if not len(order):
                 continue
             d, t = doc[order], th[order]
             cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
             ends = np.append(cut[1:], len(order))
-            both = np.stack([h[order], df[order].astype(np.uint64)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(t[cut]), pa.array([both[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["doc_id", "th", "anchors"])
+            h = h[order]
+            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(t[cut]), pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["doc_id", "th", "anchors"])
 
     sent = docs.filter("doc_id is not null").select("doc_id", "t", "th").mapInArrow(tidy(send), "part int, h binary, doc binary, th binary")
     found = sent.repartition(parts, "part").mapInArrow(tidy(count), "doc_id long, th long, anchors binary")
@@ -266,13 +268,13 @@ def shard(meta: np.ndarray, codes: list[bytes], span: int) -> Iterator[tuple[int
                         yield int(doc), int(m["text"]), first + int(run[0]), first + int(run[-1])
 
 
-def marked(docs: DataFrame, span: int = 50, gram: int = 8, hot: int = 50_000) -> DataFrame:
+def marked(docs: DataFrame, span: int = 50, gram: int = 8) -> DataFrame:
     """doc_id, th and packed (first, last) runs of windows that start in a smaller document too."""
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_words = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-    lists = table(shared_anchors(docs, span, gram, max(least, n_words // (100 * ANCHORS_PER_TASK))), "substring-anchors")
-    n, total = lists.agg(F.count("*"), F.sum(F.aggregate("anchors", F.lit(0), lambda a, b: a + F.length(b)) / 16)).first()
+    n_chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
+    lists = table(shared_anchors(docs, span, gram, max(least, n_chars // (100 * ANCHORS_PER_TASK))), "substring-anchors")
+    n, total = lists.agg(F.count("*"), F.sum(F.aggregate("anchors", F.lit(0), lambda a, b: a + F.length(b)) / 8)).first()
     parts = max(least, int(total or 0) // CONTEXTS_PER_TASK)
     found = hits(docs.filter("doc_id is not null").select("doc_id", "t", "th"), lists, ["doc_id", "th"], n, True).dropDuplicates(["doc_id", "th"]).join(lists, ["doc_id", "th"])
 
@@ -288,20 +290,15 @@ def marked(docs: DataFrame, span: int = 50, gram: int = 8, hot: int = 50_000) ->
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
                     a, b = bounds[i], bounds[i + 1]
-                    known = np.frombuffer(b"".join(lists[lo + i].as_py()), np.uint64).reshape(-1, 2)
-                    order = np.argsort(known[:, 0])
-                    known = known[order]
+                    known = np.sort(np.frombuffer(b"".join(lists[lo + i].as_py()), np.uint64))
                     new = np.flatnonzero(np.append(True, h[a + 1 : b] != h[a : b - 1])) + a
-                    k = np.minimum(np.searchsorted(known[:, 0], h[new]), len(known) - 1)
-                    new_hit, df = known[k, 0] == h[new], known[k, 1]
+                    k = np.minimum(np.searchsorted(known, h[new]), len(known) - 1)
+                    new_hit = known[k] == h[new]
                     ends = np.append(new[1:], b)
-                    for s, e, n in zip(new[new_hit].tolist(), ends[new_hit].tolist(), df[new_hit].tolist(), strict=True):
-                        runs = [(s, e)] if n <= hot else [(j, j + 1) for j in range(s, e)]
-                        for j, j2 in runs:
-                            blob = codes[starts[j] : starts[j2 - 1] + span].tobytes()
-                            key = int(h[s]) if n <= hot else int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little")
-                            metas.append((key, int(ids[lo + i]), int(th[lo + i]), int(starts[j] - w.bounds[i]), len(blob)))
-                            blobs.append(blob)
+                    for s, e in zip(new[new_hit].tolist(), ends[new_hit].tolist(), strict=True):
+                        blob = codes[starts[s] : starts[e - 1] + span].tobytes()
+                        metas.append((int(h[s]), int(ids[lo + i]), int(th[lo + i]), int(starts[s] - w.bounds[i]), len(blob)))
+                        blobs.append(blob)
                 if not metas:
                     continue
                 meta = np.array(metas, META)
@@ -357,14 +354,21 @@ def cut_words(words: list[bytes], runs: np.ndarray, span: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
-def dedupe(docs: DataFrame, span: int = 50, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), digest: bool = False, hot: int = 50_000) -> DataFrame:
+def dedupe(docs: DataFrame, span: int = 50, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the text that stays (digest: its words' kept_sha256), and columns carried as c_<name>.
 
     A text that loses nothing stays as it is; of others, removed words go with the white space that follows them.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), *(F.col(c).alias(f"c_{c}") for c in carry))
-    runs = table(marked(d.select("doc_id", "t", "th"), span, gram, hot), "substring-runs")
-    n, key = runs.count(), ["doc_id", "th"]
+    key = ["doc_id", "th"]
+    ids = d.filter("doc_id is not null and t is not null").select(*key, F.xxhash64(F.lit(1), "t").alias("th2"))
+    copied = table(ids.groupBy("th", "th2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"), "substring-copied")
+    copies = table(ids.join(copied, ["th", "th2"]).filter("doc_id > first").select(*key).distinct(), "substring-copies")
+    n, texts = copies.count(), d.select("doc_id", "t", "th")
+    once = hits(texts, copies, key, n, False).unionAll(hits(texts, copies, key, n, True).join(copies, key, "left_anti").select("doc_id", "t", "th"))
+    runs = marked(once, span, gram).unionAll(copies.select(*key, F.expr("array()").cast("array<binary>").alias("runs")))
+    runs = table(runs, "substring-runs")  # no runs: the whole text
+    n = runs.count()
     extra = [f"c_{c}" for c in carry]
     kinds = dict(d.dtypes)
     schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept_sha256 string" if digest else "kept_text string", *(f"`{c}` {kinds[c]}" for c in extra)])
@@ -378,8 +382,8 @@ def dedupe(docs: DataFrame, span: int = 50, gram: int = 8, id_col: str = "doc_id
                 words = raw.split()
                 total.append(len(words))
                 found = lists[i].as_py() if lists is not None else None
-                if found:
-                    keep = cut_words(words, np.frombuffer(b"".join(found), "<i4").reshape(-1, 2), span)
+                if found is not None and (found or len(words) >= span):
+                    keep = cut_words(words, np.frombuffer(b"".join(found), "<i4").reshape(-1, 2), span) if found else np.zeros(len(words), bool)
                     gone.append(int((~keep).sum()))
                     if digest:
                         out.append(hashlib.sha256(b" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest())

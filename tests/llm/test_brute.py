@@ -128,10 +128,9 @@ def test_vectors_extreme_norms_and_labels_as_they_are(spark, kind):
     assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 0, 5, True), (6, 2, 4, False), (6, 2, 4, False)]
 
 
-@pytest.mark.parametrize("hot", [50_000, 2])
-def test_substrings(docs, empty, texts, hot):
-    got = {r["doc_id"]: r for r in substrings.dedupe(docs, digest=True, hot=hot).collect()}
-    kept = {r["doc_id"]: r["kept_text"] for r in substrings.dedupe(docs, hot=hot, carry=("p", "t")).collect()}
+def test_substrings(docs, empty, texts):
+    got = {r["doc_id"]: r for r in substrings.dedupe(docs, digest=True).collect()}
+    kept = {r["doc_id"]: r["kept_text"] for r in substrings.dedupe(docs, carry=("p", "t")).collect()}
     seen = set()
     for i, t in enumerate(texts):
         w = WORD.findall(t or "")
@@ -145,6 +144,15 @@ def test_substrings(docs, empty, texts, hot):
     assert not substrings.dedupe(empty, digest=True).count()
 
 
+def test_substrings_of_repeated_ids_copies_and_long_texts(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    a, b, long = words(80), words(90), words(120_000)
+    rows = [(5, a), (5, a), (3, b), (5, b + " tail"), (7, a), (None, a), (8, long), (9, "head " + long), (10, words(10)), (11, None), (12, ""), (13, a + " " + a)]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedupe(attach(spark).createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 80, 0), (5, 80, 0), (3, 90, 0), (5, 91, 90), (7, 80, 80), (None, 80, 0), (8, 120_000, 0), (9, 120_001, 120_000), (10, 10, 0), (11, 0, 0), (12, 0, 0), (13, 160, 160)], key=str)
+
+
 def test_jaccard(docs, empty, texts):
     got = {r["doc_id"]: r for r in jaccard.join(docs).collect()}
     sets, p = [], {i: i for i in range(len(texts))}
