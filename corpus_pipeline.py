@@ -1,4 +1,11 @@
-"""A training-data pipeline over documents: classify, drop near copies, cut repeated passages, mix sources, pack."""
+"""A training-data pipeline over documents: classify, drop near copies, cut repeated passages, mix sources, pack.
+
+Every stage reads the five columns of documents by name and returns them; any others, whatever their names, end at the first stage.
+
+Edge cases: a null or empty text is scored like any other text, is nobody's near copy, loses no passage and packs as its end id alone; a
+null id passes the classifier and near copies, is no reference for passages, and packs like any other; repeated rows are judged
+alike, and all rows of a kept id stay; an empty table gives empty results; very long texts pass every stage whole, in memory that grows with them.
+"""
 
 from __future__ import annotations
 
