@@ -37,6 +37,23 @@ def lab(x: Column, y: Column, z: Column, white: tuple[float, float, float]) -> t
     return fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200
 
 
+def lab_inverse(lightness: Column, a: Column, b: Column, white: tuple[float, float, float]) -> list[Column]:
+    """X, Y, Z of L*a*b*."""
+    fy = (lightness + 16) / 116
+    cube = lambda t: t * t * t
+    f = lambda t: F.when(cube(t) > EPSILON, cube(t)).otherwise((t * 116 - 16) / KAPPA)
+    y = F.when(lightness > KAPPA * EPSILON, cube(fy)).otherwise(lightness / KAPPA)
+    return [f(fy + a / 500) * white[0], y * white[1], f(fy - b / 200) * white[2]]
+
+
+def rgb_to_lab(red: Column, green: Column, blue: Column) -> list[Column]:
+    """L*a*b* of linear sRGB, with the exact cube root. The white of D65, and the curve's constants from 6/29."""
+    knee = 6 / 29
+    f = lambda t: F.when(t > knee**3, F.cbrt(t)).otherwise(t / (3 * knee * knee) + 4 / 29)
+    fx, fy, fz = (f(v / w) for v, w in zip(matrix(SRGB_TO_XYZ, [red, green, blue]), (0.95047, 1.0, 1.08883), strict=True))
+    return [fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200]
+
+
 def matrix(m: np.ndarray, cols: list[Column]) -> list[Column]:
     """Linear map as literal expressions."""
     return [sum((c * float(k) for c, k in zip(cols[1:], row[1:], strict=True)), cols[0] * float(row[0])) for row in m]

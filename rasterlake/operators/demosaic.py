@@ -33,6 +33,12 @@ def bilinear(px: DataFrame) -> DataFrame:
     return p.select("r", "c", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
+def region(px: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """Colours of a rectangle alone, re-based to its corner: it is cut first, and keeps its place in the pattern until the end."""
+    inside = px.filter(F.col("r").between(y, y + h - 1) & F.col("c").between(x, x + w - 1))
+    return bilinear(inside).withColumns({"r": F.col("r") - y, "c": F.col("c") - x})
+
+
 def ppg_green(px: DataFrame, height: int, width: int) -> DataFrame:
     """Green of samples three or more from the edge: the least gradient of north, east, west and south (ties in that order)."""
     p = neighbours(px, CROSS).filter(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,9 @@ def deinterleave(px: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def flips(orientation: Column) -> tuple[Column, Column, Column]:
-    """(transpose, horizontal, vertical) of an orientation code 1 to 8; others count as 1."""
+    """(transpose, horizontal, vertical) of an orientation code 1 to 8; others count as 1. Flips come before the transposition."""
     one = lambda *codes: orientation.isin(*codes)
-    return one(5, 6, 7, 8), one(2, 3, 6, 7), one(3, 4, 7, 8)
+    return one(5, 6, 7, 8), one(2, 3, 7, 8), one(3, 4, 6, 7)
 
 
 def phase(h: int = 2, w: int = 2) -> Column:
@@ -80,10 +80,6 @@ def in_rects(px: DataFrame, rects: list[tuple[int, int, int, int]]) -> DataFrame
     return px.withColumn("rect", F.explode(hit))
 
 
-def line_window(*keys: str):
-    return Window.partitionBy(*keys)
-
-
 def nearest(px: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
     """A smaller image whose samples are those under the centres of its pixels.
 

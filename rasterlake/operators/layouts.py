@@ -41,16 +41,18 @@ def on_45_degrees(px: DataFrame, width: int, other: bool = False) -> DataFrame:
     return px.select(new[0].cast("long").alias("r"), new[1].cast("long").alias("c"), "v")
 
 
-def upright(px: DataFrame, height: int, width: int, turned: int) -> DataFrame:
+def upright(px: DataFrame, height: int, width: int, turned: int, image: str | None = None) -> DataFrame:
     """The upright rectangle inside a square that is turned by 45 degrees, sampled bilinearly; turned: width of the sensor's side.
 
     Places whose four neighbours are not all inside take the nearest sample, or 0 outside. Each target names its sources, and one
-    join on (r, c) brings them; the target grid is generated, not collected.
+    join on place brings them; the target grid is generated, not collected. image: the column that tells images apart.
     """
     spark, root = px.sparkSession, 2**0.5
+    keys = [image] if image else []
     sides = sorted((int(turned * root), int((width - turned) * root)))
     h, w = sides
-    at = spark.range(h * w).select(F.expr(f"id div {w}").alias("tr"), F.expr(f"id % {w}").alias("tc"))
+    at = px.select(image).distinct().withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(h * w - 1).cast("long")))) if image else spark.range(h * w)
+    at = at.select(*keys, F.expr(f"id div {w}").alias("tr"), F.expr(f"id % {w}").alias("tc"))
     dx, dy = F.col("tc") - w / 2, F.col("tr") - h / 2
     at = at.withColumns({"x": (dx + dy) * 0.5**0.5 + width / 2, "y": (dy - dx) * 0.5**0.5 + height / 2})
     at = at.withColumns({"x0": F.floor("x"), "y0": F.floor("y"), "sx": F.round("x").cast("long"), "sy": F.round("y").cast("long")})
@@ -59,9 +61,9 @@ def upright(px: DataFrame, height: int, width: int, turned: int) -> DataFrame:
     x0, y0 = F.col("x0"), F.col("y0")
     four = F.array(part(y0, x0, (1 - fx) * (1 - fy)), part(y0, x0 + 1, fx * (1 - fy)), part(y0 + 1, x0, (1 - fx) * fy), part(y0 + 1, x0 + 1, fx * fy))
     inside = (x0 >= 0) & (y0 >= 0) & (x0 + 1 < width) & (y0 + 1 < height)
-    parts = at.select("tr", "tc", F.explode(F.when(inside, four).otherwise(F.array(part(F.col("sy"), F.col("sx"), F.lit(1.0))))).alias("p")).select("tr", "tc", "p.*")
-    got = parts.join(px, ["r", "c"], "left").groupBy("tr", "tc").agg(F.coalesce(F.sum(F.col("k") * F.col("v")), F.lit(0.0)).alias("v"))
-    return got.select(F.col("tr").alias("r"), F.col("tc").alias("c"), "v")
+    parts = at.select(*keys, "tr", "tc", F.explode(F.when(inside, four).otherwise(F.array(part(F.col("sy"), F.col("sx"), F.lit(1.0))))).alias("p")).select(*keys, "tr", "tc", "p.*")
+    got = parts.join(px, [*keys, "r", "c"], "left").groupBy(*keys, "tr", "tc").agg(F.coalesce(F.sum(F.col("k") * F.col("v")), F.lit(0.0)).alias("v"))
+    return got.select(*keys, F.col("tr").alias("r"), F.col("tc").alias("c"), "v")
 
 
 def quadrants(px: DataFrame, split_row: int, split_col: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import phase
+from .grid import in_rects, phase
 
 
 def black_levels(px: DataFrame, h: int = 2, w: int = 2) -> DataFrame:
@@ -13,6 +13,23 @@ def black_levels(px: DataFrame, h: int = 2, w: int = 2) -> DataFrame:
     return px.groupBy(phase(h, w).alias("phase")).agg(F.avg("v").alias("level"), F.count("*").alias("n"))
 
 
+def masked_black(px: DataFrame, rects: list[tuple[int, int, int, int]], h: int = 2, w: int = 2) -> DataFrame:
+    """Mean sample of each phase over all masked rectangles (x, y, w, h); a sample in two of them counts twice."""
+    return black_levels(in_rects(px, rects), h, w)
+
+
+def rescale_components(pix: Column, black: list[float], white: list[float]) -> Column:
+    """max(v - black, 0) / (white - black) of every component of an array; unchanged if the numbers of levels differ."""
+    if len(black) != len(white):
+        return pix
+    return F.transform(pix, lambda v, i: F.greatest(v - F.get(F.array(*map(F.lit, map(float, black))), i), F.lit(0.0)) / F.get(F.array(*(F.lit(float(b - a)) for a, b in zip(black, white, strict=True))), i))
+
+
+def scaled(px: DataFrame, black: DataFrame, white: float) -> DataFrame:
+    """The rescaled image with its new levels, 0 and 1."""
+    return rescale(px, black, white).withColumns({"black": F.lit(0.0), "white": F.lit(1.0)})
+
+
 def rescale(px: DataFrame, black: DataFrame, white: float, h: int = 2, w: int = 2) -> DataFrame:
     """max(v - black, 0) / (white - black) by phase; black has one row per phase (h * w of them)."""
     levels = F.broadcast(black.select("phase", "level"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,10 +62,16 @@ def summary(jobs: DataFrame, group: str, ok: Column, order: str, message: str) -
     return jobs.groupBy(group).agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failure"), F.min_by(F.when(~ok, F.col(message)), F.when(~ok, F.col(order))).alias("first_error"))
 
 
-def free_names(wanted: DataFrame, stem: str, order: str) -> DataFrame:
-    """Suffix _k for repeated names, in order."""
-    k = F.row_number().over(Window.partitionBy(stem).orderBy(order)) - 1
-    return wanted.withColumn("output", F.when(k == 0, F.col(stem)).otherwise(F.concat_ws("_", F.col(stem), k.cast("string"))))
+def unclaimed(wanted: DataFrame, claimed: DataFrame, name: str) -> DataFrame:
+    """Each wanted name once, without those that are claimed."""
+    return wanted.select(name).distinct().join(claimed.select(name), name, "left_anti")
+
+
+def markdown(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """Adds line, a table row with the group padded to the widest, in order of the groups."""
+    width = rows.agg(F.max(F.length(group)).alias("width"))
+    padded = F.concat(F.lit("|"), F.rpad(F.col(group), F.col("width"), F.lit(" ")), F.lit(" | "), F.col(text), F.lit(" |"))
+    return rows.crossJoin(F.broadcast(width)).withColumn("line", padded).drop("width").orderBy(group)
 
 
 def unique_in_range(facts: DataFrame, dim: DataFrame, fact_id: str, group: str, at: str, low: str, high: str, value: str, least: tuple[str, str] | None = None) -> DataFrame:

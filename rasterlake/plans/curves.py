@@ -256,16 +256,13 @@ def level_priority(spark, d):
 
 
 @query(
-    "WITH d AS (SELECT p_partkey, p_brand, p_size AS low, p_size + 3 AS high FROM part WHERE p_partkey % 40 = 0), f AS (SELECT l_orderkey * 8 + l_linenumber AS id, p_brand, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS q FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = l_partkey) "
-    "SELECT id, CASE WHEN count(d.p_partkey) = 1 THEN min(d.p_partkey) END AS p_partkey FROM f LEFT JOIN d ON d.p_brand = f.p_brand AND (q IS NULL OR q BETWEEN low AND high) GROUP BY id"
+    "WITH d AS (SELECT s_suppkey, s_nationkey, s_acctbal AS low, s_acctbal + 900 AS high FROM supplier), f AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS q FROM customer) "
+    "SELECT c_custkey, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS s_suppkey FROM f LEFT JOIN d ON s_nationkey = c_nationkey AND (q IS NULL OR q BETWEEN low AND high) GROUP BY 1"
 )
 def unique_range_lookup(spark, d):
-    part = read(spark, d, "part")
-    dim = part.filter("p_partkey % 40 = 0").select("p_partkey", "p_brand", F.col("p_size").alias("low"), (F.col("p_size") + 3).alias("high"))
-    line = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
-    f = line.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    f = f.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "p_brand", F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("q"))
-    return lookup.unique_in_range(f, dim, "id", "p_brand", "q", "low", "high", "p_partkey")
+    dim = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 900).alias("high"))
+    f = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("q"))
+    return lookup.unique_in_range(f, dim, "c_custkey", "nation", "q", "low", "high", "s_suppkey")
 
 
 @query("SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS c_name FROM (SELECT o_orderkey, o_custkey * 2 AS k FROM orders) LEFT JOIN customer a ON a.c_custkey = k LEFT JOIN customer b ON b.c_custkey = k // 2 AND a.c_name IS NULL")

@@ -12,10 +12,17 @@ from rasterlake.operators import demosaic, grid, levels
 STEPS = frozenset({"rescale", "demosaic", "calibrate", "crop", "srgb"})
 
 
-def develop(px: DataFrame, white: float, height: int, width: int, camera: np.ndarray, wb: tuple[float, float, float] = (1, 1, 1), crop: tuple[int, int, int, int] | None = None, steps: frozenset[str] = STEPS) -> DataFrame:
-    """r, c, red, green, blue. steps is a set: its order does not matter."""
+def develop(px: DataFrame, white: float, height: int, width: int, camera: np.ndarray, wb: tuple[float, float, float] = (1, 1, 1), crop: tuple[int, int, int, int] | None = None, steps: frozenset[str] = STEPS, black: list[float] | None = None, masked: list[tuple[int, int, int, int]] | None = None) -> DataFrame:
+    """r, c, red, green, blue. steps is a set: its order does not matter.
+
+    black: known levels of the four phases; else they are means over the masked rectangles (x, y, w, h), where there are some; else 0.
+    """
     if "rescale" in steps:
-        px = levels.rescale(px, levels.black_levels(px), white)
+        if black is None and masked:
+            found = levels.masked_black(px, masked)
+        else:
+            found = px.sparkSession.createDataFrame(list(enumerate(map(float, black or [0.0] * 4))), "phase int, level double")
+        px = levels.rescale(px, found, white)
     if "demosaic" in steps:
         rgb = demosaic.ppg(px, height, width)
     else:

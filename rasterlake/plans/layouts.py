@@ -44,14 +44,15 @@ _NEAR = "CASE WHEN x0 >= 0 AND y0 >= 0 AND x0 + 1 < 64 AND y0 + 1 < 64"
 
 
 @query(
-    f"WITH {PX}, sq AS (SELECT * FROM px WHERE r < 64), t AS (SELECT tr, tc, (tc - 28 + tr - 16.5) * sqrt(0.5::DOUBLE) + 32 AS x, (tr - 16.5 - (tc - 28)) * sqrt(0.5::DOUBLE) + 32 AS y FROM (SELECT CAST(a.i AS DOUBLE) AS tr, CAST(b.i AS DOUBLE) AS tc FROM range(0, 33) a(i), range(0, 56) b(i))), "
+    f"WITH {PX}, sq AS (SELECT r // 64 AS g, r % 64 AS r, c, v FROM px), t AS (SELECT g, tr, tc, (tc - 28 + tr - 16.5) * sqrt(0.5::DOUBLE) + 32 AS x, (tr - 16.5 - (tc - 28)) * sqrt(0.5::DOUBLE) + 32 AS y FROM (SELECT CAST(a.i AS DOUBLE) AS tr, CAST(b.i AS DOUBLE) AS tc FROM range(0, 33) a(i), range(0, 56) b(i)), (SELECT DISTINCT g FROM sq)), "
     "k AS (SELECT *, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0, CAST(round(x) AS BIGINT) AS sx, CAST(round(y) AS BIGINT) AS sy FROM t) "
-    f"SELECT CAST(tr AS BIGINT) AS r, CAST(tc AS BIGINT) AS c, round(coalesce({_NEAR} THEN a.v * (1 - x + x0) * (1 - y + y0) + b.v * (x - x0) * (1 - y + y0) + p.v * (1 - x + x0) * (y - y0) + q.v * (x - x0) * (y - y0) ELSE o.v END, 0), 9) AS v FROM k "
-    "LEFT JOIN sq a ON a.r = y0 AND a.c = x0 LEFT JOIN sq b ON b.r = y0 AND b.c = x0 + 1 LEFT JOIN sq p ON p.r = y0 + 1 AND p.c = x0 LEFT JOIN sq q ON q.r = y0 + 1 AND q.c = x0 + 1 LEFT JOIN sq o ON o.r = sy AND o.c = sx"
+    f"SELECT k.g AS image, CAST(tr AS BIGINT) AS r, CAST(tc AS BIGINT) AS c, round(coalesce({_NEAR} THEN coalesce(a.v, 0) * (1 - x + x0) * (1 - y + y0) + coalesce(b.v, 0) * (x - x0) * (1 - y + y0) + coalesce(p.v, 0) * (1 - x + x0) * (y - y0) + coalesce(q.v, 0) * (x - x0) * (y - y0) ELSE o.v END, 0), 9) AS v FROM k "
+    "LEFT JOIN sq a ON a.g = k.g AND a.r = y0 AND a.c = x0 LEFT JOIN sq b ON b.g = k.g AND b.r = y0 AND b.c = x0 + 1 LEFT JOIN sq p ON p.g = k.g AND p.r = y0 + 1 AND p.c = x0 LEFT JOIN sq q ON q.g = k.g AND q.r = y0 + 1 AND q.c = x0 + 1 LEFT JOIN sq o ON o.g = k.g AND o.r = sy AND o.c = sx"
 )
 def upright_45_degrees(spark, d):
-    """Of the square that the first 64 lines form."""
-    return rounded(layouts.upright(px(spark, d).filter("r < 64"), 64, 64, 24), 9, "v")
+    """Every 64 lines are an image, the last one perhaps with fewer."""
+    squares = px(spark, d).select(F.expr("r div 64").alias("image"), F.expr("r % 64").alias("r"), "c", "v")
+    return rounded(layouts.upright(squares, 64, 64, 24, "image"), 9, "v")
 
 
 @query(f"WITH {PX}, i AS (SELECT r, c, CAST(floor((v + 1) * 1000) AS BIGINT) AS v FROM px) SELECT r, c, least(greatest(v - 300 + CASE WHEN c >= 30 THEN r % 7 ELSE r % 5 END + CASE WHEN r >= 40 THEN c % 3 ELSE 0 END, 0), 65535) AS v FROM i")

@@ -91,18 +91,27 @@ def test_overlay_and_names(spark):
     base = spark.createDataFrame([("m", 1, 2)], "make string, a int, b int")
     modes = spark.createDataFrame([("m", "raw", None, 5)], "make string, mode string, a int, b int")
     assert {tuple(r) for r in lookup.overlay(base, modes, ["make"], ["a", "b"]).collect()} == {("m", "", 1, 2), ("m", "raw", 1, 5)}
-    names = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "i int, stem string")
-    assert {r["output"] for r in lookup.free_names(names, "stem", "i").collect()} == {"x", "x_1", "y"}
+    wanted = [(1, "x", 1), (2, "x_1", 1), (3, "x", 1), (4, "y", 2), (5, "y", 2), (6, "y_1_0001", 1), (7, "x", 1), (8, "x_1", 1)]
+    names = spark.createDataFrame(wanted, "i int, stem string, n int")
+    got = {}
+    for r in rules.free_names(names, "stem", "i", "n").orderBy("i", "frame").collect():
+        got.setdefault(r["i"], []).append(r["output"])
+    assert got == {1: ["x"], 2: ["x_1"], 3: ["x_2"], 4: ["y_0000", "y_0001"], 5: ["y_1_0000", "y_1_0001"], 6: ["y_1_0001_1"], 7: ["x_3"], 8: ["x_1_1"]}
+    assert not rules.free_names(names.limit(0), "stem", "i").count()
 
 
 def test_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.CR2").write_bytes(b"1")
     (tmp_path / "in/b.txt").write_bytes(b"2")
+    image = np.arange(48, dtype=np.int64).reshape(6, 8, 1)
+    (tmp_path / "in/c.DNG").write_bytes(dng.write(image, 14, "RGGB", [2], [1000], model="m"))
     for _ in range(2):
-        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = {r["path"].rpartition("/")[2]: r["store_original"] for r in spark.read.parquet(str(tmp_path / "out")).select("path", F.col("store_original")).collect()}
-    assert got == {"a.CR2": False, "b.txt": True}
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), convert.to_dng)
+    got = {r["path"].rpartition("/")[2]: (r["kind"], r["ok"], r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).select("path", "kind", "ok", "content").collect()}
+    assert {k: v[:2] for k, v in got.items()} == {"a.CR2": ("converted", False), "b.txt": ("original", True), "c.DNG": ("converted", True)}
+    assert bytes(got["b.txt"][2]) == b"2" and got["a.CR2"][2] is None
+    assert (dng_source.image(bytes(got["c.DNG"][2]))["samples"] == image[:, :, 0]).all()
 
 
 def test_taken_at(spark):
