@@ -4,8 +4,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlake.functions import colour
-from rasterlake.operators import grid, layouts, levels, lookup, lossless
-from rasterlake.plans import develop
+from rasterlake.operators import grid, layouts, levels, lookup, lossless, rules
+from rasterlake.plans import convert, develop
+from rasterlake.sinks import dng
+from rasterlake.sources import dng as dng_source
+from rasterlake.sources import files
 from rasterlake.streaming import ingest
 
 
@@ -114,6 +117,16 @@ def test_ingest(spark, tmp_path):
     assert (dng_source.image(bytes(got["c.DNG"][2]))["samples"] == image[:, :, 0]).all()
 
 
+def test_folders_and_toml_tables(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a.toml").write_text('[[cameras]]\nmodel = "x"\n[[cameras]]\nmodel = "y"\n')
+    (tmp_path / "b/c.toml").write_text('[[cameras]]\nmodel = "z"\n[[lenses]]\nname = "l"\n')
+    (tmp_path / "b/d.NEF").write_bytes(b"1")
+    assert [r["row"] for r in files.toml_tables(spark, str(tmp_path), "cameras").collect()] == ['{"model": "x"}', '{"model": "y"}', '{"model": "z"}']
+    assert [r["path"][-5:] for r in files.scan(spark, str(tmp_path)).collect()] == ["d.NEF"]
+    assert files.scan(spark, str(tmp_path), only_supported=False).count() == 3 and not files.scan(spark, str(tmp_path), recursive=False).count()
+
+
 def test_taken_at(spark):
     rows = [("2024:02:29 12:00:00", 2, "+05:00"), ("2024:02:29 12:00:00", None, "-01:30"), ("2024:02:29 12:00:00", None, None), ("29.2.2024", 1, None), (None, None, "")]
     df = spark.createDataFrame(rows, "t string, h int, o string")
