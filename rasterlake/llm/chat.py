@@ -7,7 +7,8 @@ retain the maximal conversations, which are then rendered.
 
 Edge cases: turns are ordered by (turn, role, text) with nulls first; exact repeats of a row count once; a null role or text
 differs from an empty one in the hash and is rendered as an empty string; rows with a null conversation id belong to no
-conversation and are left out; equal conversations keep the smallest id.
+conversation and are left out; equal conversations keep the smallest id; a very long text is hashed and rendered whole; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

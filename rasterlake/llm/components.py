@@ -2,6 +2,9 @@
 
 Each step is an aggregation of minima (combined before the shuffle) and a join that adaptive execution can split where one node
 has many edges. Edges never come to the driver; each round is written to the shared folder, so lost executors cost little.
+
+Edge cases: an edge with a null end, or from a node to itself, links nothing; repeated edges count once; no edges give no rows; a graph that
+does not settle within the rounds is an error.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ has a band that a text must lie in. A few base rules come first.
 
 Edge cases: a null text is an empty one; a text with fewer than ``min_words`` words fails the base rules; a null or unknown
 language takes the band of its script, the script being "latin" if at least half of the non-space characters are ASCII or
-Latin letters, else "other"; repeated rows are judged row by row; a null id is returned as it is.
+Latin letters, else "other"; repeated rows are judged row by row; a null id is returned as it is; a very long text is one pass, in
+memory that grows with it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ scores cover every row and whole texts.
 
 Edge cases: null and empty texts have all-zero features and are scored like any other; a label counts only if it is 0 or 1,
 and an id with several labels takes the lowest; a null id is scored but never learned from; repeated rows are scored row by
-row; with no label, or one class only, every score is the smoothed prior.
+row; with no label, or one class only, every score is the smoothed prior; a very long text is one pass, in memory that grows with
+it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ source's blocks, and a last pass that starts no document once it is spent. Block
 documents, so that no source, however large, is ordered in one place.
 
 Edge cases: a null source is a source of its own; a null text has no tokens; sources without tokens are read once; a null id
-is ordered first; repeated rows are repeated rows of the result; an empty table gives an empty result.
+is ordered first; repeated rows are repeated rows of the result; an empty table gives an empty result; a very long text is one
+document of as many tokens as it has words; other columns than those carried are not read.
 """
 
 from __future__ import annotations

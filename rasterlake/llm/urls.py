@@ -11,7 +11,9 @@ a host with a third of all URLs is as many rows as it has shapes. A shape that i
 as no further segment of it has siblings.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, which are a host of their own; a null page id is
-returned as it is; repeated rows are repeated rows of the result and each counts; labels other than 0 and 1 are left out.
+returned as it is; repeated rows are repeated rows of the result and each counts; labels other than 0 and 1 are left out; a literal
+segment that begins with < gets a backslash, so that it is no wildcard; a very long path is one level for each segment that has
+siblings; empty tables give empty results, or allow all; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import small, table
@@ -74,7 +76,7 @@ def kind(segment: Column) -> Column:
     named = (
         F.when(stem.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "<date>").when(stem.rlike(r"^[0-9]+$"), "<num>")
         .when(stem.rlike(r"^(?=.*[0-9])[0-9a-fA-F]{8,}$"), "<hex>").when(stem.rlike(r"^[A-Za-z]+([-_][A-Za-z0-9]+){3,}$"), "<slug>")
-        .when(F.length(stem) > 40, "<long>").otherwise(stem)
+        .when(F.length(stem) > 40, "<long>").when(stem.startswith("<"), F.concat(F.lit("\\"), stem)).otherwise(stem)
     )
     return F.concat(named, tail)
 
@@ -84,6 +86,11 @@ def segments(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), kind)
 
 
+def summed(rows: DataFrame, keys: list[str], **sums: str) -> DataFrame:
+    """Adds sums by key: an aggregate that is combined before its shuffle, and a join that Spark broadcasts or splits where a key has many rows."""
+    return rows.join(rows.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in sums.items())), keys)
+
+
 def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
     """host, shape, template of each path shape. shapes: host, shape (array), n, labelled, good."""
     rows = shapes.select("host", "shape", "n", "labelled", "good", F.array().cast("array<string>").alias("node"))
@@ -92,12 +99,9 @@ def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
     while level == 0 or not rows.isEmpty():
         here = rows.withColumn("seg", at(level)).withColumn("next", at(level + 1))
         by_next = here.groupBy("host", "node", "seg", "next").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-        node, sibs = Window.partitionBy("host", "node"), Window.partitionBy("host", "node", "next")
-        seg = Window.partitionBy("host", "node", "seg")
-        e = by_next.withColumns({
-            "all_n": F.sum("n").over(node), "next_n": F.sum("n").over(sibs), "seg_n": F.sum("n").over(seg),
-            "all_l": F.sum("labelled").over(node), "all_g": F.sum("good").over(node),
-        })
+        by_next = table(by_next, f"url-next{level}")
+        e = summed(by_next, ["host", "node"], all_n="n", all_l="labelled", all_g="good")
+        e = summed(summed(e, ["host", "node", "next"], next_n="n"), ["host", "node", "seg"], seg_n="n")
         expected = F.col("seg_n") * F.col("next_n") / F.col("all_n")
         by_seg = e.withColumn("x", F.pow(F.col("n") - expected, 2) / expected).withColumn("e", expected).groupBy("host", "node", "seg").agg(
             F.sum("x").alias("x"), F.sum("e").alias("e"), F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum("shapes").alias("shapes"), F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.max("all_l").alias("all_l"), F.max("all_g").alias("all_g")
@@ -110,9 +114,11 @@ def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
         alike = (chi <= df + tree.spread * F.sqrt(2 * df)) & (off <= tree.spread)
         literal = ~F.col("seg").startswith("<")
         by_seg = by_seg.withColumn("alike", alike & literal)
-        by_seg = by_seg.withColumn("n_alike", F.sum(F.col("alike").cast("int")).over(node)).withColumn("values", F.sum(literal.cast("int")).over(node))
+        by_seg = table(by_seg.withColumns({"one_alike": F.col("alike").cast("int"), "one_literal": literal.cast("int")}), f"url-segments{level}")
+        by_seg = summed(by_seg, ["host", "node"], n_alike="one_alike", values="one_literal")
         name = F.when(literal & (F.col("values") > tree.max_values), "<*>").when(F.col("alike") & (F.col("n_alike") > 1), "<=>").otherwise(F.col("seg"))
-        by_seg = by_seg.withColumn("name", name).withColumn("shapes", F.sum("shapes").over(Window.partitionBy("host", "node", "name"))).select("host", "node", "seg", "name", "shapes")
+        by_seg = by_seg.withColumn("name", name).select("host", "node", "seg", "name", "shapes")
+        by_seg = summed(by_seg, ["host", "node", "name"], all_shapes="shapes").drop("shapes").withColumnRenamed("all_shapes", "shapes")
         rows = here.join(by_seg, ["host", "node", "seg"]).withColumn("node", F.concat("node", F.array("name"))).drop("seg", "next", "name")
         rows = table(rows, f"url-level{level}")
         over = (F.col("shapes") == 1) | (F.size("shape") <= level)
