@@ -1,18 +1,26 @@
-"""Colour reconstruction of RGGB and wider mosaics, as neighbour expressions."""
+"""Colour reconstruction of 2x2 mosaics in their four phases, and of wider ones, as neighbour expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import neighbours
+from .grid import image, neighbours
 
 CROSS = {"n1": (-1, 0), "n2": (-2, 0), "s1": (1, 0), "s2": (2, 0), "w1": (0, -1), "w2": (0, -2), "e1": (0, 1), "e2": (0, 2)}
 RING = {"n1": (-1, 0), "s1": (1, 0), "w1": (0, -1), "e1": (0, 1), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}
 
 
-def is_green() -> Column:
-    return F.pmod(F.col("r") + F.col("c"), F.lit(2)) == 1
+#: Lines and samples by which each 2x2 pattern is ahead of RGGB.
+AHEAD = {"RGGB": (0, 0), "GRBG": (0, 1), "GBRG": (1, 0), "BGGR": (1, 1)}
+
+
+def is_green(pattern: str = "RGGB") -> Column:
+    return F.pmod(F.col("r") + F.col("c") + sum(AHEAD[pattern]), F.lit(2)) == 1
+
+
+def on_red_line(pattern: str = "RGGB") -> Column:
+    return F.pmod(F.col("r") + AHEAD[pattern][0], F.lit(2)) == 0
 
 
 def _mean(*names: str) -> Column:
@@ -22,24 +30,23 @@ def _mean(*names: str) -> Column:
     return F.when(count > 0, total / count)
 
 
-def bilinear(px: DataFrame) -> DataFrame:
-    """Red, green and blue of every sample of an RGGB mosaic; missing ones are means of the neighbours that exist."""
-    p = neighbours(px, RING)
-    even = F.pmod(F.col("r"), F.lit(2)) == 0
-    green = F.when(is_green(), F.col("v")).otherwise(_mean("n1", "s1", "w1", "e1"))
+def bilinear(px: DataFrame, pattern: str = "RGGB") -> DataFrame:
+    """Red, green and blue of every sample of a 2x2 mosaic; missing ones are means of the neighbours that exist."""
+    p, green_here, even = neighbours(px, RING), is_green(pattern), on_red_line(pattern)
+    green = F.when(green_here, F.col("v")).otherwise(_mean("n1", "s1", "w1", "e1"))
     beside, above, corner = _mean("w1", "e1"), _mean("n1", "s1"), _mean("nw", "ne", "sw", "se")
-    red = F.when(~is_green() & even, F.col("v")).when(~is_green(), corner).when(even, beside).otherwise(above)
-    blue = F.when(~is_green() & ~even, F.col("v")).when(~is_green(), corner).when(even, above).otherwise(beside)
-    return p.select("r", "c", red.alias("red"), green.alias("green"), blue.alias("blue"))
+    red = F.when(~green_here & even, F.col("v")).when(~green_here, corner).when(even, beside).otherwise(above)
+    blue = F.when(~green_here & ~even, F.col("v")).when(~green_here, corner).when(even, above).otherwise(beside)
+    return p.select(*image(px), "r", "c", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
-def region(px: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+def region(px: DataFrame, x: int, y: int, w: int, h: int, pattern: str = "RGGB") -> DataFrame:
     """Colours of a rectangle alone, re-based to its corner: it is cut first, and keeps its place in the pattern until the end."""
     inside = px.filter(F.col("r").between(y, y + h - 1) & F.col("c").between(x, x + w - 1))
-    return bilinear(inside).withColumns({"r": F.col("r") - y, "c": F.col("c") - x})
+    return bilinear(inside, pattern).withColumns({"r": F.col("r") - y, "c": F.col("c") - x})
 
 
-def ppg_green(px: DataFrame, height: int, width: int) -> DataFrame:
+def ppg_green(px: DataFrame, height: int, width: int, pattern: str = "RGGB") -> DataFrame:
     """Green of samples three or more from the edge: the least gradient of north, east, west and south (ties in that order)."""
     p = neighbours(px, CROSS).filter(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4))
     x = F.col("v")
@@ -49,19 +56,19 @@ def ppg_green(px: DataFrame, height: int, width: int) -> DataFrame:
         pick[name] = (F.col(near) * 3 + F.col(back) + x - F.col(far)) / 4
     least = F.least(*grad.values())
     best = F.when(grad["n"] == least, pick["n"]).when(grad["e"] == least, pick["e"]).when(grad["w"] == least, pick["w"]).otherwise(pick["s"])
-    return p.select("r", "c", F.when(is_green(), x).otherwise(best).alias("green"))
+    return p.select(*image(px), "r", "c", F.when(is_green(pattern), x).otherwise(best).alias("green"))
 
 
-def border_means(px: DataFrame, height: int, width: int, colours: int = 2) -> DataFrame:
-    """Samples less than three from the edge: mean of each colour of the RGGB pattern over the clamped 3x3; their own is kept."""
-    spread = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    sent = px.withColumn("dr", spread).withColumn("dc", spread)
-    colour = F.when(F.pmod(F.col("r") + F.col("c"), F.lit(2)) == 1, 1).when(F.pmod(F.col("r"), F.lit(2)) == 0, 0).otherwise(2)
-    sent = sent.select((F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), colour.alias("k"), "v", ((F.col("dr") == 0) & (F.col("dc") == 0)).alias("own"))
-    edge = ~(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4))
-    got = sent.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1) & edge).groupBy("r", "c")
-    value = lambda k: F.coalesce(F.max(F.when(F.col("own") & (F.col("k") == k), F.col("v"))), F.avg(F.when(F.col("k") == k, F.col("v"))))
-    return got.agg(value(0).alias("red"), value(1).alias("green"), value(2).alias("blue"))
+def border_means(px: DataFrame, height: int, width: int, pattern: str = "RGGB") -> DataFrame:
+    """Samples less than three from the edge: mean of each colour of the pattern over the clamped 3x3; their own is kept."""
+    strip = px.filter(~(F.col("r").between(4, height - 5) & F.col("c").between(4, width - 5)))
+    p = neighbours(strip, RING).filter(~(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4)))
+    beside, above, corner = ("w1", "e1"), ("n1", "s1"), ("nw", "ne", "sw", "se")
+    v, green_here, even = F.col("v"), is_green(pattern), on_red_line(pattern)
+    green = F.when(green_here, v).otherwise(_mean(*beside, *above))
+    red = F.when(green_here & even, _mean(*beside)).when(green_here, _mean(*above)).when(even, v).otherwise(_mean(*corner))
+    blue = F.when(green_here & even, _mean(*above)).when(green_here, _mean(*beside)).when(even, _mean(*corner)).otherwise(v)
+    return p.select(*image(px), "r", "c", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
 def hue_transit(l1: Column, l2: Column, l3: Column, v1: Column, v3: Column) -> Column:
@@ -74,32 +81,35 @@ def window_means(px: DataFrame, pattern: list[list[int]], radius: int = 2) -> Da
     """Mean of each colour over the clamped square around every sample, its own included. pattern: colours, repeating."""
     h, w = len(pattern), len(pattern[0])
     flat = F.array(*(F.lit(x) for row in pattern for x in row))
-    colour = flat[(F.pmod(F.col("r"), F.lit(h)) * w + F.pmod(F.col("c"), F.lit(w))).cast("int")]
-    ends = px.agg(F.max("r").alias("h"), F.max("c").alias("w"))
-    near = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = px.withColumn("k", colour).withColumn("dr", F.explode(near)).groupBy((F.col("r") + F.col("dr")).alias("r"), "c", "k").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    sent = sent.withColumn("dc", F.explode(near)).groupBy("r", (F.col("c") + F.col("dc")).alias("c"), "k").agg((F.sum("s") / F.sum("n")).alias("m"))
-    inside = sent.join(F.broadcast(ends)).filter("r between 0 and h and c between 0 and w")  # a single row
-    return inside.groupBy("r", "c").agg(*(F.max(F.when(F.col("k") == k, F.col("m"))).alias(n) for k, n in enumerate(("red", "green", "blue"))))
+    near = {f"p{i}": (i // (2 * radius + 1) - radius, i % (2 * radius + 1) - radius) for i in range((2 * radius + 1) ** 2)}
+    colour = lambda dr, dc: flat[(F.pmod(F.col("r") + dr, F.lit(h)) * w + F.pmod(F.col("c") + dc, F.lit(w))).cast("int")]
+    seen = F.array(*(F.struct(colour(*at).alias("k"), F.col(n).alias("v")) for n, at in near.items()))
+    p = neighbours(px, near).select(*image(px), "r", "c", F.filter(seen, lambda x: x["v"].isNotNull()).alias("seen"))
+
+    def mean(k: int) -> Column:
+        of = F.filter("seen", lambda x: x["k"] == k)
+        return F.when(F.size(of) > 0, F.aggregate(of, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(of))
+
+    return p.select(*image(px), "r", "c", *(mean(k).alias(n) for k, n in enumerate(("red", "green", "blue"))))
 
 
 def chroma(px: DataFrame) -> DataFrame:
     """4:2:2 columns: odd ones are (left + right + 1) div 2, the last repeats its left."""
     p = neighbours(px, {"w1": (0, -1), "e1": (0, 1)})
     between = F.when(F.col("e1").isNull(), F.col("w1")).otherwise(F.expr("(w1 + e1 + 1) div 2"))
-    return p.select("r", "c", F.when(F.pmod(F.col("c"), F.lit(2)) == 1, between).otherwise(F.col("v")).cast("long").alias("v"))
+    return p.select(*image(px), "r", "c", F.when(F.pmod(F.col("c"), F.lit(2)) == 1, between).otherwise(F.col("v")).cast("long").alias("v"))
 
 
 DIAGONALS = RING | {"nw2": (-2, -2), "ne2": (-2, 2), "sw2": (2, -2), "se2": (2, 2)}
 
 
-def ppg_red_blue(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Red and blue of an RGGB mosaic (r, c, v) with a whole green plane g, three or more from the edge.
+def ppg_red_blue(px: DataFrame, height: int, width: int, pattern: str = "RGGB") -> DataFrame:
+    """Red and blue of a 2x2 mosaic (r, c, v) with a whole green plane g, three or more from the edge.
 
     At green samples both come from the neighbours beside and above. At red and blue samples the other one comes from the diagonal
     with the lesser gradient; north-west to south-east if they tie. A null sample or guide is a missing neighbour: null.
     """
-    p = neighbours(px.select("r", "c", F.struct("v", "g").alias("v")), DIAGONALS).filter(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4))
+    p = neighbours(px.select(*image(px), "r", "c", F.struct("v", "g").alias("v")), DIAGONALS).filter(F.col("r").between(3, height - 4) & F.col("c").between(3, width - 4))
     v, g = (lambda n: F.col(f"{n}.v")), (lambda n: F.col(f"{n}.g"))
 
     def between(a: str, b: str) -> Column:
@@ -109,20 +119,21 @@ def ppg_red_blue(px: DataFrame, height: int, width: int) -> DataFrame:
         return F.abs(v(a) - v(b)) + F.abs(v(a + "2") - v("v")) + F.abs(v("v") - v(b + "2")) + F.abs(g(a) - g("v")) + F.abs(g("v") - g(b))
 
     other = F.when(gradient("ne", "sw") < gradient("nw", "se"), between("ne", "sw")).otherwise(between("nw", "se"))
-    even = F.pmod(F.col("r"), F.lit(2)) == 0
+    green_here, even = is_green(pattern), on_red_line(pattern)
     beside, above = between("w1", "e1"), between("n1", "s1")
-    red = F.when(is_green() & even, beside).when(is_green(), above).when(even, v("v")).otherwise(other)
-    blue = F.when(is_green() & even, above).when(is_green(), beside).when(even, other).otherwise(v("v"))
-    return p.select("r", "c", red.alias("red"), blue.alias("blue"))
+    red = F.when(green_here & even, beside).when(green_here, above).when(even, v("v")).otherwise(other)
+    blue = F.when(green_here & even, above).when(green_here, beside).when(even, other).otherwise(v("v"))
+    return p.select(*image(px), "r", "c", red.alias("red"), blue.alias("blue"))
 
 
-def ppg(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Red, green and blue of every sample of an RGGB mosaic by gradients; means within three samples of the edge.
+def ppg(px: DataFrame, height: int, width: int, pattern: str = "RGGB") -> DataFrame:
+    """Red, green and blue of every sample of a 2x2 mosaic by gradients; means within three samples of the edge.
 
     The guide of red and blue is the whole green plane, that of the edge included.
     """
-    border = border_means(px, height, width)
-    green = ppg_green(px, height, width).unionByName(border.select("r", "c", "green"))
-    guided = px.select("r", "c", "v").join(green.withColumnRenamed("green", "g"), ["r", "c"])
-    inside = ppg_red_blue(guided, height, width).join(green, ["r", "c"])
-    return inside.select("r", "c", "red", "green", "blue").unionByName(border)
+    keys = [*image(px), "r", "c"]
+    border = border_means(px, height, width, pattern)
+    green = ppg_green(px, height, width, pattern).unionByName(border.select(*keys, "green"))
+    guided = px.select(*keys, "v").join(green.withColumnRenamed("green", "g"), keys)
+    inside = ppg_red_blue(guided, height, width, pattern).join(green, keys)
+    return inside.select(*keys, "red", "green", "blue").unionByName(border)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grid import image as of
+
 
 def from_slices(stored: DataFrame, height: int, n: int, first: int, last: int) -> DataFrame:
     """Samples (i, v) stored as n vertical slices of one width, then one of another, each line by line."""
@@ -12,7 +14,7 @@ def from_slices(stored: DataFrame, height: int, n: int, first: int, last: int) -
     size = F.when(i < whole, first).otherwise(last)
     j = F.when(i < whole, F.pmod(i, F.lit(first * height))).otherwise(i - whole)
     left = F.when(i < whole, F.floor(i / (first * height)) * first).otherwise(n * first)
-    return stored.select(F.floor(j / size).cast("long").alias("r"), (left + F.pmod(j, size)).cast("long").alias("c"), "v")
+    return stored.select(*of(stored), F.floor(j / size).cast("long").alias("r"), (left + F.pmod(j, size)).cast("long").alias("c"), "v")
 
 
 def interlaced(px: DataFrame, height: int) -> DataFrame:
@@ -30,7 +32,7 @@ def turned_lines(px: DataFrame, width: int, steps: list[int], starts: list[int])
 
 def quads(blocks: DataFrame) -> DataFrame:
     """Places (r, c) that hold four samples, to 2 x 2 samples."""
-    return blocks.select("r", "c", F.posexplode("v").alias("k", "s")).select((F.col("r") * 2 + F.expr("k div 2")).cast("long").alias("r"), (F.col("c") * 2 + F.expr("k % 2")).cast("long").alias("c"), F.col("s").alias("v"))
+    return blocks.select(*of(blocks), "r", "c", F.posexplode("v").alias("k", "s")).select(*of(blocks), (F.col("r") * 2 + F.expr("k div 2")).cast("long").alias("r"), (F.col("c") * 2 + F.expr("k % 2")).cast("long").alias("c"), F.col("s").alias("v"))
 
 
 def on_45_degrees(px: DataFrame, width: int, other: bool = False) -> DataFrame:
@@ -38,7 +40,7 @@ def on_45_degrees(px: DataFrame, width: int, other: bool = False) -> DataFrame:
     r, c = F.col("r"), F.col("c")
     half = lambda x: F.floor(x / 2)
     new = (width // 2 - 1 + r - half(c), half(c + 1) + r) if other else (width - 1 - c + half(r), half(r + 1) + c)
-    return px.select(new[0].cast("long").alias("r"), new[1].cast("long").alias("c"), "v")
+    return px.select(*of(px), new[0].cast("long").alias("r"), new[1].cast("long").alias("c"), "v")
 
 
 def upright(px: DataFrame, height: int, width: int, turned: int, image: str | None = None) -> DataFrame:
@@ -75,14 +77,14 @@ def quadrant_black(px: DataFrame, black: int, by_line: DataFrame, by_column: Dat
     """Samples less the black level, plus by_line (r, qc, up) and by_column (c, qr, across), from 0 to 65535; unlisted corrections are 0."""
     p = quadrants(px, split_row, split_col).join(by_line, ["r", "qc"], "left").join(by_column, ["c", "qr"], "left")
     x = F.col("v") - black + F.coalesce("up", F.lit(0)) + F.coalesce("across", F.lit(0))
-    return p.select("r", "c", F.least(F.greatest(x, F.lit(0)), F.lit(65535)).cast("long").alias("v"))
+    return p.select(*of(px), "r", "c", F.least(F.greatest(x, F.lit(0)), F.lit(65535)).cast("long").alias("v"))
 
 
 def quadrant_gain(px: DataFrame, gains: list[list[float]], split_row: int, split_col: int) -> DataFrame:
     """Samples times the gain of their quadrant, cut to integers from 0 to 65535."""
     qr, qc = F.col("r") >= split_row, F.col("c") >= split_col
     gain = F.when(qr & qc, gains[1][1]).when(qr, gains[1][0]).when(qc, gains[0][1]).otherwise(gains[0][0])
-    return px.select("r", "c", F.least(F.greatest(F.floor(F.col("v") * gain), F.lit(0)), F.lit(65535)).cast("long").alias("v"))
+    return px.select(*of(px), "r", "c", F.least(F.greatest(F.floor(F.col("v") * gain), F.lit(0)), F.lit(65535)).cast("long").alias("v"))
 
 
 def byte_sums(rows: DataFrame, keys: list[str], order: str, step: int = 1) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import in_rects, phase
+from .grid import image, in_rects, phase
 
 
 def black_levels(px: DataFrame, h: int = 2, w: int = 2) -> DataFrame:
     """Mean sample of each phase of the colour pattern."""
-    return px.groupBy(phase(h, w).alias("phase")).agg(F.avg("v").alias("level"), F.count("*").alias("n"))
+    return px.groupBy(*image(px), phase(h, w).alias("phase")).agg(F.avg("v").alias("level"), F.count("*").alias("n"))
 
 
 def masked_black(px: DataFrame, rects: list[tuple[int, int, int, int]], h: int = 2, w: int = 2) -> DataFrame:
@@ -31,10 +31,12 @@ def scaled(px: DataFrame, black: DataFrame, white: float) -> DataFrame:
 
 
 def rescale(px: DataFrame, black: DataFrame, white: float, h: int = 2, w: int = 2) -> DataFrame:
-    """max(v - black, 0) / (white - black) by phase; black has one row per phase (h * w of them)."""
-    levels = F.broadcast(black.select("phase", "level"))
+    """max(v - black, 0) / (white - black) by phase; black has one row per phase (h * w of them), or per image and phase."""
+    keys = [*image(black), "phase"]
+    levels = black.select(*keys, "level")
+    levels = levels if image(black) else F.broadcast(levels)  # a handful of rows; those of many images are not sent about
     scaled = F.greatest(F.col("v") - F.col("level"), F.lit(0.0)) / (F.lit(float(white)) - F.col("level"))
-    return px.withColumn("phase", phase(h, w)).join(levels, "phase").select("r", "c", scaled.alias("v"))
+    return px.withColumn("phase", phase(h, w)).join(levels, keys).select(*image(px), "r", "c", scaled.alias("v"))
 
 
 def superpixel(px: DataFrame, height: int, width: int) -> DataFrame:
@@ -42,14 +44,14 @@ def superpixel(px: DataFrame, height: int, width: int) -> DataFrame:
     p = phase()
     at = px.filter((F.col("r") < height // 2 * 2) & (F.col("c") < width // 2 * 2))
     pick = lambda *k: F.avg(F.when(p.isin(*k), F.col("v")))
-    return at.groupBy(F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg(pick(0).alias("red"), pick(1, 2).alias("green"), pick(3).alias("blue"))
+    return at.groupBy(*image(px), F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg(pick(0).alias("red"), pick(1, 2).alias("green"), pick(3).alias("blue"))
 
 
 def superpixel4(px: DataFrame, height: int, width: int) -> DataFrame:
     """2x2 blocks to one pixel of four channels."""
     p = phase()
     at = px.filter((F.col("r") < height // 2 * 2) & (F.col("c") < width // 2 * 2))
-    return at.groupBy(F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg(*(F.max(F.when(p == k, F.col("v"))).alias(f"ch{k}") for k in range(4)))
+    return at.groupBy(*image(px), F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg(*(F.max(F.when(p == k, F.col("v"))).alias(f"ch{k}") for k in range(4)))
 
 
 def clip(v: Column, low: float | None = 0.0, high: float | None = 1.0) -> Column:

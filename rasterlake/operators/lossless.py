@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import neighbours
+from .grid import image, neighbours
 
 
 def residuals(px: DataFrame, predictor: int, bits: int = 16) -> DataFrame:
@@ -15,7 +15,7 @@ def residuals(px: DataFrame, predictor: int, bits: int = 16) -> DataFrame:
     p = neighbours(px, {"a": (0, -1), "b": (-1, 0), "d": (-1, -1)})
     full = {1: "a", 2: "b", 3: "d", 4: "a + b - d", 5: "a + shiftright(b - d, 1)", 6: "b + shiftright(a - d, 1)", 7: "shiftright(a + b, 1)"}[predictor]
     guess = F.expr(f"case when r = 0 and c = 0 then {1 << (bits - 1)} when r = 0 then a when c = 0 then b else {full} end")
-    return p.withColumn("g", guess).select("r", "c", F.expr("pmod(v - g + 32768, 65536) - 32768").cast("long").alias("diff"))
+    return p.withColumn("g", guess).select(*image(px), "r", "c", F.expr("pmod(v - g + 32768, 65536) - 32768").cast("long").alias("diff"))
 
 
 def size_class(diff: Column) -> Column:

@@ -27,8 +27,9 @@ def bad_columns(px: DataFrame, columns: list[int], height: int) -> DataFrame:
     out = F.coalesce(*(F.when(o == far, x) for o, x in zip(off, diag, strict=True)))
     green = F.floor((total - out + 1) / 3)
     other = F.floor((F.col("a") + F.col("b") + F.col("d") + F.col("e")) * 0.0732233 + (F.col("w2") + F.col("e2")) * 0.3535534 + 0.5)
-    fixed = some.select("r", "c", F.when(F.pmod(F.col("r") + F.col("c"), F.lit(2)) == 1, green).otherwise(other).cast("long").alias("new"))
-    return px.join(fixed, ["r", "c"], "left").select("r", "c", F.coalesce("new", "v").alias("v"))
+    keys = [*grid.image(px), "r", "c"]
+    fixed = some.select(*keys, F.when(F.pmod(F.col("r") + F.col("c"), F.lit(2)) == 1, green).otherwise(other).cast("long").alias("new"))
+    return px.join(fixed, keys, "left").select(*keys, F.coalesce("new", "v").alias("v"))
 
 
 def luma_chroma(y: Column, cb: Column, cr: Column, zero: int = 16383) -> list[Column]:
