@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .grid import image
 from .layouts import quadrants
 
 #: Fixed values of the dither sequence: multiplier and word.
@@ -57,11 +58,11 @@ def dithered(px: DataFrame, curve: DataFrame, width: int) -> DataFrame:
     most 65,536 and width rows.
     """
     spark = px.sparkSession
-    seeds = px.filter("c < 2").groupBy("r").agg(F.sum(F.col("v") * F.when(F.col("c") == 0, 1).otherwise(WORD)).alias("seed"), F.count("*").alias("k")).filter("k = 2").drop("k")
+    seeds = px.filter("c < 2").groupBy(*image(px), "r").agg(F.sum(F.col("v") * F.when(F.col("c") == 0, 1).otherwise(WORD)).alias("seed"), F.count("*").alias("k")).filter("k = 2").drop("k")
     powers = spark.createDataFrame([(c, pow(MULTIPLIER, c, MODULUS)) for c in range(width)], "c long, powers long")
-    p = px.join(F.broadcast(powers), "c").join(seeds, "r").join(F.broadcast(dither_table(curve)), F.col("v") == F.col("x"))
+    p = px.join(F.broadcast(powers), "c").join(seeds, [*image(px), "r"]).join(F.broadcast(dither_table(curve)), F.col("v") == F.col("x"))
     rand = dither_state(F.col("seed"), F.col("c"), F.col("powers"))
-    return p.select("r", "c", (F.col("base") + F.shiftright(F.col("delta") * F.pmod(rand, F.lit(2048)) + 1024, 12)).cast("long").alias("v"))
+    return p.select(*image(px), "r", "c", (F.col("base") + F.shiftright(F.col("delta") * F.pmod(rand, F.lit(2048)) + 1024, 12)).cast("long").alias("v"))
 
 
 def spline(points: list[tuple[float, float]]) -> list[tuple[float, ...]]:
@@ -92,7 +93,7 @@ def quadrant_curves(px: DataFrame, points: list[list[list[tuple[float, float]]]]
     p = quadrants(px, split_row, split_col)
     lines = [[splined(F.col("v"), spline(points[i][j])) for j in (0, 1)] for i in (0, 1)]
     row = [F.when(F.col("qc") == 0, a).otherwise(b) for a, b in lines]
-    return p.select("r", "c", F.when(F.col("qr") == 0, row[0]).otherwise(row[1]).alias("v"))
+    return p.select(*image(px), "r", "c", F.when(F.col("qr") == 0, row[0]).otherwise(row[1]).alias("v"))
 
 
 def shared_targets(x: list[list[list[int]]]) -> list[list[list[tuple[int, int]]]]:
@@ -113,7 +114,7 @@ def right_half(px: DataFrame, split_col: int, square: float, slope: float, offse
     """A parabola over samples from split_col on; its slope grows by 1 and by the sensor's distance from the reference temperature."""
     lin = slope + (temperature - reference) * factor + 1.0
     x = F.col("v")
-    return px.select("r", "c", F.when(F.col("c") >= split_col, cut((x * square + lin) * x + offset)).otherwise(x).cast("long").alias("v"))
+    return px.select(*image(px), "r", "c", F.when(F.col("c") >= split_col, cut((x * square + lin) * x + offset)).otherwise(x).cast("long").alias("v"))
 
 
 def flat_field(px: DataFrame, gains: DataFrame, top: int, left: int, cell_h: int, cell_w: int, colours: Column | None = None) -> DataFrame:
@@ -131,7 +132,7 @@ def flat_field(px: DataFrame, gains: DataFrame, top: int, left: int, cell_h: int
     p = p.withColumn("colour", colours) if key else p
     up, low = F.col("gain") + (F.col("east") - F.col("gain")) * F.col("fx"), F.col("south") + (F.col("corner") - F.col("south")) * F.col("fx")
     mult = up + (low - up) * F.col("fy")
-    return p.join(g, [*key, "gy", "gx"], "left").select("r", "c", F.coalesce(cut(F.round(F.col("v") * mult, 6)), F.col("v")).alias("v"))
+    return p.join(g, [*key, "gy", "gx"], "left").select(*image(px), "r", "c", F.coalesce(cut(F.round(F.col("v") * mult, 6)), F.col("v")).alias("v"))
 
 
 def tables(spark: SparkSession, bits: int, gammas: tuple[float, ...]) -> DataFrame:

@@ -100,6 +100,25 @@ def chroma(px: DataFrame) -> DataFrame:
     return p.select(*image(px), "r", "c", F.when(F.pmod(F.col("c"), F.lit(2)) == 1, between).otherwise(F.col("v")).cast("long").alias("v"))
 
 
+def chroma_lines(px: DataFrame) -> DataFrame:
+    """4:2:0 lines, after the columns: the middle line of every three is (above + below + 1) div 2; others, and one without both, stay."""
+    p = neighbours(px, {"n1": (-1, 0), "s1": (1, 0)})
+    middle = F.when(F.pmod(F.col("r"), F.lit(3)) == 1, F.expr("(n1 + s1 + 1) div 2"))
+    return p.select(*image(px), "r", "c", F.coalesce(middle, "v").cast("long").alias("v"))
+
+
+def bilinear4(px: DataFrame) -> DataFrame:
+    """Four channels of every sample, ch0 to ch3 by the phase of a 2x2 mosaic; missing ones are means of the neighbours that exist."""
+    p = neighbours(px, RING)
+    odd_r, odd_c = (F.pmod(F.col(x), F.lit(2)) for x in ("r", "c"))
+
+    def channel(k: int) -> Column:
+        line, column = odd_r == k // 2, odd_c == k % 2
+        return F.when(line & column, F.col("v")).when(line, _mean("w1", "e1")).when(column, _mean("n1", "s1")).otherwise(_mean("nw", "ne", "sw", "se"))
+
+    return p.select(*image(px), "r", "c", *(channel(k).alias(f"ch{k}") for k in range(4)))
+
+
 DIAGONALS = RING | {"nw2": (-2, -2), "ne2": (-2, 2), "sw2": (2, -2), "se2": (2, 2)}
 
 

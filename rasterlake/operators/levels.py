@@ -25,6 +25,13 @@ def rescale_components(pix: Column, black: list[float], white: list[float]) -> C
     return F.transform(pix, lambda v, i: F.greatest(v - F.get(F.array(*map(F.lit, map(float, black))), i), F.lit(0.0)) / F.get(F.array(*(F.lit(float(b - a)) for a, b in zip(black, white, strict=True))), i))
 
 
+def colours(px: DataFrame, pattern: str) -> DataFrame:
+    """Number of different colours of a square pattern, as many letters as places, over the samples (0 where there are none)."""
+    side = int(len(pattern) ** 0.5)
+    letter = F.element_at(F.split(F.lit(pattern), ""), phase(side, side) + 1)
+    return px.groupBy(*image(px)).agg(F.countDistinct(letter).alias("colours"))
+
+
 def scaled(px: DataFrame, black: DataFrame, white: float) -> DataFrame:
     """The rescaled image with its new levels, 0 and 1."""
     return rescale(px, black, white).withColumns({"black": F.lit(0.0), "white": F.lit(1.0)})

@@ -27,6 +27,12 @@ def histogram(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy(size_class(F.col("diff")).alias("ssss")).agg(F.count("*").alias("n"))
 
 
+def histogram_by_component(diffs: DataFrame, components: int) -> DataFrame:
+    """Size classes of each interleaved component: the samples of a line belong to them in turn."""
+    component = F.pmod(F.col("c"), F.lit(components)).cast("int").alias("component")
+    return diffs.groupBy(*image(diffs), component, size_class(F.col("diff")).alias("ssss")).agg(F.count("*").alias("n"))
+
+
 def code_lengths(counts: dict[int, int]) -> dict[int, int]:
     """Code length of each class, merging the two least frequent; a reserved least symbol keeps the all-ones code free."""
     heap = [(n, -k, [k]) for k, n in counts.items() if n] + [(0, 1, [])]

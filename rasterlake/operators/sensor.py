@@ -70,12 +70,13 @@ def field_tone(v: Column, bits: int) -> Column:
 
 def low_bits(high: DataFrame, low: DataFrame, bits: int = 2) -> DataFrame:
     """Samples with further low bits that lie elsewhere, by place; a missing one is 0."""
-    return high.join(low.select("r", "c", F.col("v").alias("low")), ["r", "c"], "left").select("r", "c", (F.col("v") * (1 << bits) + F.coalesce("low", F.lit(0))).cast("long").alias("v"))
+    keys = [*grid.image(high), "r", "c"]
+    return high.join(low.select(*keys, F.col("v").alias("low")), keys, "left").select(*keys, (F.col("v") * (1 << bits) + F.coalesce("low", F.lit(0))).cast("long").alias("v"))
 
 
 def placed_planes(px: DataFrame) -> DataFrame:
     """Four half-size planes (plane, r, c, v) to one pattern: planes 0 to 3 are upper left, upper right, lower left, lower right."""
-    return px.select((F.col("r") * 2 + F.floor(F.col("plane") / 2)).cast("long").alias("r"), (F.col("c") * 2 + F.pmod(F.col("plane"), F.lit(2))).cast("long").alias("c"), "v")
+    return px.select(*grid.image(px), (F.col("r") * 2 + F.floor(F.col("plane") / 2)).cast("long").alias("r"), (F.col("c") * 2 + F.pmod(F.col("plane"), F.lit(2))).cast("long").alias("c"), "v")
 
 
 def colour_at(pattern: str, side: int, r: Column, c: Column, top: int = 0, left: int = 0) -> Column:

@@ -79,7 +79,7 @@ def outlier_dropped(spark, d):
     return p.select("r", "c", F.round(layouts.without_outlier(*(F.col(n) for n in ("nw", "ne", "sw", "se"))), 9).alias("v")).filter("v is not null")
 
 
-def _hue(a: str, b: str) -> str:
+def hue_sql(a: str, b: str) -> str:
     return f"CASE WHEN (g_{a} < g AND g < g_{b}) OR (g_{a} > g AND g > g_{b}) THEN v_{a} + (v_{b} - v_{a}) * (g - g_{a}) / (g_{b} - g_{a}) ELSE (v_{a} + v_{b}) / 2 + (g * 2 - g_{a} - g_{b}) / 4 END"
 
 
@@ -87,7 +87,8 @@ def _slope(a: str, b: str) -> str:
     return f"abs(v_{a} - v_{b}) + abs(v_{a}2 - v) + abs(v - v_{b}2) + abs(g_{a} - g) + abs(g - g_{b})"
 
 
-_OTHER = f"CASE WHEN {_slope('ne', 'sw')} < {_slope('nw', 'se')} THEN {_hue('ne', 'sw')} ELSE {_hue('nw', 'se')} END"
+def other_sql() -> str:
+    return f"CASE WHEN {_slope('ne', 'sw')} < {_slope('nw', 'se')} THEN {hue_sql('ne', 'sw')} ELSE {hue_sql('nw', 'se')} END"
 
 
 @query(
@@ -95,8 +96,8 @@ _OTHER = f"CASE WHEN {_slope('ne', 'sw')} < {_slope('nw', 'se')} THEN {_hue('ne'
     + ", ".join(f"{n}.v AS v_{n}, {n}.g AS g_{n}" for n in demosaic.DIAGONALS)
     + " FROM q p, e"
     + "".join(f" LEFT JOIN q {n} ON {n}.r = p.r + ({dr}) AND {n}.c = p.c + ({dc})" for n, (dr, dc) in demosaic.DIAGONALS.items()).replace(" LEFT JOIN", " LEFT JOIN", 1)
-    + f") SELECT r, c, round(CASE WHEN (r + c) % 2 = 1 THEN CASE WHEN r % 2 = 0 THEN {_hue('w1', 'e1')} ELSE {_hue('n1', 's1')} END WHEN r % 2 = 0 THEN v ELSE {_OTHER} END, 9) AS red, "
-    f"round(CASE WHEN (r + c) % 2 = 1 THEN CASE WHEN r % 2 = 0 THEN {_hue('n1', 's1')} ELSE {_hue('w1', 'e1')} END WHEN r % 2 = 0 THEN {_OTHER} ELSE v END, 9) AS blue FROM nb WHERE r BETWEEN 3 AND h - 4 AND c BETWEEN 3 AND 60"
+    + f") SELECT r, c, round(CASE WHEN (r + c) % 2 = 1 THEN CASE WHEN r % 2 = 0 THEN {hue_sql('w1', 'e1')} ELSE {hue_sql('n1', 's1')} END WHEN r % 2 = 0 THEN v ELSE {other_sql()} END, 9) AS red, "
+    f"round(CASE WHEN (r + c) % 2 = 1 THEN CASE WHEN r % 2 = 0 THEN {hue_sql('n1', 's1')} ELSE {hue_sql('w1', 'e1')} END WHEN r % 2 = 0 THEN {other_sql()} ELSE v END, 9) AS blue FROM nb WHERE r BETWEEN 3 AND h - 4 AND c BETWEEN 3 AND 60"
 )
 def ppg_red_blue(spark, d):
     """With the squared samples as the guide."""
