@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import bits
 from rasterlake.sinks import images
-from rasterlake.sources import containers, segments
+from rasterlake.sources import blocks, containers, segments
 
 from .queries import ORACLE, QUERIES, read
 
@@ -141,3 +141,37 @@ def ciff_entries(spark, d) -> DataFrame:
 
 QUERIES["ciff_entries"] = ciff_entries
 ORACLE["ciff_entries"] = "WITH e AS (SELECT count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) * 2 AS s FROM embeddings WHERE embedding IS NOT NULL) SELECT heap, CAST(tag AS INTEGER) AS tag, CAST(tag & 14336 AS INTEGER) AS type, n, n * k + m * s AS bytes FROM e, (VALUES ('', 2053, 6, 0), ('', 4137, 8, 0), ('', 12298, 16, 1), ('/12298', 8197, 0, 1)) t(heap, tag, k, m)"
+
+
+def _of_line(found: DataFrame, c) -> DataFrame:
+    """Samples of the files by the grid's line and their place in it."""
+    return found.select(F.col("path").cast("long").alias("r"), c.cast("long").alias("c"), F.col("v").cast("long").alias("v"))
+
+
+def lines_decoded(spark, d) -> DataFrame:
+    """Each line of the images is a row, decoded by itself."""
+    made = written(spark, d, lambda x: bits.pack(x, 12, "msb"))
+    return _of_line(blocks.decoded(blocks.strips(made, 12), lambda part, line: bits.unpack(part, 12, "msb", SIDE, 1)), F.col("r") * SIDE + F.col("c"))
+
+
+def strips_decoded(spark, d) -> DataFrame:
+    """Three lines at a time, dealt to all tasks."""
+    made = written(spark, d, lambda x: b"head" + bits.pack(x, 12, "lsb"))
+    cut = blocks.dealt(blocks.strips(made, 12, 3, start=4))
+    return _of_line(blocks.decoded(cut, lambda part, line: bits.unpack(part, 12, "lsb", SIDE, len(part) // 12)), F.col("r") * SIDE + F.col("c"))
+
+
+def chunks_decoded(spark, d) -> DataFrame:
+    """Runs of ten samples, whatever their lines."""
+    made = written(spark, d, lambda x: bits.pack(x, 12, "msb"))
+    return _of_line(blocks.decoded(blocks.chunks(made, 15), lambda part, line: bits.unpack(part, 12, "msb", len(part) * 2 // 3, 1)), F.col("r") * 10 + F.col("c"))
+
+
+def tiles_decoded(spark, d) -> DataFrame:
+    """Lossless JPEG tiles of a TIFF, each a row, dealt to all tasks."""
+    made = written(spark, d, lambda x: images.tiff(x, tile=16, lossless=True))
+    return _of_line(blocks.tiff_samples(blocks.dealt(blocks.tiff_blocks(made))), F.col("r") * SIDE + F.col("c"))
+
+
+for _f in (lines_decoded, strips_decoded, chunks_decoded, tiles_decoded):
+    QUERIES[_f.__name__], ORACLE[_f.__name__] = _f, _SAMPLES

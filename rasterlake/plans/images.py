@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.operators import demosaic, grid, levels, lossless
+from rasterlake.sinks import images as sink
+from rasterlake.sources import blocks
 
 from . import develop
 from .layouts import hue_sql, other_sql
@@ -132,3 +134,19 @@ def images_developed(spark, d):
     px = grid.integers(images(spark, d)).withColumn("v", F.col("v").cast("double"))
     out = develop.develop(px, 2000.0, SIDE, 64, CAMERA, _WB, crop=(8, 6, 48, 50), masked=[(0, 0, 8, SIDE)], pattern="BGGR")
     return rounded(out, 6, *COLOURS)
+
+
+@query(
+    f"WITH {PX}, {near('px', RING)}, rgb AS (SELECT image_id, r, c, unnest([0, 1, 2]) AS channel, unnest([" + ", ".join(bilinear_sql("GRBG")) + "]) AS v FROM nb) "
+    "SELECT image_id, r, c, CAST(channel AS INTEGER) AS channel, CAST(floor(least(greatest(v * 65535, 0.0), 65535.0)) AS BIGINT) AS v FROM rgb"
+)
+def developed_files(spark, d):
+    """Samples of the 16-bit TIFF files that reconstructed images become."""
+    files = sink.developed(demosaic.bilinear(images(spark, d), "GRBG"))
+    read_again = blocks.tiff_samples(blocks.dealt(blocks.tiff_blocks(files.select(F.col("image_id").cast("string").alias("path"), "content"))))
+    return read_again.select(F.col("path").cast("long").alias("image_id"), "r", "c", "channel", F.col("v").cast("long").alias("v"))
+
+
+@query(f"WITH {IX} SELECT image_id, md5(unhex(string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY r, c))) AS md5 FROM ix GROUP BY 1")
+def sample_digests(spark, d):
+    return sink.digests(grid.integers(images(spark, d)))

@@ -7,8 +7,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rasterlake.functions import bits
+from rasterlake import attach
+from rasterlake.functions import bits, numeric
 from rasterlake.functions import lzw as codec
 
 BLOCK = 1 << 16
@@ -47,6 +51,40 @@ def tiff(samples: np.ndarray, tile: int = 0, lossless: bool = False, rows: int =
     return struct.pack("<2sHI", b"II", 42, start) + body + head + bytes(4) + more
 
 
+def _grid(samples: pa.Table, names: list[str]) -> np.ndarray:
+    """height x width x channels of rows (r, c, ...); a missing or null sample is 0."""
+    r, c = samples["r"].to_numpy(), samples["c"].to_numpy()
+    out = np.zeros((r.max(initial=-1) + 1, c.max(initial=-1) + 1, len(names)), np.int64)
+    for i, n in enumerate(names):
+        out[r, c, i] = samples[n].combine_chunks().fill_null(0).to_numpy()
+    return out
+
+
+def developed(rgb: DataFrame, names: tuple[str, ...] = ("red", "green", "blue")) -> DataFrame:
+    """image_id, content: each image as a 16-bit TIFF with LZW strips; colours run from 0 to 1, and what is beyond is cut.
+
+    An image is put together by one task, as a file is.
+    """
+
+    def write(samples: pa.Table) -> pa.Table:
+        return pa.table({"image_id": samples["image_id"].slice(0, 1), "content": [tiff(_grid(samples, list(names)), lzw=True)]})
+
+    attach(rgb.sparkSession)
+    whole = rgb.select("image_id", "r", "c", *(numeric.saturate(F.col(n) * 65535).alias(n) for n in names)).dropna(subset=["r", "c"])
+    return whole.groupBy("image_id").applyInArrow(write, f"image_id {rgb.schema['image_id'].dataType.simpleString()}, content binary")
+
+
+def digests(px: DataFrame) -> DataFrame:
+    """image_id, md5: of each image's samples as 16-bit numbers, low byte first, line by line; a missing sample is 0."""
+
+    def digest(samples: pa.Table) -> pa.Table:
+        return pa.table({"image_id": samples["image_id"].slice(0, 1), "md5": [hashlib.md5(_grid(samples, ["v"]).astype("<u2").tobytes()).hexdigest()]})
+
+    attach(px.sparkSession)
+    whole = px.select("image_id", "r", "c", F.col("v").cast("long").alias("v")).dropna(subset=["r", "c"])
+    return whole.groupBy("image_id").applyInArrow(digest, f"image_id {px.schema['image_id'].dataType.simpleString()}, md5 string")
+
+
 def embed(original: bytes) -> tuple[bytes, bytes]:
     """An original in deflated blocks of 64 KiB behind their count and ends (big-endian), and its MD5."""
     blocks = [zlib.compress(original[i : i + BLOCK]) for i in range(0, len(original), BLOCK)]

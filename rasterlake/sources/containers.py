@@ -83,32 +83,41 @@ def tiff_tags(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, TAG_SCHEMA)
 
 
-def tiff_image(content: bytes, directory: str = "0") -> np.ndarray:
-    """height x width x channels of a directory: strips or tiles, uncompressed, LZW (5), lossless JPEG (7) or deflate (8)."""
+def tiff_layout(content: bytes, directory: str = "0") -> tuple[dict, list[tuple]]:
+    """What a directory's blocks share, and (row, column, start, length) of each strip or tile, line by line."""
     found = {t[1]: t for t in tags(content) if t[0] == directory}
     one = lambda tag, other: int(found[tag][4][0]) if tag in found else other
-    w, h, n, depth, how, real = one(256, 0), one(257, 0), one(277, 1), one(258, 1), one(259, 1), one(339, 1) == 3
+    w, h = one(256, 0), one(257, 0)
     tiled = 324 in found
     bw, bh = (one(322, w), one(323, h)) if tiled else (w, min(one(278, h), h))
-    places, sizes = (found[t][4] for t in ((324, 325) if tiled else (273, 279)))
-    across = -(-w // bw)
-    out = np.zeros((h, w, n), np.float64 if real else np.int64)
-    little = content[:2] == b"II"
-    for i, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        top, left = i // across * bh, i % across * bw
-        rows = bh if tiled else min(bh, h - top)
-        part = content[int(at) : int(at + size)]
-        if how == 7:
-            block = bits.ljpeg_decode(part).reshape(rows, bw, n)
-        elif how == 8 and one(317, 1) == 3:
-            block = bits.inflate_floats(part, bw, rows, n, depth)
-        elif how in (1, 5, 8):
-            part = zlib.decompress(part) if how == 8 else lzw.decode(part) if how == 5 else part
-            block = bits.floats(part, depth, little) if real else np.frombuffer(part, ("<" if little else ">") + f"u{depth // 8}") if depth in (8, 16, 32) else bits.unpack(part, depth, "msb", bw * n, rows, -(-bw * n * depth // 8))
-            block = block.reshape(rows, bw, n)
-        else:
-            raise ValueError(f"compression {how} is not supported")
-        out[top : top + rows, left : left + bw] = block[: h - top, : w - left]
+    shared = {"height": h, "width": w, "block_height": bh, "block_width": bw, "tiled": tiled, "channels": one(277, 1), "depth": one(258, 1), "compression": one(259, 1), "predictor": one(317, 1), "real": one(339, 1) == 3, "little": content[:2] == b"II"}
+    places, sizes = (found[t][4] if t in found else [] for t in ((324, 325) if tiled else (273, 279)))
+    across = -(-w // bw) if bw else 1
+    return shared, [(i // across * bh, i % across * bw, int(at), int(size)) for i, (at, size) in enumerate(zip(places, sizes, strict=True))]
+
+
+def tiff_block(part: bytes, top: int, height: int, width: int, block_height: int, block_width: int, tiled: bool, channels: int, depth: int, compression: int, predictor: int, real: bool, little: bool, left: int = 0) -> np.ndarray:
+    """lines x samples x channels of one strip or tile, cut to the image: uncompressed, LZW (5), lossless JPEG (7) or deflate (8)."""
+    rows, cols = block_height if tiled else min(block_height, height - top), block_width
+    if compression == 7:
+        block = bits.ljpeg_decode(part)
+    elif compression == 8 and predictor == 3:
+        block = bits.inflate_floats(part, cols, rows, channels, depth)
+    elif compression in (1, 5, 8):
+        part = zlib.decompress(part) if compression == 8 else lzw.decode(part) if compression == 5 else part
+        block = bits.floats(part, depth, little) if real else np.frombuffer(part, ("<" if little else ">") + f"u{depth // 8}") if depth in (8, 16, 32) else bits.unpack(part, depth, "msb", cols * channels, rows, -(-cols * channels * depth // 8))
+    else:
+        raise ValueError(f"compression {compression} is not supported")
+    return block.reshape(rows, cols, channels)[: height - top, : width - left]
+
+
+def tiff_image(content: bytes, directory: str = "0") -> np.ndarray:
+    """height x width x channels of a directory, put together from its blocks."""
+    shared, blocks = tiff_layout(content, directory)
+    out = np.zeros((shared["height"], shared["width"], shared["channels"]), np.float64 if shared["real"] else np.int64)
+    for top, left, at, size in blocks:
+        block = tiff_block(content[at : at + size], top, left=left, **shared)
+        out[top : top + len(block), left : left + block.shape[1]] = block
     return out
 
 
