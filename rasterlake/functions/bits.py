@@ -124,8 +124,12 @@ def ljpeg_encode(samples: np.ndarray, bits: int, predictor: int = 1) -> bytes:
     return b"\xff\xd8" + segment(0xC3, frame) + segment(0xC4, table) + segment(0xDA, scan) + body + b"\xff\xd9"
 
 
-def ljpeg_decode(data: bytes) -> np.ndarray:
-    """height x width x channels of a lossless JPEG with channels of equal resolution and no restarts."""
+def ljpeg_decode(data: bytes, two_lines: bool = False) -> np.ndarray:
+    """height x width x channels of a lossless JPEG without restarts.
+
+    Three channels may have luma at twice the resolution across, or both ways: chroma then repeats within each unit, and the
+    predictor is the sample before. two_lines: the two luma lines of a unit are predicted each by itself, not one after the other.
+    """
     at, tables, frame = 2, {}, None
     while True:
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
@@ -142,16 +146,44 @@ def ljpeg_decode(data: bytes) -> np.ndarray:
         elif marker == 0xDA:
             break
     bits, h, w, n = frame[0], int.from_bytes(frame[1:3], "big"), int.from_bytes(frame[3:5], "big"), frame[5]
-    if any(frame[7 + 3 * i] != 0x11 for i in range(n)):
-        raise ValueError("channels of unequal resolution are not supported")
     used, predictor, shift = [part[2 + 2 * i] >> 4 for i in range(n)], part[1 + 2 * n], part[3 + 2 * n] & 15
-    looked = {t: _lookup(*tables[t]) for t in set(used)}
     end = re.compile(rb"\xff[^\x00]", re.S).search(data, at)
     body = data[at : end.start() if end else len(data)].replace(b"\xff\x00", b"\xff") + bytes(8)
-    diff, pos = np.zeros(h * w * n, np.int64), 0
-    for i in range(h * w * n):
+    first, sizes = 1 << (bits - shift - 1), [frame[7 + 3 * i] for i in range(n)]
+    if all(x == 0x11 for x in sizes):
+        diff = _differences(body, [tables[t] for t in used], h * w)
+        return _restore(diff.reshape(h, w, n), predictor, first) << shift
+    if sizes not in ([0x21, 0x11, 0x11], [0x22, 0x11, 0x11]) or predictor != 1 or w % 2 or h % (sizes[0] & 15):
+        raise ValueError("channels of such resolutions are not supported")
+    tall = sizes[0] & 15
+    units = _differences(body, [tables[t] for t in [used[0]] * 2 * tall + used[1:]], h * w // (2 * tall)).reshape(h // tall, w // 2, 2 * tall + 2)
+    out = np.empty((h, w, 3), np.int64)
+    if tall == 1 or two_lines:
+        out[::tall, :, 0] = _chained(units[:, :, :2].reshape(h // tall, w), first)
+        if tall == 2:
+            out[1::2, :, 0] = np.cumsum(units[:, :, 2:4].reshape(h // 2, w), 1) + out[::2, :1, 0]
+    else:
+        luma = _chained(units[:, :, :4].reshape(h // 2, w * 2), first)
+        out[:, :, 0] = luma.reshape(h // 2, w // 2, 2, 2).swapaxes(1, 2).reshape(h, w)
+    for k in (1, 2):
+        out[:, :, k] = _chained(units[:, :, 2 * tall + k - 1], first).repeat(tall, 0).repeat(2, 1)
+    return (out & 0xFFFF) << shift
+
+
+def _chained(diff: np.ndarray, first: int) -> np.ndarray:
+    """Running sums along each line; a line starts from the first sample of the one before."""
+    starts = np.cumsum(diff[:, 0]) - diff[:, 0] + first
+    return np.cumsum(diff, 1) + starts[:, None]
+
+
+def _differences(body: bytes, tables: list[tuple[bytes, bytes]], units: int) -> np.ndarray:
+    """Differences of so many units, each coded with the tables in turn."""
+    looked = {t: _lookup(*t) for t in set(tables)}
+    turn = [looked[t] for t in tables]
+    diff, pos, n = np.zeros(units * len(turn), np.int64), 0, len(turn)
+    for i in range(len(diff)):
         word = int.from_bytes(body[pos >> 3 : (pos >> 3) + 6], "big") << (pos & 7) & 0xFFFFFFFFFFFF
-        length, kind = looked[used[i % n]][word >> 32]
+        length, kind = turn[i % n][word >> 32]
         if not length or pos >> 3 > len(body) - 8:
             raise ValueError("the scan ends early or holds an unknown code")
         if kind == 16:
@@ -160,7 +192,7 @@ def ljpeg_decode(data: bytes) -> np.ndarray:
             extra = word >> (48 - length - kind) & ((1 << kind) - 1)
             diff[i] = extra if extra >> (kind - 1) else extra - (1 << kind) + 1
         pos += length + (0 if kind == 16 else kind)
-    return _restore(diff.reshape(h, w, n), predictor, 1 << (bits - shift - 1)) << shift
+    return diff
 
 
 def _lookup(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.functions import bits
+from rasterlake.functions import bits, ciphers
 from rasterlake.sinks import images
 from rasterlake.sources import blocks, containers, segments
 
@@ -175,3 +175,36 @@ def tiles_decoded(spark, d) -> DataFrame:
 
 for _f in (lines_decoded, strips_decoded, chunks_decoded, tiles_decoded):
     QUERIES[_f.__name__], ORACLE[_f.__name__] = _f, _SAMPLES
+
+
+def cubes_undone(spark, d) -> DataFrame:
+    """Bytes of the order keys, ciphered as cubes modulo 249."""
+    byte = F.col("o_orderkey") % 249
+    return read(spark, d, "orders").select("o_orderkey", ciphers.cube_root(byte * byte * byte % 249).cast("long").alias("byte"), ciphers.cube_root(F.lit(249) + F.col("o_orderkey") % 7).cast("long").alias("high"))
+
+
+QUERIES["cubes_undone"] = cubes_undone
+ORACLE["cubes_undone"] = "SELECT o_orderkey, CAST(o_orderkey % 249 AS BIGINT) AS byte, CAST(249 + o_orderkey % 7 AS BIGINT) AS high FROM orders"
+
+
+def stepped_stream(spark, d) -> DataFrame:
+    """Key stream of the lines of each order, by place: the exclusive or with 0."""
+    x = read(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", ciphers.by_steps(F.lit(0), F.col("l_linenumber") - 1, F.col("l_orderkey") % 256, F.col("l_suppkey") % 256).alias("key"))
+
+
+QUERIES["stepped_stream"] = stepped_stream
+ORACLE["stepped_stream"] = "SELECT l_orderkey, l_linenumber, CAST((l_suppkey % 256 + (l_orderkey % 256) * list_sum(list_transform(range(0, CAST(l_linenumber AS BIGINT)), lambda k: 96 + k))) % 256 AS BIGINT) AS key FROM lineitem"
+
+
+def position_tags(spark, d) -> DataFrame:
+    """Position of every supplier, from tag rows: degrees, minutes and seconds."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_suppkey").cast("double").alias("k"))
+    one = lambda tag, kind, numbers, text: F.struct(F.lit("0/34853.0").alias("directory"), F.lit(tag).alias("tag"), F.lit(kind).alias("type"), numbers.cast("array<double>").alias("numbers"), text.cast("string").alias("text"), F.lit(None).cast("binary").alias("raw"))
+    rows = [one(1, 2, F.lit(None), F.lit("S")), one(2, 5, F.array("k", F.lit(4), F.col("k") * 3, F.lit(8), F.lit(7), F.lit(0)), F.lit(None)), one(5, 1, F.array(F.lit(1)), F.lit(None))]
+    got = segments.position_records(s.select("path", F.explode(F.array(*rows)).alias("t")).select("path", "t.*"))
+    return got.select(F.col("path").cast("long").alias("s_suppkey"), "latitude_ref", F.col("latitude")[0].alias("degrees"), F.col("latitude")[1].alias("minutes"), F.col("latitude")[2].alias("seconds"), F.col("altitude_ref")[0].alias("altitude_ref"), "map_datum")
+
+
+QUERIES["position_tags"] = position_tags
+ORACLE["position_tags"] = "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, 'S' AS latitude_ref, s_suppkey / 4.0::DOUBLE AS degrees, s_suppkey * 3 / 8.0::DOUBLE AS minutes, CAST(NULL AS DOUBLE) AS seconds, 1.0::DOUBLE AS altitude_ref, CAST(NULL AS VARCHAR) AS map_datum FROM supplier"

@@ -185,3 +185,26 @@ def exif_records(tags: DataFrame) -> DataFrame:
     t = tags.filter(F.col("tag").isin(list(wanted.values()))).select("path", "tag", "directory", F.trim("text").alias("text"), value.alias("number"))
     last = lambda tag, c: F.max_by(c, F.when(F.col("tag") == tag, F.col("directory")))
     return t.groupBy("path").agg(*(last(k, "text").alias(a) for a, k in TEXTS.items()), *(last(k, "number").alias(a) for a, k in NUMBERS.items()))
+
+
+#: Names of position tags 0 to 31 (directory of tag 34853).
+POSITION = (
+    "version_id", "latitude_ref", "latitude", "longitude_ref", "longitude", "altitude_ref", "altitude", "time_stamp", "satellites", "status", "measure_mode",
+    "dop", "speed_ref", "speed", "track_ref", "track", "img_direction_ref", "img_direction", "map_datum", "dest_latitude_ref", "dest_latitude",
+    "dest_longitude_ref", "dest_longitude", "dest_bearing_ref", "dest_bearing", "dest_distance_ref", "dest_distance", "processing_method", "area_information", "date_stamp", "differential", "h_positioning_error",
+)
+#: Of these, texts, and values of raw bytes.
+POSITION_TEXTS, POSITION_BYTES = {n for n in POSITION if n.endswith("_ref") and n != "altitude_ref"} | {"satellites", "status", "measure_mode", "map_datum", "date_stamp"}, {"processing_method", "area_information"}
+
+
+def position_records(tags: DataFrame) -> DataFrame:
+    """One row a file from tag rows: its position tags, texts as they are, rationals as quotients (null over 0), others as arrays.
+
+    Files without such tags are left out; of a repeated tag the last directory's counts. Combined before the shuffle by path.
+    """
+    n = F.col("numbers")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(n) / 2) - 1, F.lit(0)).cast("int")), lambda i: F.when(F.get(n, i * 2 + 1) != 0, F.get(n, i * 2) / F.get(n, i * 2 + 1)))
+    t = tags.filter(F.col("directory").contains("/34853.") & F.col("tag").between(0, 31)).withColumn("value", F.when(F.col("type").isin(5, 10), pairs).otherwise(n))
+    last = lambda k, c: F.max_by(c, F.when(F.col("tag") == k, F.col("directory")))
+    pick = lambda name: "text" if name in POSITION_TEXTS else "raw" if name in POSITION_BYTES else "value"
+    return t.groupBy("path").agg(*(last(k, pick(name)).alias(name) for k, name in enumerate(POSITION)))

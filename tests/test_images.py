@@ -4,11 +4,13 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rasterlake.functions import bits, ciphers
 from rasterlake.operators import demosaic, grid, levels, lossless
 from rasterlake.plans import develop
 from rasterlake.sinks import images
-from rasterlake.sources import blocks, containers
+from rasterlake.sources import blocks, containers, segments
 
 from .test_operators import by_gradients, dense, plane
 
@@ -105,3 +107,77 @@ def test_blocks(spark):
     for x in blocks.tiff_samples(blocks.dealt(blocks.tiff_blocks(tiled))).collect():
         out["st".index(x["path"]), x["r"], x["c"], x["channel"]] = x["v"]
     assert (out == samples).all()
+
+
+def units(y, cb, cr, tall, two_lines):
+    """Differences of a subsampled frame in the order of its code, by the definition of each sample's predecessor."""
+    h, w = y.shape
+    out = []
+    for r in range(0, h, tall):
+        for c in range(0, w, 2):
+            places = [(r + i, c + j) for i in range(tall) for j in (0, 1)]
+            above = y[r - tall, 0] if r else 2048
+            for k, (i, j) in enumerate(places):
+                if two_lines and k:
+                    before = y[r, 0] if (i, j) == (r + 1, 0) else y[i, j - 1]
+                elif two_lines:
+                    before = y[r, c - 1] if c else above
+                else:
+                    before = y[places[k - 1]] if k else y[r + tall - 1, c - 1] if c else above
+                out.append(y[i, j] - before)
+            for x in (cb, cr):
+                out.append(x[r // tall, c // 2] - (x[r // tall, c // 2 - 1] if c else x[r // tall - 1, 0] if r else 2048))
+    return out
+
+
+def coded(diffs, h, w, sampling):
+    """A lossless JPEG with one table of 17 codes of five bits."""
+    stream = "".join(f"{abs(int(d)).bit_length():05b}" + (f"{int(d) if d > 0 else int(d) + (1 << abs(int(d)).bit_length()) - 1:0{abs(int(d)).bit_length()}b}" if d else "") for d in diffs)
+    stream += "1" * (-len(stream) % 8)
+    body = bytes(int(stream[i : i + 8], 2) for i in range(0, len(stream), 8)).replace(b"\xff", b"\xff\0")
+    segment = lambda marker, x: bytes([255, marker]) + (len(x) + 2).to_bytes(2, "big") + x
+    frame = bytes([12]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([3, 1, sampling, 0, 2, 17, 0, 3, 17, 0])
+    table = bytes([0, 0, 0, 0, 0, 17] + [0] * 11) + bytes(range(17))
+    return b"\xff\xd8" + segment(0xC3, frame) + segment(0xC4, table) + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 1, 0, 0])) + body + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("tall,two_lines", [(1, False), (2, False), (2, True)])
+def test_subsampled_frames(tall, two_lines):
+    rng = np.random.default_rng(7)
+    y, cb, cr = rng.integers(0, 4096, (6, 8)), rng.integers(0, 4096, (6 // tall, 4)), rng.integers(0, 4096, (6 // tall, 4))
+    got = bits.ljpeg_decode(coded(units(y, cb, cr, tall, two_lines), 6, 8, 0x20 + tall), two_lines)
+    assert (got[:, :, 0] == y).all()
+    for k, x in ((1, cb), (2, cr)):
+        assert all(got[r, c, k] == x[r // tall, c // 2] for r in range(6) for c in range(8))
+
+
+def test_ciphers(spark):
+    data = np.random.default_rng(8).integers(0, 256, 1003, np.uint8).tobytes()
+    pad, key = [0] * 128, 123456789
+    for p in range(127):
+        if p < 4:
+            key = (key * 48828125 + 1) % 2**32
+            pad[p] = key if p < 3 else (key * 2) % 2**32 | (pad[0] ^ pad[2]) >> 31
+        else:
+            pad[p] = ((pad[p - 4] ^ pad[p - 2]) * 2) % 2**32 | (pad[p - 3] ^ pad[p - 1]) >> 31
+    ring = [int.from_bytes(x.to_bytes(4, "big"), "little") for x in pad[:127]]
+    want = b""
+    for i in range(0, 1000, 4):
+        ring.append(ring[-127] ^ ring[-63])
+        want += (int.from_bytes(data[i : i + 4], "little") ^ ring[-1]).to_bytes(4, "little")
+    assert ciphers.by_words(data, 123456789) == want and ciphers.by_words(want, 123456789) == data[:1000] and ciphers.by_words(b"abc", 1) == b""
+    assert ciphers.serial_number("12a\x009") == 127 and ciphers.serial_number("") == 0
+    rows, grown, step = [], 0xA7, 0xC1
+    for i in range(1300):
+        grown += step * (0x60 + i)
+        rows.append((i, i % 256, (i % 256) ^ (grown & 255)))
+    df = spark.createDataFrame(rows, "i long, plain long, coded long")
+    assert not df.filter(ciphers.by_steps(df.coded, df.i, F.lit(0xC1), F.lit(0xA7)) != df.plain).count()
+
+
+def test_positions(spark):
+    names = "path string, directory string, tag int, type int, count long, numbers array<double>, text string, raw binary"
+    rows = [("a", "0/34853.0", 2, 5, 3, [48.0, 1.0, 30.0, 2.0, 5.0, 0.0], None, b""), ("a", "0/34853.0", 1, 2, 2, None, "N", b"N\0"), ("a", "0/34853.0", 27, 7, 2, None, None, b"xy"), ("a", "0", 2, 5, 1, [1.0, 1.0], None, b""), ("b", "0", 1, 2, 2, None, "S", b""), ("c", "0/34853.0", 5, 1, 1, [1.0], None, b"\1")]
+    got = {x["path"]: x for x in segments.position_records(spark.createDataFrame(rows, names)).collect()}
+    assert set(got) == {"a", "c"} and got["a"]["latitude"] == [48.0, 15.0, None] and got["a"]["latitude_ref"] == "N" and bytes(got["a"]["processing_method"]) == b"xy"
+    assert got["a"]["longitude"] is None and got["c"]["altitude_ref"] == [1.0]
