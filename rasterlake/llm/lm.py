@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, held = T.text_column(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in T.slices(texts, AT_ONCE // 2):
+            for lo, hi in T.slices(texts, AT_ONCE):
                 w = T.words(texts.slice(lo, hi - lo), lower=True)
                 h, first, inv = np.unique(w.ids, return_index=True, return_inverse=True)
                 c = np.bincount(inv, ~held[lo:hi][w.doc], len(h)).astype(np.int64)
@@ -98,8 +98,8 @@ def _summed(parts: DataFrame, size: int) -> np.ndarray:
     return np.concatenate([got[i] for i in sorted(got)])[:size] if got else np.zeros(size, np.int64)
 
 
-def stretch(n0, n1, p, prior):
-    return np.log((n1 + prior * p) / (n0 + prior * (1 - p)))
+def stretch(n0, n1, p, q, prior):
+    return np.log((n1 + prior * p) / (n0 + prior * q))
 
 
 @dataclass
@@ -113,6 +113,9 @@ class Tree:
     one: np.ndarray  # by node: probability of a one
     whole: np.ndarray  # by node: log2 of its weight
 
+    def __post_init__(self):
+        self.stretched = np.log(self.one / (1 - self.one))
+
     @classmethod
     def build(cls, weights: np.ndarray) -> Tree:
         """Halve intervals of leaves by weight, level by level."""
@@ -240,6 +243,7 @@ def by_node(ends: np.ndarray) -> np.ndarray:
 
 
 _SEEN, _HALF = np.array([1, 1 << 32]), np.int64((1 << 32) - 1)
+_BITS = np.float32(1 / np.log(2))
 _IDENTITY = (1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))).astype(np.float32)
 
 
@@ -249,74 +253,83 @@ class Mixer:
     def __init__(self, v: Vocabulary, by_class: np.ndarray, lanes: int):
         self.tree, self.by_class = v.tree, by_class
         self.weights = [[np.full(lanes * TRUST, x, np.float32) for x in START] for _ in range(DEPTHS)]
-        self.map_ones, self.map_all = np.tile(4 * _IDENTITY, lanes), np.full(lanes * STEPS, 4, np.float32)
+        self.map = np.zeros(lanes * STEPS, np.int64)  # bits met, and ones in the upper half
         self.text, self.after = (np.zeros(lanes << SLOTS, np.int64) for _ in range(2))  # zeros, and ones in the upper half
 
     def block(self, lane: np.ndarray, leaf: np.ndarray, prev: np.ndarray, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
         """log2 probabilities of a block's tokens, which are then learned."""
         tree = self.tree
         order = np.argsort(255 - tree.size[leaf], kind="stable")  # longest paths first, so that each level is a prefix
-        leaf, lane = leaf[order], lane[order].astype(np.int32)
-        size, code = tree.size[leaf], tree.code[leaf]
+        leaf, lane = leaf[order], lane[order].astype(np.int64)
+        size, code = -tree.size[leaf].astype(np.int16), tree.code[leaf]
         after = (prev[order].astype(np.uint32) + np.uint32(2)) * np.uint32(0x9E3779B1)
         kind, own = kind[order] << TOP, own[order].astype(np.float32)
-        node, at = np.zeros(len(leaf), np.int32), np.arange(len(leaf))
+        node, at = np.zeros(len(leaf), np.int64), None  # at: places in out, once they are no prefix
+        base, trust, bins = lane << SLOTS, lane * TRUST, lane * STEPS + STEPS // 2
         out = np.zeros(len(leaf))
-        for depth in range(int(size[0]) if len(size) else 0):
-            k = np.searchsorted(-size.astype(np.int16), -depth, "left")  # those with more bits
+        for depth in range(-int(size[0]) if len(size) else 0):
+            k = np.searchsorted(size, -depth, "left")  # those with more bits
             if k < len(size):
-                size, code, lane, after, own, kind, node, at, leaf = (x[:k] for x in (size, code, lane, after, own, kind, node, at, leaf))
+                size, code, base, trust, bins, after, own, kind, node, leaf = (x[:k] for x in (size, code, base, trust, bins, after, own, kind, node, leaf))
+                at = None if at is None else at[:k]
             if not len(size):
                 break
-            base = lane << SLOTS
             key = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
-            i_text = base + (key >> np.uint32(32 - SLOTS)).astype(np.int32)
-            i_after = base + (((key ^ after) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS)).astype(np.int32)
+            i_text = base + (key >> np.uint32(32 - SLOTS))
+            i_after = base + (((key ^ after) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS))
             text, again = self.text.take(i_text), self.after.take(i_after)
             if depth >= TOP:  # a token that its text has not met here goes on by the corpus alone
                 met = (text | again) > 0
                 if not met.all():
-                    new = ~met
-                    out[at[new]] += tree.own[leaf[new]] - tree.whole[node[new]]
+                    new, met = np.flatnonzero(~met), np.flatnonzero(met)
+                    out[new if at is None else at.take(new)] += tree.own.take(leaf.take(new)) - tree.whole.take(node.take(new))
                     # what follows is learned too: the text has now been at this node
-                    seen = _SEEN[(code[new] >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int8)]
-                    np.add.at(self.text, i_text[new], seen)
-                    np.add.at(self.after, i_after[new], seen)
-                    size, code, lane, after, node, at, leaf, text, again, i_text, i_after = (x[met] for x in (size, code, lane, after, node, at, leaf, text, again, i_text, i_after))
+                    seen = _SEEN.take((code.take(new) >> np.uint64(63 - depth) & np.uint64(1)).view(np.int64))
+                    np.add.at(self.text, i_text.take(new), seen)
+                    np.add.at(self.after, i_after.take(new), seen)
+                    size, code, base, trust, bins, after, node, leaf, text, again, i_text, i_after = (x.take(met) for x in (size, code, base, trust, bins, after, node, leaf, text, again, i_text, i_after))
+                    at = met if at is None else at.take(met)
                     if not len(size):
                         break
-            step_to = (code >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int32)
+            step_to = (code >> np.uint64(63 - depth) & np.uint64(1)).view(np.int64)
             bit = step_to.astype(np.float32)
             p = tree.one.take(node)
-            s = [np.log(p / (1 - p))]
+            q = 1 - p
+            s = [tree.stretched.take(node)]
             if depth < TOP:
-                heap = (1 << depth) + (code >> np.uint64(64 - depth)).astype(np.int64) if depth else 1
-                n = self.by_class.take(kind + heap)
-                s.append(stretch(np.maximum(n.real - own * (1 - bit), 0), np.maximum(n.imag - own * bit, 0), p, PRIOR[0]))
-            s.append(stretch((text & _HALF).astype(np.float32), (text >> 32).astype(np.float32), p, PRIOR[1]))
+                heap = (1 << depth) + (code >> np.uint64(64 - depth)).view(np.int64) if depth else 1
+                n, mine = self.by_class.take(kind + heap), own * bit
+                s.append(stretch(np.maximum(n.real - (own - mine), 0), np.maximum(n.imag - mine, 0), p, q, PRIOR[0]))
+            s.append(stretch((text & _HALF).astype(np.float32), (text >> 32).astype(np.float32), p, q, PRIOR[1]))
             n0, n1 = (again & _HALF).astype(np.float32), (again >> 32).astype(np.float32)
-            s.append(stretch(n0, n1, p, PRIOR[2]))
+            s.append(stretch(n0, n1, p, q, PRIOR[2]))
             used = range(4) if depth < TOP else (0, 2, 3)
             n = n0 + n1
-            gate = lane * TRUST + ((n > 0).view(np.int8) + (n > 2).view(np.int8))
+            gate = trust + ((n > 0).view(np.int8) + (n > 2).view(np.int8))
             weights = self.weights[min(depth, DEPTHS - 1)]
-            z = np.zeros(len(s[0]), np.float32)
+            z = np.zeros(len(p), np.float32)
             for j, x in zip(used, s, strict=True):
                 z += x * weights[j].take(gate)
             np.clip(z, -8, 8, out=z)
             mixed = 1 / (1 + np.exp(-z))
-            entry = lane * STEPS + np.rint(2 * z).astype(np.int32) + STEPS // 2
-            final = np.clip((mixed + self.map_ones.take(entry) / self.map_all.take(entry)) / 2, 1e-6, 1 - 1e-6)
-            out[at] += np.log2(np.where(bit == 1, final, 1 - final))
+            bin_ = np.rint(2 * z).astype(np.int64)
+            entry = bins + bin_
+            met = self.map.take(entry)
+            ones = 4 * _IDENTITY.take(bin_ + STEPS // 2) + (met >> 32).astype(np.float32)
+            final = np.clip((mixed + ones / ((met & _HALF) + 4).astype(np.float32)) / 2, 1e-6, 1 - 1e-6)
+            lp = np.log(np.abs(final - (1 - bit))) * _BITS
+            if at is None:
+                out[: len(lp)] += lp
+            else:
+                out[at] += lp  # places differ
             error = bit - mixed
             for j, x in zip(used, s, strict=True):
                 weights[j] += np.clip(RATE * np.bincount(gate, error * x, len(weights[j])), -MOST, MOST).astype(np.float32)
-            np.add.at(self.map_ones, entry, bit)
-            np.add.at(self.map_all, entry, np.float32(1))
-            seen = _SEEN[step_to]
+            np.add.at(self.map, entry, (step_to << 32) + 1)
+            seen = _SEEN.take(step_to)
             np.add.at(self.text, i_text, seen)
             np.add.at(self.after, i_after, seen)
-            node = tree.child.take(2 * node + step_to)
+            node = tree.child.take(2 * node + step_to).astype(np.int64)
         back = np.empty(len(out))
         back[order] = out
         return back
@@ -428,32 +441,40 @@ class Speller:
     """Online mixing over the bits of one shard's words."""
 
     def __init__(self, counts: list[np.ndarray]):
-        self.counts = counts
-        self.weights = np.full((8 * (len(LEVELS) + 1), len(counts) + 1), 0.3)
-        self.weights[:, -1] = 0
+        self.counts = [n.view(np.complex64).ravel() for n in counts]  # zeros and ones of a slot side by side
+        self.weights = np.full((len(counts) + 1, 8 * (len(LEVELS) + 1)), 0.3)
+        self.weights[-1] = 0
         p = 1 / (1 + np.exp(-np.linspace(-12, 12, STEPS)))
-        self.refine = np.tile(np.stack([1 - p, p], 1) + 0.02, (256, 1))
+        self.zeros, self.ones = np.tile(1 - p + 0.02, 256), np.tile(p + 0.02, 256)
 
     def log2(self, words: list[bytes], own: np.ndarray) -> np.ndarray:
         """log2 probability of each word and the space that ends it; own: the word is in the counts, and is left out. Then learns."""
         x = spell(words)
-        s, bit, mine = np.ones((x.bit.size, len(self.counts) + 1), np.float32), x.bit.ravel(), np.repeat(own[x.word], 8)
+        bit, mine, s = x.bit.ravel().astype(np.float32), np.repeat(own[x.word].astype(np.float32), 8), []
+        mine_one = mine * bit
+        mine_zero = mine - mine_one
         for j, slot in enumerate(x.slots):
-            n = self.counts[j].view(np.uint64).ravel().take(slot.ravel()).view(np.float32).reshape(-1, 2)
-            n0, n1 = np.maximum(n[:, 0] - mine * (1 - bit), 0), np.maximum(n[:, 1] - mine * bit, 0)
-            s[:, j] = np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1)))
+            n = self.counts[j].take(slot.ravel())
+            n0, n1 = np.maximum(n.real - mine_zero, 0), np.maximum(n.imag - mine_one, 0)
+            s.append(np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1))))
             if j == 3:
-                gate = np.tile(np.arange(8), len(x.bit)) * (len(LEVELS) + 1) + np.searchsorted(LEVELS, n0 + n1)
-        z = np.clip(np.einsum("ij,ij->i", s, self.weights[gate]), -12, 12)
+                gate = np.tile(np.arange(8), len(x.bit)) * (len(LEVELS) + 1) + sum((n0 + n1 > level).view(np.int8) for level in LEVELS)
+        s.append(np.ones(len(bit), np.float32))
+        z = np.zeros(len(bit), np.float32)
+        for w, y in zip(self.weights.astype(np.float32), s, strict=True):
+            z += w.take(gate) * y
+        np.clip(z, -12, 12, out=z)
         mixed = 1 / (1 + np.exp(-z))
-        entry = np.repeat(x.before, 8) * STEPS + np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
-        n = self.refine[entry]
-        p = np.clip(0.5 * mixed + 0.5 * n[:, 1] / n.sum(1), 1e-6, 1 - 1e-6)
-        lp = np.log2(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
-        met = np.maximum(np.bincount(gate, minlength=len(self.weights)), 1)
-        for j in range(s.shape[1]):
-            self.weights[:, j] += 0.5 * np.bincount(gate, (bit - mixed) * s[:, j], len(self.weights)) / met
-        self.refine += np.bincount(2 * entry + bit, minlength=self.refine.size).reshape(-1, 2)
+        entry = np.repeat(x.before * STEPS, 8) + np.rint((z + 12) * np.float32((STEPS - 1) / 24)).astype(np.int64)
+        n0, n1 = self.zeros.take(entry), self.ones.take(entry)
+        p = np.clip(0.5 * mixed + 0.5 * n1 / (n0 + n1), 1e-6, 1 - 1e-6)
+        lp = np.log2(np.abs(p - (1 - bit))).reshape(-1, 8).sum(1)
+        met = np.maximum(np.bincount(gate, minlength=self.weights.shape[1]), 1)
+        error = bit - mixed
+        for w, y in zip(self.weights, s, strict=True):
+            w += 0.5 * np.bincount(gate, error * y, len(w)) / met
+        self.zeros += np.bincount(entry, 1 - bit, len(self.zeros))
+        self.ones += np.bincount(entry, bit, len(self.ones))
         return np.bincount(x.word, lp, len(words))
 
 
