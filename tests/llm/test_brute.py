@@ -128,6 +128,32 @@ def test_vectors_extreme_norms_and_labels_as_they_are(spark, kind):
     assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 0, 5, True), (6, 2, 4, False), (6, 2, 4, False)]
 
 
+def test_vectors_in_all_directions_take_no_more_disk_than_few_copies(spark, tmp_path, monkeypatch):
+    """Written tables stay below four times the vectors, whose links, groups and copies are those of brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)
+    x[100:700] = x[100] + 0.08 * rng.normal(size=(600, 64))  # a large group of near copies
+    for i in range(1000, 1400, 2):
+        x[i + 1] = x[i] + 0.13 * rng.normal(size=64)  # pairs about the threshold
+    x[2000:2300] = x[2000]  # exact copies
+    x[2300] = 3 * x[2000]
+    label = rng.integers(0, 3, len(x))
+    label[1000:2400] = 1
+    df = attach(spark).createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(4)
+    folder = tmp_path / "tables"
+    monkeypatch.setattr("rasterlake.llm.runtime.shared_dir", lambda spark: str(folder))
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df).collect()}
+    assert sum(f.stat().st_size for f in folder.rglob("*.parquet")) < 4 * x.nbytes
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.98, 1) & (label[:, None] == label))
+    p, deg = {i: i for i in got}, Counter([*a.tolist(), *b.tolist()])
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = find(i, p), find(j, p)
+        p[max(i, j)] = min(i, j)
+    assert len(got) == len(x)
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: (deg[i], find(i, p), find(i, p) == i) for i in got}
+
+
 def test_substrings(docs, empty, texts):
     got = {r["doc_id"]: r for r in substrings.dedupe(docs, digest=True).collect()}
     kept = {r["doc_id"]: r["kept_text"] for r in substrings.dedupe(docs, carry=("p", "t")).collect()}
