@@ -18,36 +18,47 @@ from rasterlake.llm.queries import read, tokenizer
 from rasterlake.llm.runtime import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a batch between Spark and Python; Spark's own limit is 64 MB, beside its heap.
+BATCH = "4m"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """A session whose Python workers find this package, and whose batches are small unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll and spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH)
+    return attach(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive quality classifier does not reject."""
+    ready(spark)
     return gam.reject(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near copies."""
-    attach(spark)
+    ready(spark)
     return jaccard.representatives(docs.select(*COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that a document with a smaller id holds too."""
-    attach(spark)
+    ready(spark)
     cut = substrings.dedupe(docs, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), F.col("c_lang").alias("lang"), F.col("c_source").alias("source"), F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; documents of small sources repeat up to twice."""
-    attach(spark)
+    ready(spark)
     out = mixing.mix(docs, mixing.Target(max_repeat=2.0), carry=COLUMNS)
     return out.select(*(F.col(f"c_{c}").alias(c) for c in COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    attach(spark)
+    ready(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 

@@ -203,3 +203,31 @@ def test_mixing_ties_and_clashing_columns(spark):
     df = attach(spark).createDataFrame(rows, "doc_id long, text string, source string, n_tokens int, src string")
     got = mixing.mix(df, mixing.Target(max_repeat=2.0)).toPandas()
     assert Counter(got[got["pass"] == 0].doc_id) == Counter(r[0] for r in rows)
+
+
+def test_few_keys_are_met_without_a_second_python_step(spark, monkeypatch):
+    """A step after hits() is the only one with Python workers; a bitmap, for more keys, finds the same rows."""
+    from rasterlake.llm import runtime
+
+    rows = attach(spark).createDataFrame([(i if i % 7 else None, i % 3, f"t{i}") for i in range(60)], "doc_id long, k int, t string")
+    wanted = rows.filter("doc_id % 2 = 0").select("doc_id").distinct()
+    few = [runtime.hits(rows, wanted, ["doc_id"], 30, keep) for keep in (False, True)]
+    for df in few:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "BroadcastHashJoin" in plan and df.columns == rows.columns
+    monkeypatch.setattr(runtime, "KEYS", 0)
+    many = [runtime.hits(rows, wanted, ["doc_id"], 30, keep) for keep in (False, True)]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["t"])
+    got, want = ([sorted((r for r in df.collect() if r["doc_id"] is not None), key=key) for df in pair] for pair in (few, many))
+    assert got == want
+    assert sorted(r["t"] for df in few for r in df.collect()) == sorted(r["t"] for r in rows.collect())
+
+
+def test_pipeline_keeps_batches_small_unless_told_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    corpus_pipeline.ready(session)
+    assert session.conf.get(name) == corpus_pipeline.BATCH
+    session.conf.set(name, "8m")
+    corpus_pipeline.ready(session)
+    assert session.conf.get(name) == "8m"
