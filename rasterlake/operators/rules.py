@@ -5,7 +5,9 @@ A rule that has no answer gives null, where a reader would stop with an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Light source codes and names.
@@ -209,31 +211,109 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
 
 
+#: Rows of one stem beyond which it is numbered in SLICES parts, cut by order.
+SLICE_ROWS, SLICES = 1_000_000, 64
+#: Stems that could meet others, up to which they are broadcast.
+FEW = 100_000
+
+
+def _linked(stems: DataFrame) -> DataFrame:
+    """stem, root: the stems whose names could meet those of another stem, with the shortest stem that they lead to.
+
+    A name is its stem and one or two numbers at most, so two stems can only meet if one is the other and one or two numbers: each
+    stem is followed along its own cuts, over stems that exist.
+    """
+    tail = F.regexp_extract("stem", r"((_\d+)+)$", 1)
+    parts = stems.filter(F.col("stem").rlike(r"_\d+$")).select("stem", F.split(F.substring(tail, 2, 1 << 30), "_").alias("p"), F.length(tail).alias("n"))
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda j: F.struct(j.alias("j"), F.expr("left(stem, length(stem) - n)").alias("head"), j.alias("k")))).alias("x")
+    rest = F.array_join(F.expr("transform(slice(p, 1, size(p) - x.j), y -> '_' || y)"), "")
+    cuts = parts.select("stem", "p", cut).select("stem", F.col("x.j").alias("j"), F.concat("x.head", rest).alias("cut"))
+    known = cuts.join(stems.select(F.col("stem").alias("cut")), "cut").groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("j", "cut"))).alias("js"))
+    start = F.struct(F.lit(0).alias("j"), F.col("stem").alias("cut"))
+    below = known.select("stem", F.aggregate("js", start, lambda a, x: F.when(x["j"] - a["j"] <= 2, x).otherwise(a))["cut"].alias("root")).filter("root <> stem")
+    return below.unionByName(below.select(F.col("root").alias("stem"), "root")).distinct()
+
+
+def _numbered(w: DataFrame) -> DataFrame:
+    """w with k: the place of each row (from 0) among those of its stem and kind, by order. A stem with many rows is cut into slices, so that no task has them all."""
+    key = ["stem", "several"]
+    large = w.groupBy(*key).count().filter(F.col("count") > SLICE_ROWS).select(*key).collect()
+    if not large:
+        return w.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("at", "frames")) - 1)
+    named = w.sparkSession.createDataFrame(large, "stem string, several boolean")
+    rows = w.join(F.broadcast(named), [w.stem.eqNullSafe(named.stem), w.several == named.several], "left_semi")
+    # the cuts are fixed here: they must be the same in the counts and in the rows
+    many = rows.groupBy(*key).agg(F.percentile_approx("at", [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts")).collect()
+    cuts = w.sparkSession.createDataFrame(many, "c_stem string, c_several boolean, cuts array<long>")
+    sliced = w.join(F.broadcast(cuts), w.stem.eqNullSafe(F.col("c_stem")) & (w.several == F.col("c_several")), "left")
+    below = F.size(F.filter("cuts", lambda c: c < F.col("at")))
+    sliced = sliced.withColumn("slice", F.when(F.col("cuts").isNull() | F.col("at").isNull(), 0).otherwise(below)).drop("c_stem", "c_several")
+    counts = sliced.filter("cuts is not null").groupBy(*key, "slice").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("stem").alias("c_stem"), F.col("several").alias("c_several"), F.col("slice").alias("c_slice"), before.alias("before"))
+    on = sliced.stem.eqNullSafe(F.col("c_stem")) & (sliced.several == F.col("c_several")) & (sliced.slice == F.col("c_slice"))
+    place = F.row_number().over(Window.partitionBy(*key, "slice").orderBy("at", "frames")) - 1
+    # dealt by slice: a table that lies by stem would meet the window's need as it is, with each stem in one task
+    out = sliced.drop("cuts").repartition(*key, "slice").withColumn("place", place).join(F.broadcast(counts), on, "left")
+    return out.withColumn("k", F.col("place") + F.coalesce("before", F.lit(0)))
+
+
 def free_names(wanted: DataFrame, stem: str, order: str, frames: str | None = None) -> DataFrame:
     """The lowest suffix _k that leaves every frame's output name free, claimed in order.
 
-    Names that could meet share what is left when all trailing numbers are cut off, so each such family is numbered by itself.
+    A stem whose names can meet no other stem's is numbered by its rows' places. Stems that could meet (one is the other and a number or two), and those
+    with more than 1000 frames, are claimed name by name, by each such family in one task, in which every search goes on where the last one ended.
     """
     import pyarrow as pa
 
     w = wanted.select(F.col(stem).alias("stem"), F.col(order).cast("long").alias("at"), (F.col(frames) if frames else F.lit(1)).cast("long").alias("frames"))
-    w = w.withColumn("family", F.regexp_replace("stem", r"(_\d+)+$", ""))
-
-    def run(t: pa.Table) -> pa.Table:
-        claimed, out = set(), []
-        for row in sorted(t.to_pylist(), key=lambda x: (x["at"], x["stem"])):
-            k = 0
-            while True:
-                base = row["stem"] if k == 0 else f"{row['stem']}_{k}"
-                names = [base] if row["frames"] == 1 else [f"{base}_{i:04d}" for i in range(row["frames"])]
-                if claimed.isdisjoint(names):
-                    break
-                k += 1
-            claimed.update(names)
-            out += [(row["stem"], row["at"], i, n) for i, n in enumerate(names)]
-        return pa.table([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["stem", "at", "frame", "output"])
-
-    return w.groupBy("family").applyInArrow(run, "stem string, at long, frame long, output string").select(F.col("stem").alias(stem), F.col("at").alias(order), "frame", "output")
+    w = w.filter("frames > 0").withColumn("several", F.col("frames") > 1)
+    stems = w.groupBy("stem").agg(F.max("frames").alias("most"))
+    linked = _linked(stems.select("stem"))
+    linked = linked.unionByName(stems.filter("most > 1000").select("stem", F.col("stem").alias("root"))).groupBy("stem").agg(F.min("root").alias("root"))
+    schema = "stem string, at long, frame long, output string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, claimed, least, out = None, set(), {}, []
+        for batch in batches:
+            for root, name, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if root != family:
+                    family, claimed, least = root, set(), {}
+                # what is claimed stays claimed: no k below the last one is free; for several frames, none whose first name is claimed
+                first = least.get((name, 0), 0) if n > 1 else 0
+                while n > 1 and (f"{name}_{first}" if first else name) + "_0000" in claimed:
+                    first += 1
+                k = max(least.get((name, n), 0), first)
+                while True:
+                    base = f"{name}_{k}" if k else name
+                    names = [base] if n == 1 else [f"{base}_{i:04d}" for i in range(n)]
+                    if claimed.isdisjoint(names):
+                        break
+                    k += 1
+                claimed.update(names)
+                least[name, n] = k + 1
+                if n > 1:
+                    least[name, 0] = first
+                for i, x in enumerate(names):
+                    out.append((name, at, i, x))
+                    if len(out) == 10_000:
+                        yield made(out)
+                        out = []
+        if out:
+            yield made(out)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["stem", "at", "frame", "output"])
+
+    few = linked.limit(FEW + 1).count()
+    if few <= FEW:
+        linked = F.broadcast(linked)
+    met = w.join(linked, "stem").select("root", "stem", "at", "frames").repartition("root").sortWithinPartitions("root", "at", "stem", "frames").mapInArrow(run, schema)
+    alone = _numbered(w.join(linked, "stem", "left_anti") if few else w)
+    base = F.when(F.col("k") == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("k")))
+    alone = alone.withColumn("base", base).select("stem", "at", "several", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame"))
+    alone = alone.select("stem", "at", "frame", F.when(F.col("several"), F.concat("base", F.lit("_"), F.lpad(F.col("frame").cast("string"), 4, "0"))).otherwise(F.col("base")).alias("output"))
+    return (alone.unionByName(met) if few else alone).select(F.col("stem").alias(stem), F.col("at").alias(order), "frame", "output")
 
 
 def cameras(tables: DataFrame, columns: list[str]) -> DataFrame:

@@ -103,6 +103,41 @@ def test_overlay_and_names(spark):
     assert not rules.free_names(names.limit(0), "stem", "i").count()
 
 
+def claimed_names(wanted):
+    """Every row's names, looked for from the bare stem on; by at, then stem, then frames."""
+    taken, out = set(), []
+    for at, stem, n in sorted(wanted):
+        k, names = 0, None
+        while names is None or not taken.isdisjoint(names):
+            base = f"{stem}_{k}" if k else stem
+            names, k = [base] if n == 1 else [f"{base}_{i:04d}" for i in range(n)], k + 1
+        taken.update(names)
+        out += [(at, stem, i, x) for i, x in enumerate(names)]
+    return sorted(out)
+
+
+def test_names_that_could_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    stems = ["x", "x_1", "x_1_2", "x_1_2_3_4", "x_7_8_9", "y", "y_0001", "y_1_0000", "z", "_1", "w_5", "w_5_0001_0002_2"]
+    wanted = [(i, stems[int(s)], int(n)) for i, (s, n) in enumerate(zip(rng.integers(0, len(stems), 600), rng.choice([1, 1, 1, 2, 3, 0], 600), strict=True))]
+    wanted += [(1000 + i, "many", 1002 if i == 3 else 1) for i in range(1005)]
+    rows = spark.createDataFrame(wanted, "i long, stem string, n int")
+    names = lambda: sorted((r["i"], r["stem"], r["frame"], r["output"]) for r in rules.free_names(rows, "stem", "i", "n").collect())
+    assert names() == claimed_names(wanted)
+    monkeypatch.setattr(rules, "SLICE_ROWS", 10)
+    monkeypatch.setattr(rules, "FEW", 2)
+    assert names() == claimed_names(wanted)
+
+
+def test_many_of_one_name(spark, monkeypatch):
+    n = 30_000
+    monkeypatch.setattr(rules, "SLICE_ROWS", 5_000)
+    got = rules.free_names(spark.range(n).select(F.lit("x").alias("stem"), F.expr("(id * 7919) % 30000 div 2").alias("at")), "stem", "at")
+    assert got.count() == got.select("output").distinct().count() == n
+    number = F.coalesce(F.regexp_extract("output", r"_(\d+)$", 1).try_cast("long"), F.lit(0))
+    assert not got.filter(F.floor(number / 2) != F.col("at")).count()
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.CR2").write_bytes(b"1")
