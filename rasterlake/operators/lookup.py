@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,18 +74,87 @@ def markdown(rows: DataFrame, group: str, text: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(width)).withColumn("line", padded).drop("width").orderBy(group)
 
 
+#: Ends of ranges that meet in one task.
+RUN = 16_384
+
+
+def _levels(points: DataFrame, refs: DataFrame, open: bool) -> tuple[DataFrame, DataFrame]:
+    """Points and references with lv, bl: blocks of levels, so that a point shares one block with each reference whose least it reaches, and none with others.
+
+    The levels below a point's are cut into blocks by the bits of their number; a reference is in the block of each size that has its level. Block -1 has all.
+    """
+    seen = refs.select(F.col("least").alias("level"), F.lit(1).alias("is")).unionByName(points.select(F.col("most").alias("level"), F.lit(0).alias("is")))
+    seen = seen.filter("level is not null").groupBy("level").agg(F.max("is").alias("is"))
+    ranks = seen.select("level", F.sum("is").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)).alias("rank"))
+    first = F.lit(1 if open else 0)  # an open reference has a level below all others
+    top = refs.agg((F.floor(F.log2(F.count_distinct("least") + 1)) + 1).cast("int").alias("top"))
+    p = points.join(ranks, F.col("most") == F.col("level"), "left").withColumn("p", F.coalesce(F.col("rank") + first, F.lit(0)))
+    own = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda j: F.col("p").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j)) != 0)
+    p = p.withColumn("lv", F.explode(F.when(F.col("most").isNull(), F.array(F.lit(-1))).otherwise(own)))
+    p = p.withColumn("bl", F.when(F.col("lv") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftright(p, lv)") - 1)).drop("level", "rank", "p")
+    r = refs.join(ranks, F.col("least") == F.col("level"), "left").withColumn("r", F.coalesce(F.col("rank") - 1 + first, F.lit(0))).crossJoin(F.broadcast(top))
+    every = F.array(F.lit(-1))
+    sizes = F.sequence(F.lit(-1), F.col("top"))
+    r = r.withColumn("lv", F.explode(sizes if open else F.when(F.col("least").isNull(), every).otherwise(sizes)))
+    r = r.withColumn("bl", F.when(F.col("lv") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftright(r, lv)"))).drop("level", "rank", "r", "top")
+    asked = p.select("key", "lv", "bl").distinct()
+    return p, r.join(asked, ["key", "lv", "bl"], "left_semi")
+
+
+def fits(facts: DataFrame, refs: DataFrame, open: bool, leveled: bool) -> DataFrame:
+    """facts with n, the references of their key that fit, and x, that reference if n is 1 (else of no meaning).
+
+    facts: key, at and, if leveled, most; a null at or most fits everything. refs: key, low, high, x (long) and, if leveled, least; null bounds are open, or if
+    not ``open`` fit a null only. No pairs are made: ends of ranges are sorted within their key and counted up, with an exclusive or of x beside the count, and
+    each different point takes the last end before it. Runs of ends, with the points between them, are dealt to tasks.
+    """
+    asked = ["at", "most"] if leveled else ["at"]
+    points = facts.filter("key is not null").select("key", *asked).distinct()
+    p, r = _levels(points, refs, open) if leveled else (points, refs)
+    keys = ["key", "lv", "bl"] if leveled else ["key"]
+    whole = r.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor("x").alias("x"))
+    free = p.filter("at is null").join(whole, keys).select("key", *asked, "n", "x")
+    bounded = r.filter("low <= high" if not open else "low is null or high is null or low <= high")
+    end = lambda side, after, n: bounded.select(*keys, F.col(side).alias("v"), F.lit(after).alias("after"), F.lit(n).cast("long").alias("n"), "x")
+    ends = end("low", 0, 1).unionByName(end("high", 2, -1).filter("v is not null")).groupBy(*keys, "v", "after").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+    order = Window.partitionBy(*keys).orderBy("v", "after")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select(*keys, "v", "after", F.sum("n").over(upto).alias("n"), F.bit_xor("x").over(upto).alias("x"), (F.row_number().over(order) - 1).alias("i"))
+    place = lambda v, after: F.struct(v.alias("v"), after.alias("after"))
+    starts = ends.filter(F.col("i") % RUN == 0).groupBy(*keys).agg(F.sort_array(F.collect_list(place(F.col("v"), F.col("after")))).alias("starts"))
+    p = p.filter("at is not null").join(F.broadcast(starts), keys)  # one start for RUN ends
+    p = p.withColumn("run", F.size(F.filter("starts", lambda s: (s["v"].isNull()) | (s["v"] < F.col("at")) | ((s["v"] == F.col("at")) & (s["after"] == 0)))) - 1).filter("run >= 0")
+    p = p.select(*keys, "run", F.col("at").alias("v"), F.lit(1).alias("after"), *asked)
+    both = p.unionByName(ends.select(*keys, F.floor(F.col("i") / RUN).cast("int").alias("run"), "v", "after", "n", "x"), allowMissingColumns=True).repartition(*keys, "run")
+    last = Window.partitionBy(*keys, "run").orderBy("v", "after").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.select("key", *asked, "after", F.last("n", True).over(last).alias("n"), F.last("x", True).over(last).alias("x")).filter("after = 1").drop("after")
+    got = free.unionByName(held).groupBy("key", *asked).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+    got = got.select(F.col("key").alias("k"), *(F.col(c).alias(f"p_{c}") for c in asked), F.col("n").alias("_n"), F.col("x").alias("_x"))
+    on = F.col("key") == F.col("k")
+    for c in asked:
+        on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    return facts.join(got, on, "left").withColumns({"n": F.coalesce("_n", F.lit(0)), "x": F.col("_x")}).drop("k", "_n", "_x", *(f"p_{c}" for c in asked))
+
+
+def only_fit(facts: DataFrame, refs: DataFrame, fact_id: str, value: str, open: bool, leveled: bool) -> DataFrame:
+    """fact_id, value of the only reference that fits, as in fits() (refs: value, of any type, for x); null if none or several do. Nulls are no values."""
+    kind = dict(refs.dtypes)[value]
+    r, whole = refs.filter(F.col(value).isNotNull() & F.col("key").isNotNull()), kind in ("tinyint", "smallint", "int", "bigint")
+    numbers = r.select(value).distinct().select(value, F.row_number().over(Window.orderBy(value)).cast("long").alias("x"))
+    r = r.withColumn("x", F.col(value).cast("long")).drop(value) if whole else r.join(numbers, value).drop(value)
+    found = fits(facts, r, open, leveled).groupBy(fact_id).agg(F.sum("n").alias("n"), F.min(F.when(F.col("n") == 1, F.col("x"))).alias("x"))
+    found = found.select(fact_id, F.when(F.col("n") == 1, F.col("x")).alias("x"))
+    return found.select(fact_id, F.col("x").cast(kind).alias(value)) if whole else found.join(numbers, "x", "left").select(fact_id, value)
+
+
 def unique_in_range(facts: DataFrame, dim: DataFrame, fact_id: str, group: str, at: str, low: str, high: str, value: str, least: tuple[str, str] | None = None) -> DataFrame:
     """fact_id, value of the only reference row of the fact's group whose range holds ``at``; null if none or several do.
 
-    least: (fact column, reference column) that the fact must reach. A null in the fact is a wildcard, a null bound is open. The
-    join is an equi-join on the group, whose ranges are tested within it; counts are combined before the shuffle.
+    least: (fact column, reference column) that the fact must reach. A null in the fact is a wildcard, a null bound is open.
     """
-    d = dim.select(F.col(group).alias("d_group"), F.col(low).alias("d_low"), F.col(high).alias("d_high"), F.col(value).alias("d_value"), *([F.col(least[1]).alias("d_least")] if least else []))
-    fits = F.col(at).isNull() | (F.coalesce(F.col(at) >= F.col("d_low"), F.lit(True)) & F.coalesce(F.col(at) <= F.col("d_high"), F.lit(True)))
-    if least:
-        fits = fits & F.coalesce(F.col(least[0]) >= F.col("d_least"), F.lit(True))
-    found = facts.join(d, (F.col(group) == F.col("d_group")) & fits, "left").groupBy(fact_id).agg(F.count("d_value").alias("n"), F.min("d_value").alias("v"))
-    return found.select(fact_id, F.when(F.col("n") == 1, F.col("v")).alias(value))
+    d = dim.select(F.col(group).alias("key"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(value).alias("value"), *([F.col(least[1]).alias("least")] if least else []))
+    f = facts.select(fact_id, F.col(group).alias("key"), F.col(at).alias("at"), *([F.col(least[0]).alias("most")] if least else []))
+    return only_fit(f, d, fact_id, "value", True, bool(least)).withColumnRenamed("value", value)
 
 
 def retried(facts: DataFrame, dim: DataFrame, key: str, patched: Column, value: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import curves, grid, lookup, sensor
+from rasterlake.operators import curves, grid, lookup, rules, sensor
 
 
 @pytest.mark.parametrize("seed", [0, 1, 65536, curves.MODULUS, 2 * curves.MODULUS, (1 << 32) - 1, *random.Random(1).sample(range(1 << 32), 6)])
@@ -65,3 +66,41 @@ def test_unique_in_range(spark):
     facts = spark.createDataFrame([(1, "m", 12, 2.8), (2, "m", 18, 5.0), (3, "m", 18, 3.0), (4, "k", None, None), (5, "x", 5, 1.0), (6, None, 5, 1.0)], "id int, g string, at int, stop double")
     got = {r["id"]: r["name"] for r in lookup.unique_in_range(facts, dim, "id", "g", "at", "low", "high", "name", ("stop", "f")).collect()}
     assert got == {1: "a", 2: None, 3: "a", 4: "c", 5: None, 6: None}
+
+
+def ranges(rng, n):
+    """Rows of ranges (g, low, high, f, id) and facts (id, g, at, stop) with equal bounds, empty ranges, nulls and zeros of both signs."""
+    some = lambda values, share=0.1: None if rng.random() < share else values[rng.integers(len(values))]
+    at, stops = [-0.0, 0.0, *map(float, range(-60, 60))], [1.4, 2.0, 2.8, 4.0, 5.6, 8.0, 11.0]
+    dim = []
+    for i in range(n):
+        low = some(at)
+        dim.append((some(["m", "k", "n"]), low, None if rng.random() < 0.1 else (low or 0.0) + float(rng.integers(-1, 9)), some(stops), i))
+    return dim, [(i, some(["m", "k", "x", "n"]), some(at), some([1.0, 3.0, *stops])) for i in range(400)]
+
+
+def test_ranges_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "RUN", 7)
+    dim, facts = ranges(np.random.default_rng(3), 60)
+    d = spark.createDataFrame([(*x[:4], f"v{x[4]}", x[4] if x[4] % 9 else None) for x in dim], "g string, low double, high double, f double, name string, code int")
+    f = spark.createDataFrame([*facts, (1, "m", 3.0, 4.0)], "id int, g string, at double, stop double")
+
+    def fit(x, stop):
+        return [r for r in dim if x[1] is not None and x[1] == r[0] and (x[2] is None or ((r[1] is None or x[2] >= r[1]) and (r[2] is None or x[2] <= r[2]))) and (not stop or x[3] is None or r[3] is None or x[3] >= r[3])]
+
+    for value, stop in (("name", True), ("name", False), ("code", True), ("code", False)):
+        want = {}
+        for x in [*facts, (1, "m", 3.0, 4.0)]:
+            want.setdefault(x[0], []).extend(v for r in fit(x, stop) if (v := f"v{r[4]}" if value == "name" else r[4] if r[4] % 9 else None) is not None)
+        out = lookup.unique_in_range(f, d, "id", "g", "at", "low", "high", value, ("stop", "f") if stop else None)
+        assert dict(out.dtypes)[value] == dict(d.dtypes)[value] and out.count() == len(want)
+        assert {r["id"]: r[value] for r in out.collect()} == {k: v[0] if len(v) == 1 else None for k, v in want.items()}
+
+
+def test_many_in_range_make_no_pairs(spark):
+    """Every range holds every place: 400 million pairs."""
+    d = spark.range(20_000).select(F.col("id").alias("v"), F.lit(1).alias("g"), F.lit(0).alias("low"), F.lit(9).alias("high"), (F.col("id") % 5).alias("f"))
+    f = spark.range(20_000).select("id", F.lit(1).alias("g"), (F.col("id") % 12).alias("at"), F.when(F.col("id") % 2 == 0, F.lit(3)).alias("stop"))
+    refs, facts = d.select(F.col("g").alias("key"), "low", "high", F.col("v").alias("x"), F.col("f").alias("least")), f.select(F.col("g").alias("key"), "at", F.col("stop").alias("most"))
+    got = lookup.fits(facts, refs, True, True).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in got} == {20_000: 8334, 16_000: 8334, 0: 3332}
