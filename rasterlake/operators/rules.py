@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lookup
+
 #: Light source codes and names.
 ILLUMINANTS = {
     0: "Unknown", 1: "Daylight", 2: "Fluorescent", 3: "Tungsten", 4: "Flash", 9: "FineWeather", 10: "CloudyWeather", 11: "Shade", 12: "DaylightFluorescent",
@@ -335,8 +337,8 @@ def lens(images: DataFrame, lenses: DataFrame) -> DataFrame:
     """image_id, lens_id (or null): by exact name, else the first maker's code, else the second, else the only lens that fits all that is known.
 
     images: image_id, key_name, code_a, code_b, mount, make, focal, aperture; lenses: lens_id (their order), key_name, code_a, code_b, mount, make, focal_min,
-    focal_max, aperture_min. The first three are equi-joins against the first lens of each key. The last one compares ranges, for the images
-    that are left only; the table of lenses is small, and Spark broadcasts it under the session's limit.
+    focal_max, aperture_min. The first three are equi-joins against the first lens of each key. The last one counts ranges, without pairs, for the images
+    that are left only.
     """
     out, found = images, []
     for k in ("key_name", "code_a", "code_b"):
@@ -344,10 +346,12 @@ def lens(images: DataFrame, lenses: DataFrame) -> DataFrame:
         out = out.join(first, k, "left")
         found.append(f"by_{k}")
     out = out.withColumn("first", F.coalesce(*found)).drop(*found)
-    i, n = out.filter("first is null").alias("i"), lenses.alias("n")
-    known = lambda c: F.col(f"i.{c}")
-    fits = (known("mount").isNull() | (known("mount") == F.col("n.mount"))) & (known("make").isNull() | (known("make") == F.col("n.make")))
-    fits = fits & (known("focal").isNull() | known("focal").between(F.col("n.focal_min"), F.col("n.focal_max"))) & (known("aperture").isNull() | (known("aperture") >= F.col("n.aperture_min")))
-    rest = i.join(n, fits, "left").groupBy("i.image_id").agg(F.count("n.lens_id").alias("m"), F.min("n.lens_id").alias("one"))
-    rest = rest.select("image_id", F.when(F.col("m") == 1, F.col("one")).alias("lens_id"))
+    # a lens stands under its mount and make, each of them and neither; an image looks under what it knows
+    known = F.struct(F.col("mount").isNotNull().alias("by_mount"), F.col("make").isNotNull().alias("by_make"), "mount", "make")
+    facts = out.filter("first is null").select("image_id", known.alias("key"), F.col("focal").alias("at"), F.col("aperture").alias("most"))
+    kinds = [(m, k) for m in (True, False) for k in (True, False)]
+    none = lambda c: F.lit(None).cast(dict(lenses.dtypes)[c])
+    under = F.array(*(F.when((F.col("mount").isNotNull() | F.lit(not m)) & (F.col("make").isNotNull() | F.lit(not k)), F.struct(F.lit(m).alias("by_mount"), F.lit(k).alias("by_make"), (F.col("mount") if m else none("mount")).alias("mount"), (F.col("make") if k else none("make")).alias("make"))) for m, k in kinds))
+    refs = lenses.select("lens_id", F.explode(under).alias("key"), F.col("focal_min").alias("low"), F.col("focal_max").alias("high"), F.col("aperture_min").alias("least"))
+    rest = lookup.only_fit(facts, refs, "image_id", "lens_id", False, True)
     return out.filter("first is not null").select("image_id", F.col("first").alias("lens_id")).unionAll(rest)

@@ -104,3 +104,19 @@ def test_many_in_range_make_no_pairs(spark):
     refs, facts = d.select(F.col("g").alias("key"), "low", "high", F.col("v").alias("x"), F.col("f").alias("least")), f.select(F.col("g").alias("key"), "at", F.col("stop").alias("most"))
     got = lookup.fits(facts, refs, True, True).groupBy("n").count().collect()
     assert {r["n"]: r["count"] for r in got} == {20_000: 8334, 16_000: 8334, 0: 3332}
+
+
+def test_lens_without_pairs(spark):
+    rng = np.random.default_rng(4)
+    some = lambda values, share=0.2: None if rng.random() < share else values[rng.integers(len(values))]
+    lenses = [(i, some(["a", "b", ""], 0.9), some([1, 2, 3], 0.9), None, some([0, 1]), some([7, 8, 9]), some([10.0, 20.0, 30.0]), some([20.0, 35.0, 50.0]), some([1.4, 2.8, 4.0, 5.6])) for i in range(40)]
+    images = [(i, some(["a", "b", "c", ""], 0.8), some([1, 2, 9], 0.8), None, some([0, 1, 2]), some([7, 8, 9]), some([10.0, 15.0, 20.0, 35.0, 60.0]), some([1.0, 1.4, 3.0, 4.0, 8.0])) for i in range(600)]
+    cols = "key_name string, code_a int, code_b int, mount int, make int, "
+    out = rules.lens(spark.createDataFrame(images, f"image_id int, {cols}focal double, aperture double"), spark.createDataFrame(lenses, f"lens_id int, {cols}focal_min double, focal_max double, aperture_min double"))
+    want = {}
+    for i in images:
+        first = next((x[0] for k in (1, 2) for x in lenses if i[k] not in (None, "") and x[k] == i[k]), None)
+        fit = [x[0] for x in lenses if (i[4] is None or i[4] == x[4]) and (i[5] is None or i[5] == x[5]) and (i[6] is None or (x[6] is not None and x[7] is not None and x[6] <= i[6] <= x[7])) and (i[7] is None or (x[8] is not None and i[7] >= x[8]))]
+        want[i[0]] = first if first is not None else fit[0] if len(fit) == 1 else None
+    assert sum(v is not None for v in want.values()) > 50
+    assert out.count() == len(want) and {r["image_id"]: r["lens_id"] for r in out.collect()} == want
