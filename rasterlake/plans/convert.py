@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from rasterlake.sinks import dng as sink
 from rasterlake.sources import dng, vendor
 
+#: Bytes of files in one batch on its way to Spark, and files.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 SCHEMA = "path string, output string, ok boolean, message string, content binary"
 
 
@@ -45,15 +47,25 @@ def to_dng(files: DataFrame, cameras: dict[int, vendor.Camera] | None = None, ti
     """path, output, ok, message and content (the DNG, or null) of files (path, content); a file that fails does not stop the others."""
     known = cameras or {}
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "output", "ok", "message", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made, message = None, None
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):  # one file's bytes at a time
+                path, content, done, message = path.as_py(), content.as_py(), None, None
                 try:
-                    made = one(path or "", content or b"", known, tile=tile)
+                    done = one(path or "", content or b"", known, tile=tile)
                 except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
                     message = str(e) or type(e).__name__
-                output = re.sub(r"\.[^./]*$", "", path or "") + ".dng"
-                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([output]), pa.array([made is not None]), pa.array([message], pa.string()), pa.array([made], pa.binary())], ["path", "output", "ok", "message", "content"])
+                rows.append((path, re.sub(r"\.[^./]*$", "", path or "") + ".dng", done is not None, message, done))
+                held += len(done or b"")
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +94,15 @@ def _read(kind: str, content: bytes) -> np.ndarray:
 def files(spark, d, write: Callable[[list[int]], bytes]) -> DataFrame:
     """path, content: every line of the grid as an image eight samples wide, counts from 0 to 4095; null samples are 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["vec_id"].astype(str), "content": [write([int(v) for v in line]) for line in batch["line"]]})
+            for at in range(0, batch.num_rows, convert.BATCH_ROWS):
+                part = batch.slice(at, convert.BATCH_ROWS)
+                content = pa.array((write(line.as_py()) for line in part.column(1)), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), content], ["path", "content"])
 
     line = F.transform("embedding", lambda v: F.coalesce(F.floor((v.cast("double") + 1) * 1000).cast("long").bitwiseAND(4095), F.lit(0).cast("long")))
-    return read(spark, d, "embeddings").filter("embedding is not null").select("vec_id", line.alias("line")).mapInPandas(run, "path string, content binary")
+    return read(spark, d, "embeddings").filter("embedding is not null").select("vec_id", line.alias("line")).mapInArrow(run, "path string, content binary")
 
 
 def exploded(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import containers
@@ -65,6 +65,21 @@ def image(content: bytes) -> dict:
 
 
 FIELDS = {"directory": "string", "width": "int", "height": "int", "channels": "int", "bits": "int", "kind": "int", "pattern": "string", "black": "array<double>", "black_rows": "int", "black_cols": "int", "white": "array<double>", "crop": "array<double>", "active": "array<double>", "wb": "array<double>", "white_xy": "array<double>", "model": "string"}
+_TYPES = {"string": pa.string(), "int": pa.int32(), "array<double>": pa.list_(pa.float64())}
+
+
+#: Samples of one batch on its way to Spark, and rows: neither many small files nor a large one are held at once.
+BATCH_SAMPLES, BATCH_ROWS = 1 << 19, 4096
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """rows: path, r, samples, fields (or None), error."""
+    path, r, vs, fields, error = zip(*rows, strict=True)
+    flat = pa.array(np.concatenate([v for v in vs if v is not None] or [np.zeros(0, np.int64)])).cast(pa.int64())
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in vs)])
+    lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([v is None for v in vs]))
+    own = [pa.array([None if f is None else f[k] for f in fields], _TYPES[t]) for k, t in FIELDS.items()]
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(r, pa.int64()), lines, *own, pa.array(error, pa.string())], ["path", "r", "vs", *FIELDS, "error"])
 
 
 def frames(files: DataFrame) -> DataFrame:
@@ -73,15 +88,27 @@ def frames(files: DataFrame) -> DataFrame:
     A file that cannot be read gives one row with its error.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            try:
+                got = image(content.as_py())
+                samples = got.pop("samples").reshape(got["height"], -1)
+            except (ValueError, KeyError, IndexError, TypeError) as e:
+                yield path.as_py(), None, None, None, str(e) or type(e).__name__
+                continue
+            for r, v in enumerate(samples):
+                yield path.as_py(), r, v, None if r else got, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, samples = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    got = image(content)
-                    lines = got.pop("samples").reshape(got["height"], -1)
-                    rows = [{"path": path, "r": r, "vs": v} | ({k: got[k] for k in FIELDS} if r == 0 else {}) for r, v in enumerate(lines)]
-                except (ValueError, KeyError, IndexError, TypeError) as e:
-                    rows = [{"path": path, "error": str(e) or type(e).__name__}]
-                yield pd.DataFrame(rows, columns=["path", "r", "vs", *FIELDS, "error"]).astype(object).where(lambda x: x.notna(), None)
-
-    return files.select("path", "content").mapInPandas(run, "path string, r long, vs array<long>, " + ", ".join(f"{k} {t}" for k, t in FIELDS.items()) + ", error string")
+            for row in lines(batch):
+                rows.append(row)
+                samples += 0 if row[2] is None else len(row[2])
+                if samples >= BATCH_SAMPLES or len(rows) >= BATCH_ROWS:
+                    yield _batch(rows)
+                    rows, samples = [], 0
+        if rows:
+            yield _batch(rows)
+
+    return files.select("path", "content").mapInArrow(run, "path string, r long, vs array<long>, " + ", ".join(f"{k} {t}" for k, t in FIELDS.items()) + ", error string")

@@ -1,6 +1,7 @@
 """Image operators beyond SQL, and the package without its optional part."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rasterlake.functions import colour
@@ -138,6 +139,35 @@ def test_many_of_one_name(spark, monkeypatch):
     assert not got.filter(F.floor(number / 2) != F.col("at")).count()
 
 
+class Step:
+    """Stands for a table: gives the function that would run in Python."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_files_pass_in_small_batches(monkeypatch):
+    monkeypatch.setattr(dng_source, "BATCH_SAMPLES", 1000)
+    monkeypatch.setattr(dng_source, "BATCH_ROWS", 30)
+    monkeypatch.setattr(convert, "BATCH_BYTES", 1 << 14)
+    image = np.arange(50 * 60, dtype=np.int64).reshape(50, 60, 1)
+    small = dng.write(image[:3, :2], 16, "RGGB", [2], [4000], model="m")
+    contents = [dng.write(image, 16, "RGGB", [2], [4000], model="m"), b"no image", None, *[small] * 200]
+    given = pa.RecordBatch.from_arrays([pa.array([f"{i}.dng" for i in range(len(contents))]), pa.array(contents, pa.binary())], ["path", "content"])
+    out = list(dng_source.frames(Step())(iter([given])))
+    assert all(b.num_rows <= 30 and sum(map(len, filter(None, b.column(2).to_pylist()))) <= 1060 for b in out)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["vs"] for r in rows[:50]] == image[:, :, 0].tolist() and [r["r"] for r in rows[:50]] == list(range(50))
+    assert rows[0]["width"] == 60 and rows[0]["model"] == "m" and rows[1]["width"] is None and len(rows) == 50 + 2 + 600
+    assert all(r["error"] and r["vs"] is None and r["r"] is None for r in rows[50:52]) and not any(r["error"] for r in rows[52:])
+    jobs = list(convert.to_dng(Step(), tile=16)(iter([given])))
+    assert len(jobs) > 5 and max(b.nbytes for b in jobs[1:]) < 1 << 15
+    assert [r["ok"] for b in jobs for r in b.to_pylist()] == [True, False, False, *[True] * 200]
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.CR2").write_bytes(b"1")
